@@ -15,18 +15,50 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay, with their scores."""
+    from heddle.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.licenses import scan
 
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.substring_dedup import remove
+
+    return remove(table(spark, sf_dir, "documents"), size=50)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that leaks a benchmark item, with the item."""
+    from heddle.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.packing import pack
 
@@ -48,4 +80,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(render(reconstruct(events)))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op5_token_counts, op9_packing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extraction, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_decontamination, op8_jaccard_join, op9_packing, op10_chat_format)}
