@@ -53,6 +53,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.jaccard_join import join
 
@@ -80,4 +86,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(render(reconstruct(events)))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extraction, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_decontamination, op8_jaccard_join, op9_packing, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extraction, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_decontamination, op7_top_k, op8_jaccard_join, op9_packing, op10_chat_format)}
