@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,47 @@ def _powers(kind: str, n: int) -> np.ndarray:
     return _POW[kind][:n]
 
 
+#: A 64-bit number for each byte value, from a rule.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
+def _hash_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each ASCII-white-space word: a polynomial over its bytes, from one running sum."""
+    data = np.frombuffer(raw, np.uint8)
+    space = np.ones(len(data) + 2, np.int8)
+    space[1:-1] = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _powers("up", len(data)), dtype=np.uint64, out=sums[1:])
+    return start, mix((sums[end] - sums[start]) * _powers("down", len(data) + 1)[start] + (end - start).astype(np.uint64) * _M1)
+
+
+def hash_texts(texts: list[bytes | None], lower: bool = False, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row, and where each text's words start (one more offset than texts).
+
+    Works on pieces of about ``piece`` bytes, cut at white space, so memory doesn't grow with a text's length.
+    """
+    raw = b"\n".join(t or b"" for t in texts)
+    raw = raw.lower() if lower else raw
+    sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
+    begins = np.cumsum(sizes) - sizes
+    starts, hashes, at = [], [], 0
+    while at < len(raw):
+        end = min(len(raw), at + piece)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        s, h = _hash_piece(raw[at:end])
+        starts.append(s + at)
+        hashes.append(h)
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    start = np.concatenate(starts)
+    return np.concatenate(hashes), np.append(np.searchsorted(start, begins), len(start)).astype(np.int64)
+
+
 class Rolling:
     """Polynomial hashes of any range of a sequence of word hashes, in constant time per range."""
 
@@ -72,6 +116,16 @@ class Rolling:
         return self.ranges(starts, starts + n)
 
 
+def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """Of each text, ASCII lower-cased: its sorted distinct n-word shingles, as ``shingles`` has them."""
+    hashes, offsets = hash_texts(texts, lower=True)
+    grams = Rolling(hashes).grams(n)
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        out.append(np.unique(grams[a : b - n + 1]) if b - a >= n else shingles(hashes[a:b], n))
+    return out
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct n-word shingles; a shorter text is one shingle, an empty one has none."""
     if not len(hashes):
@@ -148,5 +202,26 @@ def _changed(old: DataFrame, new: DataFrame) -> bool:
     return old.agg(*stamp).first() != new.agg(*stamp).first()
 
 
+def map_columns(df: DataFrame, make, schema: str, kinds: list, names: list[str]) -> DataFrame:
+    """mapInArrow by a function that turns a batch's columns, as lists, into output columns (or None)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):  # keeps what a step holds small
+                columns = make(*(c.to_pylist() for c in batch.slice(at, 1000).columns))
+                if columns is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, limit: int = 2_000_000) -> DataFrame:
+    """Joins docs with a table of ids; it is broadcast if it has at most ``limit`` rows, else both sides are shuffled."""
+    small = ids.count() <= limit
+    return docs.join(F.broadcast(ids) if small else ids, id_col, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers find this package by the driver's path where it isn't installed
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

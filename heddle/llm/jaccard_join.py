@@ -9,7 +9,8 @@ lower-cased and cut at ASCII white space; a text of fewer words is one shingle;
    broadcast and only affects the order, never the result.
 3. Linked rows must share one of their first ``n - ceil(t n) + 1`` columns.  The product of these parts of the rows
    accumulates overlaps for each pair, and a pair stays only if its sizes and the best overlap that it can still reach
-   allow a link.  A column with more than ``light`` rows isn't multiplied out: its rows are tied to their smallest member
+   allow a link: of the two, the row whose first columns end earlier in the order shares no others of them, so the
+   overlap is at most what was counted plus the rest of that row.  A column with more than ``light`` rows isn't multiplied out: its rows are tied to their smallest member
    (by size class), which keeps every possible pair inside one group without listing pairs.
 4. The groups that these pairs and ties form (connected components) hold every link.  Each row of a group gets its
    whole text once per pair of blocks; blocks have a bounded number of rows and shingles, and a group of any size is
@@ -24,35 +25,20 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import WordHashes, components, cut, mix, shingles, signed, stored
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> WordHashes:
-    return WordHashes()
-
-
-def shingle_set(text: bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct shingles of a UTF-8 text."""
-    return shingles(_hashes().of(text.lower().split()), n) if text else np.zeros(0, np.uint64)
+from heddle.llm.common import by_ids, components, cut, map_columns, mix, shingle_sets, signed, stored
 
 
 def class_key(tokens: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums over a set: equal for equal sets, and only for them but for hash collisions."""
-    a, b = mix(tokens + np.uint64(0x51ED270B)), mix(tokens ^ np.uint64(0xA5A5A5A5F00DFACE))
-    return int(a.sum(dtype=np.uint64)), int(b.sum(dtype=np.uint64))
-
-
-def _key(tokens: np.ndarray) -> int:
-    a, b = class_key(tokens)
-    return int(signed(mix(np.array([a ^ (b << 1 & (1 << 64) - 1)], np.uint64)))[0])
+    a, b = mix(tokens + np.uint64(0x51ED270B)).sum(dtype=np.uint64), mix(tokens ^ np.uint64(0xA5A5A5A5F00DFACE)).sum(dtype=np.uint64)
+    both = signed(mix(np.array([a ^ (b << np.uint64(1)), b], np.uint64)))
+    return int(both[0]), int(both[1])
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -63,24 +49,6 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
-def _map(df: DataFrame, row, schema: str, kinds: list[pa.DataType], names: list[str], columns: int = 2) -> DataFrame:
-    """mapInArrow by a function that turns one row's values into zero or one output rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [r for values in zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True) if (r := row(*values)) is not None]
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return df.mapInArrow(run, schema)
-
-
-def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, limit: int = 2_000_000) -> DataFrame:
-    """Joins docs with a table of ids; it is broadcast if it has at most ``limit`` rows, else both sides are shuffled."""
-    small = ids.count() <= limit
-    return docs.join(F.broadcast(ids) if small else ids, id_col, how)
-
-
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, light: int = 50, max_heavy: int = 500_000, block: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every row.
 
@@ -90,13 +58,13 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, light: int
     rows = _texts(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def measure(id_, text):
-        tokens = shingle_set(text, n)
-        a, b = class_key(tokens)
-        return id_, len(tokens), _key(tokens) if len(tokens) else None, int(signed(np.array([a], np.uint64))[0])
+    def measure(ids, texts):
+        sets = shingle_sets(texts, n)
+        keys = [class_key(t) if len(t) else None for t in sets]
+        return ids, [len(t) for t in sets], [k and k[0] for k in keys], [k and k[1] for k in keys]
 
     id_kind = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-    sized = cut(_map(rows, measure, f"id {id_type}, n int, ck long, proof long", [id_kind, pa.int32(), pa.int64(), pa.int64()], ["id", "n", "ck", "proof"]))
+    sized = cut(map_columns(rows, measure, f"id {id_type}, n int, ck long, proof long", [id_kind, pa.int32(), pa.int64(), pa.int64()], ["id", "n", "ck", "proof"]))
     classes = sized.where("n > 0").groupBy("ck", "proof", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     # one row for each class stands for it: the rows whose id is the smallest of its class
     copies = sized.where("n > 0").join(classes.select("ck", "proof", "n", "first"), ["ck", "proof", "n"]).where("id > first").select("id").distinct()
@@ -122,47 +90,72 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, light: int
     )
 
 
-def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles among the lowest-hashed ones of each text (twice the prefix), sorted, with their rank by count."""
+def _order(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A row's columns in the common order, by hash among the rare ones, and their ranks (0: rare)."""
+    known, ranks = heavy
+    if not len(known):
+        return tokens, np.zeros(len(tokens), np.int32)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    rank = np.where(known[at] == tokens, ranks[at], 0)
+    order = np.argsort(rank, kind="stable")
+    return tokens[order], rank[order]
 
-    def low(id_, text):
-        tokens = shingle_set(text, n)
-        return (signed(tokens[: 2 * prefix_length(len(tokens), num, den)]),) if len(tokens) else None
 
-    counted = _map(single, low, "tokens array<long>", [pa.list_(pa.int64())], ["tokens"]).select(F.explode("tokens").alias("token")).groupBy("token").count()
-    got = counted.where(F.col("count") > light).orderBy(F.desc("count"), "token").limit(max_heavy).toPandas()
-    tokens = got["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], (len(tokens) - order).astype(np.int32)  # the most frequent one has the highest rank
+def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy: int, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent columns, sorted, with their rank by count.
+
+    The first columns of all rows are counted; frequent ones move to the end of the order, which brings other columns to
+    the front of the rows that had them, so these are counted again, until nothing frequent is found.
+    """
+    known: dict[int, int] = {}
+    heavy = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    for _ in range(rounds):
+        sent = single.sparkSession.sparkContext.broadcast(heavy)
+
+        def front(texts, sent=sent):
+            out = []
+            for tokens in shingle_sets(texts, n):
+                keep = prefix_length(len(tokens), num, den) if len(tokens) else 0
+                order, rank = _order(tokens, sent.value)
+                new = order[:keep][rank[:keep] == 0]
+                if keep and (not len(sent.value[0]) or len(new) < keep or (new != tokens[:keep]).any()):
+                    out.append(signed(new))
+            return [out]
+
+        counted = map_columns(single.select("text"), front, "tokens array<long>", [pa.list_(pa.int64())], ["tokens"]).select(F.explode("tokens").alias("token")).groupBy("token").count()
+        got = counted.where(F.col("count") > light).orderBy(F.desc("count"), "token").limit(max(1, max_heavy - len(known))).toPandas()
+        if not len(got) or len(known) >= max_heavy:
+            break
+        known |= dict(zip(got["token"].tolist(), got["count"].tolist(), strict=True))
+        tokens, counts = np.fromiter(known, np.int64).view(np.uint64), np.fromiter(known.values(), np.int64)
+        ranks = np.empty(len(tokens), np.int32)
+        ranks[np.lexsort((tokens, counts))] = np.arange(1, len(tokens) + 1)
+        order = np.argsort(tokens)
+        heavy = tokens[order], ranks[order]
+    return heavy
 
 
 def _prefixes(single: DataFrame, n: int, num: int, den: int, sent) -> DataFrame:
-    """(token, ck, n, pos): the first columns of each row in the common order."""
+    """(token, ck, n): the first columns of each row in the common order."""
 
-    def first(id_, text):
-        tokens = shingle_set(text, n)
-        if not len(tokens):
-            return None
-        heavy, ranks = sent.value
-        keep, order = prefix_length(len(tokens), num, den), tokens
-        if len(heavy):
-            at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-            rank = np.where(heavy[at] == tokens, ranks[at], 0)
-            order = tokens[np.argsort(rank, kind="stable")]
-        return _key(tokens), len(tokens), signed(order[:keep])
+    def first(texts):
+        sets = [t for t in shingle_sets(texts, n) if len(t)]
+        return [class_key(t)[0] for t in sets], [len(t) for t in sets], [signed(_order(t, sent.value)[0][: prefix_length(len(t), num, den)]) for t in sets]
 
-    arrays = _map(single, first, "ck long, n int, tokens array<long>", [pa.int64(), pa.int32(), pa.list_(pa.int64())], ["ck", "n", "tokens"])
-    return arrays.select("ck", "n", F.posexplode("tokens").alias("pos", "token"))
+    arrays = map_columns(single.select("text"), first, "ck long, n int, tokens array<long>", [pa.int64(), pa.int32(), pa.list_(pa.int64())], ["ck", "n", "tokens"])
+    return arrays.select("ck", "n", F.explode("tokens").alias("token"))
 
 
 def _candidates(prefixes: DataFrame, num: int, den: int, light: int) -> DataFrame:
     """(a, b): pairs that may still link, and for columns with many rows a tie of each row to its smallest neighbour."""
     counted = stored(prefixes.withColumn("df", F.expr("count(*) OVER (PARTITION BY token)")).where("df > 1"))
     few, many = counted.where(F.col("df") <= light), counted.where(F.col("df") > light)
-    x, y = few.select("token", F.col("ck").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")), few.select("token", F.col("ck").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    x, y = few.select("token", F.col("ck").alias("a"), F.col("n").alias("na")), few.select("token", F.col("ck").alias("b"), F.col("n").alias("nb"))
     fit = F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & fit).groupBy("a", "b").agg(F.count("*").alias("o"), F.min("na").alias("na"), F.min("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    reach = pairs.where(f"{num + den} * (o + least(na - 1 - pa, nb - 1 - pb)) >= {num} * (na + nb)").select("a", "b")
+    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & fit).groupBy("a", "b").agg(F.count("*").alias("o"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    # beyond its first columns a row has ceil(t n) - 1 more
+    rest = f"greatest(({num} * na + {den - 1}) DIV {den}, ({num} * nb + {den - 1}) DIV {den}) - 1"
+    reach = pairs.where(f"{num + den} * (o + {rest}) >= {num} * (na + nb)").select("a", "b")
     # sizes within the ratio fall into one class or two neighbouring ones
     classed = many.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
     heads = classed.groupBy("token", "s").agg(F.min("ck").alias("head"))
@@ -189,13 +182,14 @@ def _products(rows: DataFrame, members: DataFrame, n: int, num: int, den: int, b
         key, held = None, {}
         out: list[tuple] = []
         for batch in batches:
-            for grp, i, j, blk, ck, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (grp, i, j):
-                    out += _link(held, key, num, den) if held else []
-                    key, held = (grp, i, j), {}
-                tokens = shingle_set(text, n)
-                if ck not in held and _key(tokens) == ck:
-                    held[ck] = (blk, copies, tokens)
+            for at in range(0, len(batch), 500):
+                columns = [c.to_pylist() for c in batch.slice(at, 500).columns]
+                for grp, i, j, blk, ck, copies, tokens in zip(*columns[:-1], shingle_sets(columns[-1], n), strict=True):
+                    if key != (grp, i, j):
+                        out += _link(held, key, num, den) if held else []
+                        key, held = (grp, i, j), {}
+                    if ck not in held and class_key(tokens)[0] == ck:
+                        held[ck] = (blk, copies, tokens)
                 if len(out) > 50_000:
                     yield _rows(out)
                     out = []

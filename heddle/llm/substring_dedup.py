@@ -27,27 +27,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import Rolling, WordHashes, signed, sliding, stored
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> WordHashes:
-    return WordHashes()
+from heddle.llm.common import Rolling, by_ids, hash_texts, map_columns, signed, sliding, stored
 
 
 class Segments:
-    """The segments of one text: name and hash of each, and the windows [start, end) that it stands for."""
+    """The segments of one text, from its word hashes: name and hash of each, and the windows [start, end) that it stands for."""
 
-    def __init__(self, words: list[bytes], size: int):
+    def __init__(self, hashes: np.ndarray, size: int):
         gram = max(1, size // 2)
-        self.rolling, self.size = Rolling(_hashes().of(words)), size
+        self.rolling, self.size = Rolling(hashes), size
         names = sliding(self.rolling.grams(gram), size - gram + 1, np.minimum)
         cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
         self.start, self.end = np.r_[0, cuts], np.r_[cuts, len(names)]
@@ -59,9 +53,10 @@ class Segments:
         return signed(self.rolling.ranges(starts, starts + self.size))
 
 
-def segments(text: bytes | None, size: int) -> Segments | None:
-    words = text.split() if text else []
-    return Segments(words, size) if len(words) >= size else None
+def all_segments(texts: list[bytes | None], size: int) -> list[Segments | None]:
+    """Of each text; None where there are too few words for a window."""
+    hashes, offsets = hash_texts(texts)
+    return [Segments(hashes[a:b], size) if b - a >= size else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 class SuffixAutomaton:
@@ -147,30 +142,18 @@ def _shard(rows: list[tuple[int, int, bytes]], size: int) -> Iterator[tuple[int,
             yield owner, key, bytes(covered)
 
 
-def _rows(df: DataFrame, make, schema: str, kinds: list[pa.DataType], names: list[str]) -> DataFrame:
-    """mapInArrow by a function that turns a batch's columns into lists of output columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = make(*(c.to_pylist() for c in batch.columns))
-            if columns is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    return df.mapInArrow(run, schema)
-
-
 def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int = 20_000, small: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, mask): per document, segments or windows (by hash) that lie in smaller documents; a null mask means all of it."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
 
     def cut_up(ids, texts):
-        parts = [(i, s) for i, t in zip(ids, texts, strict=True) if (s := segments(t, size))]
+        parts = [(i, s) for i, s in zip(ids, all_segments(texts, size), strict=True) if s]
         if not parts:
             return None
         return np.concatenate([s.name for _, s in parts]), np.concatenate([s.hash for _, s in parts]), np.repeat(np.array([i for i, _ in parts], np.int64), [len(s.name) for _, s in parts])
 
     three = ("name long, key long, id long", [pa.int64()] * 3, ["name", "key", "id"])
-    found = _rows(rows, cut_up, *three)
+    found = map_columns(rows, cut_up, *three)
     shared = stored(found.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("name"))
     few = shared.count() <= small
     uses = stored(found.join(F.broadcast(shared) if few else shared, "name", "left_semi").distinct())
@@ -188,18 +171,15 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
 
     def texts_of(ids, texts, keys):
         out = []
-        for i, text, want in zip(ids, texts, keys, strict=True):
+        for i, text, part, want in zip(ids, texts, all_segments(texts, size), keys, strict=True):
             words, want = text.split(), set(want)
-            part = Segments(words, size) if len(words) >= size else None
             for k in range(len(part.name)) if part else ():
                 if int(part.hash[k]) in want:
                     want.discard(int(part.hash[k]))
                     out.append((int(part.name[k]), int(part.hash[k]), i, b" ".join(words[part.start[k] : part.end[k] + size - 1])))
         return list(zip(*out, strict=True)) if out else None
 
-    from heddle.llm.jaccard_join import by_ids
-
-    shards = _rows(by_ids(rows, wanted, "id", "inner", small // 10), texts_of, "name long, key long, id long, text binary", [*[pa.int64()] * 3, pa.binary()], ["name", "key", "id", "text"])
+    shards = map_columns(by_ids(rows, wanted, "id", "inner", small // 10), texts_of, "name long, key long, id long, text binary", [*[pa.int64()] * 3, pa.binary()], ["name", "key", "id", "text"])
     dealt = shards.repartition("name").sortWithinPartitions("name", "id", "key").select("name", "key", "id", "text")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,15 +212,15 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
 
     def windows_of(ids, texts, keys):
         out_id, out_key = [], []
-        for i, text, want in zip(ids, texts, keys, strict=True):
-            part, want = segments(text, size), set(want)
+        for i, part, want in zip(ids, all_segments(texts, size), keys, strict=True):
+            want = set(want)
             for k in range(len(part.name)) if part else ():
                 if int(part.hash[k]) in want:
                     out_key.append(part.windows(k))
                     out_id.append(np.full(len(out_key[-1]), i, np.int64))
         return (np.concatenate(out_id), np.concatenate(out_key)) if out_id else None
 
-    windows = stored(_rows(by_ids(rows, where, "id", "inner", small // 10), windows_of, "id long, key long", [pa.int64()] * 2, ["id", "key"]).distinct())
+    windows = stored(map_columns(by_ids(rows, where, "id", "inner", small // 10), windows_of, "id long, key long", [pa.int64()] * 2, ["id", "key"]).distinct())
     least = windows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     single = windows.join(least, "key").where("id > lo").select("id", "key", F.lit(None).cast("binary").alias("mask"))
     return later.union(partial).union(single)
@@ -259,7 +239,7 @@ def remove(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: st
         words = text.split() if text else []
         if not marks or len(words) < size:
             return words, len(words), False
-        part, whole, masks = Segments(words, size), set(), {}
+        part, whole, masks = all_segments([text], size)[0], set(), {}
         for mark in marks:
             if mark["mask"] is None:
                 whole.add(mark["key"])
