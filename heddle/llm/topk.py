@@ -148,7 +148,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
     mine = whole.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v")
     asked = whole.where(F.col("q") & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
     # the stated query set goes to every shard
-    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("int").alias("shard"), F.lit(1).alias("asks"), "id", "v")
+    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<int>")).alias("shard"), F.lit(1).alias("asks"), "id", "v")
     dealt = mine.where("id is not null").union(each).repartition("shard").sortWithinPartitions("shard", "asks", "id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
