@@ -12,8 +12,8 @@
 Only features of the sample and at most ``max_lexicon`` words reach the driver; sites are aggregated and joined.
 
 Defined results: a null text is empty and judged by the same models; a null source is a site of its own; repeated rows
-are scored each; without labels, or with labels of one kind, the model in question has no say (log-odds 0 for quality,
-probability 0 for toxicity) and documents are kept; empty tables give an empty result.
+are scored each; without labels, or with labels of one kind, the model in question has no say (probability 1 of quality,
+0 of toxicity) and documents are kept; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -149,7 +149,9 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, site_w
     kind = rows.schema[0].dataType.simpleString()
     scored = cut(rows.mapInArrow(run, f"id {kind}, host string, path string, q double, t double"))
     sigmoid = lambda c: 1 / (1 + F.exp(-c))
-    good = scored.withColumn("good", sigmoid(F.col("q")) * (1 - sigmoid(F.col("t"))))
+    trained = quality_model.weights is not None
+    likely = sigmoid(F.col("q")) if trained else F.lit(1.0)
+    good = scored.withColumn("good", likely * (1 - sigmoid(F.col("t"))))
     paths = good.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("good").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
@@ -161,9 +163,8 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, site_w
     bounded = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("good")))
     inside = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("site_rate")))
     final = sigmoid(odds(bounded) + site_weight * (odds(inside) - math.log(rate / (1 - rate))))
-    trained = quality_model.weights is not None
     out = good.join(rates, ["host", "path"]).withColumn("score", final if trained else F.col("good"))
-    return out.select(F.col("id").alias(id_col), "host", "path", sigmoid(F.col("q")).alias("quality_probability"), sigmoid(F.col("t")).alias("toxic_probability"), "site_rate", "score", (F.col("score") >= 0.5).alias("keep"))
+    return out.select(F.col("id").alias(id_col), "host", "path", likely.alias("quality_probability"), sigmoid(F.col("t")).alias("toxic_probability"), "site_rate", "score", (F.col("score") >= 0.5).alias("keep"))
 
 
 def _train(known: DataFrame) -> tuple[Logistic, Logistic, frozenset[str]]:
