@@ -8,14 +8,19 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
+def arriving(spark: SparkSession, folder: str, schema: StructType, time: str, delay: str) -> DataFrame:
+    """Parquet files as they come, with a watermark; a time without zone counts in the session's zone."""
+    return spark.readStream.schema(schema).parquet(folder).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def distinct_entities(spark: SparkSession, folder: str, schema: StructType, entity: list[str], time: str, delay: str = "1 day") -> DataFrame:
     """Entities seen so far, from files as they arrive; state older than the watermark is dropped."""
-    return spark.readStream.schema(schema).parquet(folder).withWatermark(time, delay).dropDuplicatesWithinWatermark(entity)
+    return arriving(spark, folder, schema, time, delay).dropDuplicatesWithinWatermark(entity)
 
 
 def windowed_counts(spark: SparkSession, folder: str, schema: StructType, time: str, keys: list[str], width: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Counts per time window and key, with late rows up to ``delay``."""
-    events = spark.readStream.schema(schema).parquet(folder).withWatermark(time, delay)
+    events = arriving(spark, folder, schema, time, delay)
     return events.groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
