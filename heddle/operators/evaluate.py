@@ -13,14 +13,21 @@ from heddle.functions.stats import average_rank, md5_order, safe_corr
 
 
 def folds(df: DataFrame, group: str, k: int = 5, repeats: int = 1, seed: int = 0) -> DataFrame:
-    """(repeat, group, fold): distinct groups shuffled by hash and dealt into near-equal folds.
+    """(repeat, group, fold): distinct groups shuffled by hash and dealt into near-equal folds, as ntile() deals.
 
-    The groups are ordered per repeat; with more groups than one task can order, give fewer repeats at a time.
+    No task orders all groups: they are numbered inside the 4,096 ranges of the hash's first digits, and the ranges'
+    counts give the offsets.
     """
     groups = df.select(group).where(F.col(group).isNotNull()).distinct()
-    reps = groups.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = Window.partitionBy("repeat").orderBy(md5_order(seed, "repeat", group), group)
-    return reps.withColumn("fold", F.ntile(k).over(w) - 1)
+    reps = groups.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("__h", md5_order(seed, "repeat", group)).withColumn("__b", F.substring("__h", 1, 3))
+    counts = reps.groupBy("repeat", "__b").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy("repeat")
+    offsets = counts.select("repeat", "__b", (F.sum("__c").over(w.orderBy("__b")) - F.col("__c")).alias("__o"), F.sum("__c").over(w).alias("__n"))
+    rn = F.row_number().over(Window.partitionBy("repeat", "__b").orderBy("__h", group)) - 1
+    at = reps.withColumn("__r", rn).join(F.broadcast(offsets), ["repeat", "__b"]).withColumn("__r", F.col("__r") + F.col("__o"))
+    small, extra = F.floor(F.col("__n") / k), F.col("__n") % k
+    fold = F.when(F.col("__r") < extra * (small + 1), F.floor(F.col("__r") / (small + 1))).otherwise(extra + F.floor((F.col("__r") - extra * (small + 1)) / F.greatest(small, F.lit(1))))
+    return at.select(group, "repeat", fold.cast("int").alias("fold"))
 
 
 def check_groups(df: DataFrame, group: str) -> int:

@@ -102,3 +102,51 @@ def prefixed(df: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
     for p in prefixes:
         hit = hit | F.col(column).startswith(p)
     return df.where(hit)
+
+
+def panel_design(response: DataFrame, features: DataFrame, panel: list[str], cell: str, y: str, feature: str, value: str, top: int | None = None) -> DataFrame:
+    """Per panel and cell the mean response and a feature vector; missing values get the feature's mean,
+    and with ``top`` only the features of highest variance stay."""
+    means = response.groupBy(*panel, cell).agg(F.avg(y).alias("y")).where("y is not null")
+    if top:
+        from heddle.operators.layers import top_variance
+
+        features = features.join(F.broadcast(top_variance(features, feature, value, top).select(feature)), feature, "left_semi")
+    average = features.groupBy(feature).agg(F.avg(value).alias("__m"))
+    cells = means.select(cell).distinct().join(features.select(cell).distinct(), cell, "left_semi")
+    grid = cells.crossJoin(F.broadcast(average)).join(features.select(cell, feature, value), [cell, feature], "left")
+    vectors = grid.groupBy(cell).agg(F.transform(F.array_sort(F.collect_list(F.struct(feature, F.coalesce(F.col(value), F.col("__m")).alias("__v")))), lambda s: s["__v"]).alias("vector"))
+    return means.join(vectors, cell)
+
+
+def expression_store(wide: DataFrame, samples: DataFrame, gene: str, sample: str, cell: str, order: str) -> DataFrame:
+    """A wide matrix (a column per sample) as (gene, cell, value) of log1p values; of the samples of one cell
+    the first counts, and of the rows of one gene, version suffixes aside, the first by name."""
+    from heddle.functions.stats import keep_first
+    from heddle.functions.text import first_token
+
+    chosen = keep_first(samples.where(F.col(cell).isNotNull()), [cell], [order])
+    columns = [c for c in wide.columns if c != gene]
+    rows = keep_first(wide.withColumn("__g", first_token(F.col(gene))), ["__g"], [gene]).drop(gene).withColumnRenamed("__g", gene)
+    long = rows.select(gene, *(F.col(f"`{c}`").cast("double").alias(c) for c in columns)).unpivot([gene], columns, sample, "value")
+    return long.join(F.broadcast(chosen.select(sample, cell)), sample).select(gene, cell, F.log1p("value").alias("value"))
+
+
+def embed_names(names: DataFrame, cache: DataFrame, name: str, vector: str) -> DataFrame:
+    """Vectors of names by exact key; what the cache lacks has a null vector, for a model to fill in."""
+    return names.join(cache.dropDuplicates([name]).select(name, vector), name, "left")
+
+
+def gene_sets(df: DataFrame, name: str, gene: str) -> DataFrame:
+    """Distinct (set, gene) pairs without blanks."""
+    return df.select(F.trim(name).alias(name), F.trim(gene).alias(gene)).where((F.col(name) != "") & (F.col(gene) != "")).distinct()
+
+
+def pooled_null(df: DataFrame, keys: list[str], mean: str, sd: str, draws: int = 100, seed: int = 0, least_sd: float = 1e-3) -> DataFrame:
+    """Draws from Normal(mean, max(sd, least_sd)) of each row, as column ``draw``; by hash, so the same everywhere."""
+    from heddle.functions.stats import md5_order
+
+    each = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__h", md5_order(seed, *keys, "k"))
+    uniform = lambda at: (F.conv(F.substring("__h", at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    normal = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * F.pi() * uniform(9))
+    return each.withColumn("draw", F.col(mean) + F.greatest(F.col(sd), F.lit(least_sd)) * normal).drop("__h")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.operators.harmonize import add_metric
+from heddle.session import ship_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship_path(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:

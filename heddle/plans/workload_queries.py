@@ -139,3 +139,46 @@ def drug_tables(spark, sf_dir):
     from heddle.functions.text import norm_name
 
     return raw(spark, sf_dir).groupBy("cohort", F.col("drug_name").alias("native")).agg(F.count("*").alias("n")).withColumn("nname", norm_name(F.col("native")))
+
+
+@register(
+    "r05_pooled_null",
+    "SELECT c_nationkey, round(quantile_cont(m + greatest(s, 0.001) * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2), 0.95), 5) p95 FROM (SELECT c_nationkey, m, s, (('0x' || substr(h, 1, 8))::bigint + 0.5::double) / 4294967296.0::double u1, (('0x' || substr(h, 9, 8))::bigint + 0.5::double) / 4294967296.0::double u2 FROM (SELECT *, md5('0|' || c_nationkey || '|' || k) h FROM (SELECT c_nationkey, round(avg(c_acctbal), 6) m, round(stddev_pop(c_acctbal), 6) s FROM customer GROUP BY 1), range(1, 101) r(k))) GROUP BY 1",
+)
+def pooled_null(spark, sf_dir):
+    base = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(R6(F.avg("c_acctbal")).alias("m"), R6(F.stddev_pop("c_acctbal")).alias("s"))
+    draws = L.pooled_null(base, ["c_nationkey"], "m", "s")
+    return draws.groupBy("c_nationkey").agg(F.round(F.percentile("draw", F.lit(0.95)), 5).alias("p95"))
+
+
+@register(
+    "l15_panel_design",
+    with_sql(
+        """SELECT disease, drug, cell, round(y, 6) y, len(v) n_features, round(list_sum(v), 5) total FROM (SELECT disease, drug, cell, avg(sens_z) y FROM metric WHERE drug < 'Brand#13' GROUP BY ALL) p JOIN (SELECT vec_id, list_transform(range(1, 17), lambda i: embedding[i]::double) v FROM embeddings) ON vec_id = cell WHERE y IS NOT NULL""",
+        METRIC,
+    ),
+)
+def panel_design(spark, sf_dir):
+    from heddle.plans.fixture import expression
+
+    out = L.panel_design(metric(spark, sf_dir).where("drug < 'Brand#13'"), expression(spark, sf_dir).where("gene < 16"), ["disease", "drug"], "cell", "sens_z", "gene", "value")
+    return out.select("disease", "drug", "cell", R6("y").alias("y"), F.size("vector").cast("long").alias("n_features"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@register(
+    "l19_expression_store",
+    "WITH f AS (SELECT p_brand AS gene, * FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) rn FROM part) WHERE rn = 1) SELECT gene, 'c1' AS cell, round(ln(1 + p_size), 6) AS value FROM f UNION ALL SELECT gene, 'c2', round(ln(1 + p_retailprice), 6) FROM f",
+)
+def expression_store(spark, sf_dir):
+    wide = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("."), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("gene"), F.col("p_size").alias("s1"), F.col("p_retailprice").alias("s2"), F.col("p_partkey").alias("s3"))
+    samples = spark.sql("SELECT * FROM VALUES ('s1', 'c1', 1), ('s2', 'c2', 2), ('s3', 'c2', 3), ('s4', null, 4) AS t(sample, cell, o)")
+    out = L.expression_store(wide, samples, "gene", "sample", "cell", "o")
+    return out.select("gene", "cell", R6("value").alias("value"))
+
+
+@register("v04_s15_embed_names", "SELECT p_brand, (p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 5 = 0)) AS known FROM (SELECT DISTINCT trim(p_brand) p_brand, trim(p_name) n FROM part WHERE trim(p_name) <> '')")
+def embed_names(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    names = L.gene_sets(p, "p_brand", "p_name")
+    cache = p.where("p_partkey % 5 = 0").select("p_brand", F.array(F.lit(1.0)).alias("vector"))
+    return L.embed_names(names, cache, "p_brand", "vector").select("p_brand", F.col("vector").isNotNull().alias("known"))

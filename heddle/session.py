@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,9 @@ def session(app: str = "heddle", cores: int | str | None = None, partitions: int
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship_path(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package by the driver's path, where it isn't installed for them."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+    return spark
