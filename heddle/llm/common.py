@@ -178,6 +178,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     stars around the smallest ids in about log(n) rounds.
     """
     e = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    before = _stamp(e)
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -187,19 +188,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = big.groupBy("v").agg(F.min("u").alias("m"))
         small = big.join(least, "v")
         new = cut(small.select(F.col("m").alias("u"), F.col("u").alias("v")).union(small.select(F.col("m").alias("u"), "v")).where("u <> v").distinct())
-        if not _changed(e, new):
-            e = new
+        e, after = new, _stamp(new)
+        if before == after:
             break
-        e = new
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     heads = e.select("u").distinct()
     return e.select(F.col("v").alias("id"), F.col("u").alias("component")).union(heads.select("u", "u"))
 
 
-def _changed(old: DataFrame, new: DataFrame) -> bool:
-    stamp = [F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31)), F.bit_xor(F.xxhash64("v", "u"))]
-    return old.agg(*stamp).first() != new.agg(*stamp).first()
+def _stamp(edges: DataFrame) -> tuple:
+    """Equal for equal edge sets."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31)), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
 def map_columns(df: DataFrame, make, schema: str, kinds: list, names: list[str]) -> DataFrame:
@@ -215,13 +216,26 @@ def map_columns(df: DataFrame, make, schema: str, kinds: list, names: list[str])
     return df.mapInArrow(run, schema)
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, limit: int = 2_000_000) -> DataFrame:
-    """Joins docs with a table of ids; it is broadcast if it has at most ``limit`` rows, else both sides are shuffled."""
-    small = ids.count() <= limit
-    return docs.join(F.broadcast(ids) if small else ids, id_col, how)
+def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, limit: int = 2_000_000, lists: str | None = None) -> DataFrame:
+    """Joins docs with a table of ids; it is broadcast if it has at most ``limit`` rows, else both sides are shuffled.
+
+    ``lists`` names an array column of ids; then its elements are what is counted.
+    """
+    total = ids.agg(F.sum(F.size(lists) + 4)).first()[0] or 0 if lists else ids.count()
+    return docs.join(F.broadcast(ids) if total <= limit else ids, id_col, how)
+
+
+def settle(spark: SparkSession, batch_rows: int = 500) -> SparkSession:
+    """What the operators ask of a session: small Arrow batches, as one text may be very long, and workers that give memory
+    back; Python workers find this package by the driver's path where it isn't installed.  Set before the first batch runs."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > batch_rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    environment = spark.sparkContext.environment
+    environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    environment.setdefault("MALLOC_ARENA_MAX", "2")
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers find this package by the driver's path where it isn't installed
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")

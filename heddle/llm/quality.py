@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import cut
+from heddle.llm.common import cut, settle
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"[^\w\s.,;:'\"()?-]")
+_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 N_DENSE = 9
 
 
@@ -44,10 +45,9 @@ def dense_features(text: str, words: list[str]) -> list[float]:
     n, chars = max(1, len(words)), len(text)
     counts = Counter(words)
     raw = text.encode()
-    upper = sum(map(str.isupper, text)) if text.upper() == text else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     return [
         math.log1p(len(words)),
-        upper / chars,
+        len(_UPPER.findall(text)) / chars,
         len(_ODD.findall(text)) / n,
         text.count("|") / n,
         text.count("!") / n,
@@ -102,7 +102,8 @@ def _inputs(texts: list[str | None], lexicon: frozenset[str]) -> np.ndarray:
 
 
 def learn_lexicon(words: DataFrame, n_toxic: int, max_lexicon: int = 500) -> frozenset[str]:
-    """From (word, toxic) rows, one per document and distinct word: words of at least a twentieth of the toxic texts, and 6 of them, of whose texts nine tenths are toxic."""
+    """From (word, toxic) rows, one per document and distinct word: the words of at least 8 % of the toxic texts, and of 6 of
+    them, if 85 % of the texts that have the word are toxic."""
     if not n_toxic:
         return frozenset()
     counts = words.groupBy("word").agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
@@ -126,8 +127,9 @@ def _strength(groups: DataFrame, rate: float) -> float:
     return float(min(1e6, max(1.0, spread / between - 1))) if between > 1e-9 else 1e6
 
 
-def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, site_weight: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, site_weight: float = 0.5, max_sites: int = 200_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, host, path, quality_probability, toxic_probability, site_rate, score, keep) of every row."""
+    settle(docs.sparkSession)
     host, path = site(F.col(source_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), host.alias("host"), path.alias("path"))
     sample = (
@@ -158,7 +160,9 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, site_w
     rate = min(1 - 1e-6, max(1e-6, total["s"] / total["n"])) if total["n"] else 0.5
     a_host, a_path = _strength(hosts, rate), _strength(paths, rate)
     host_rates = hosts.select("host", ((F.col("s") + a_host * rate) / (F.col("n") + a_host)).alias("host_rate"))
-    rates = paths.join(host_rates, "host").select("host", "path", ((F.col("s") + a_path * F.col("host_rate")) / (F.col("n") + a_path)).alias("site_rate"))
+    rates = cut(paths.join(host_rates, "host").select("host", "path", ((F.col("s") + a_path * F.col("host_rate")) / (F.col("n") + a_path)).alias("site_rate")))
+    # a host may hold a third of all rows: they stay where they are, unless there are very many sites
+    rates = F.broadcast(rates) if rates.count() <= max_sites else rates
     odds = lambda p: F.log(p / (1 - p))
     bounded = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("good")))
     inside = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("site_rate")))
