@@ -196,3 +196,26 @@ def test_spark_elastic_net_agrees(spark):
     fit = LinearRegression(labelCol="y", regParam=reg, elasticNetParam=l1).fit(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df))
     own = M.elastic_net(x, y, 0.3, 0.5)
     assert np.allclose(x @ fit.coefficients.toArray() + fit.intercept, own(x), atol=0.05)
+
+
+def test_pooled_errors(spark):
+    df = spark.createDataFrame([("A", "c1", "d1", "L", 1.0)], "cohort string, cell string, drug string, disease string, y double")
+    with pytest.raises(ValueError, match="unknown cohort"):
+        M.pooled(df, "cell", "drug", cohort="x")
+    with pytest.raises(ValueError, match="fewer than two cells"):
+        M.pooled(df, "cell", "drug", least_lines=1)
+
+
+def test_registry_refuses_a_second_name():
+    from heddle.plans import registry
+
+    name = next(iter(registry.queries()))
+    with pytest.raises(ValueError):
+        registry.register(name)(lambda s, d: None)
+
+
+def test_unknown_arm(spark):
+    from heddle.operators.workloads import mean_arm
+
+    with pytest.raises(KeyError):
+        mean_arm(spark.range(1), "nothing", [])
