@@ -38,38 +38,58 @@ def check_groups(df: DataFrame, group: str) -> int:
     return n
 
 
+def _fold_sums(df: DataFrame, y: str, fold: str, within: list[str], keys: list[str]) -> DataFrame:
+    """Sums and counts per (within, keys, fold): small, and all that means over other folds need."""
+    return df.groupBy(*within, *keys, fold).agg(F.coalesce(F.sum(y), F.lit(0.0)).alias("__s"), F.count(y).alias("__n"))
+
+
+def _other_folds(s: Column, n: Column, fold: str, keys: list[str]) -> Column:
+    """The mean over the same keys in other folds, as windows over a table of sums; null if there are no rows."""
+    every, own = Window.partitionBy(*keys), Window.partitionBy(*keys, fold)
+    return F.try_divide(F.sum(s).over(every) - F.sum(s).over(own), F.nullif(F.sum(n).over(every) - F.sum(n).over(own), F.lit(0)))
+
+
 def leave_fold_out(df: DataFrame, y: str, fold: str, keys: list[str], name: str, within: list[str] | None = None) -> DataFrame:
-    """Adds the mean of y over rows with the same keys in other folds; null if there are none.
+    """Adds the mean of y over rows with the same keys in other folds; null if there are none."""
+    within = within or []
+    sums = _fold_sums(df, y, fold, within, keys).withColumn(name, _other_folds(F.col("__s"), F.col("__n"), fold, [*within, *keys]))
+    return df.join(sums.drop("__s", "__n"), [*within, *keys, fold])
+
 
-    Sums are aggregated by (keys, fold) and joined back, so a key with very many rows is summed before the shuffle.
+def _ladder(df: DataFrame, y: str, fold: str, within: list[str], rungs: list[list[str]]) -> DataFrame:
+    """One row per (within, all keys, fold) with ``base``: the mean over other folds of the first rung that has rows.
+
+    All rungs come from one table of sums of the finest keys, so the rows themselves are read once for it.
     """
-    keys = [*(within or []), *keys]
-    per = df.groupBy(*keys, fold).agg(F.sum(y).alias("__s"), F.count(y).alias("__n"))
-    w = Window.partitionBy(*keys)
-    out = per.withColumn(name, F.try_divide(F.sum("__s").over(w) - F.coalesce("__s", F.lit(0.0)), F.nullif(F.sum("__n").over(w) - F.col("__n"), F.lit(0)))).drop("__s", "__n")
-    return df.join(out, [*keys, fold])
+    keys = list(dict.fromkeys(k for r in rungs for k in r))
+    sums = _fold_sums(df, y, fold, within, keys)
+    return sums.withColumn("base", F.coalesce(*(_other_folds(F.col("__s"), F.col("__n"), fold, [*within, *r]) for r in rungs)))
 
 
 def drug_mean(df: DataFrame, y: str, drug: str, fold: str, within: list[str]) -> DataFrame:
     """The drug's mean over the other folds, else the mean of all other rows."""
-    out = leave_fold_out(leave_fold_out(df, y, fold, [drug], "__drug", within), y, fold, [], "__all", within)
-    return out.withColumn("y_pred", F.coalesce("__drug", "__all")).drop("__drug", "__all")
+    means = _ladder(df, y, fold, within, [[drug], []]).withColumnRenamed("base", "y_pred")
+    return df.join(means.drop("__s", "__n"), [*within, drug, fold])
 
 
 def residual(df: DataFrame, y: str, drug: str, fold: str, within: list[str], disease: str | None = None) -> DataFrame:
     """Y less the mean over other folds, of the drug, or of (disease, drug) with drug and global as fallbacks."""
-    out = leave_fold_out(leave_fold_out(df, y, fold, [drug], "__drug", within), y, fold, [], "__all", within)
-    rungs = ["__drug", "__all"]
-    if disease:
-        out = leave_fold_out(out, y, fold, [disease, drug], "__panel", within)
-        rungs = ["__panel", *rungs]
-    return out.withColumn("base", F.coalesce(*rungs)).withColumn("residual", F.col(y) - F.col("base")).drop(*rungs)
+    rungs = [[disease, drug]] if disease else []
+    means = _ladder(df, y, fold, within, [*rungs, [drug], []]).drop("__s", "__n")
+    return df.join(means, [*within, *([disease] if disease else []), drug, fold]).withColumn("residual", F.col(y) - F.col("base"))
 
 
 def tissue_oracle(df: DataFrame, y: str, cell: str, drug: str, disease: str, fold: str, within: list[str]) -> DataFrame:
-    """The residual of (disease, drug) predicted by the disease's mean residual over the other folds; 0 if it has none."""
-    res = residual(df, y, drug, fold, within, None)
-    return leave_fold_out(res, "residual", fold, [disease], "__d", within).withColumn("y_pred", F.coalesce("__d", F.lit(0.0))).drop("__d")
+    """The residual of the drug predicted by the disease's mean residual over the other folds; 0 if it has none.
+
+    Residuals add up from the same sums: those of (disease, drug, fold) less their count times the base.
+    """
+    sums = _fold_sums(df, y, fold, within, [disease, drug])
+    base = F.coalesce(*(_other_folds(F.col("__s"), F.col("__n"), fold, [*within, *r]) for r in ([drug], [])))
+    left = sums.withColumn("base", base).withColumn("__r", F.col("__s") - F.col("__n") * F.col("base"))
+    means = left.withColumn("y_pred", F.coalesce(_other_folds(F.col("__r"), F.col("__n"), fold, [*within, disease]), F.lit(0.0)))
+    met = df.join(means.drop("__s", "__n", "__r"), [*within, disease, drug, fold])
+    return met.withColumn("residual", F.col(y) - F.col("base"))
 
 
 def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str = "y_pred", least: int = 3) -> DataFrame:
