@@ -2,14 +2,14 @@
 
 1. Two logistic models on a dozen numbers per document are fitted on a bounded sample of labelled rows
    (``max_labelled``, the rows whose id hashes lowest): one for quality, one for toxicity.  The toxic model's main input
-   is a lexicon that the sample gives: words that are frequent in toxic texts and nearly absent from others.
+   is a lexicon that the sample gives: words that are nearly absent from other texts and together cover the toxic ones.
 2. Every document gets its probability of being good (of quality, not toxic).
 3. Grouped sums of these give the rate of each host and of each path in it.  Rates shrink: a path's towards its host's,
    a host's towards the global one, by a prior strength estimated from how much rates differ (method of moments), so
    a site with few documents stays near the prior.
 4. The site's log-odds, less the global ones, times ``site_weight``, are added to the document's own.
 
-Only features of the sample and at most ``max_lexicon`` words reach the driver; sites are aggregated and joined.
+Only numbers and candidate words (5,000) of the sample reach the driver; sites are aggregated and joined.
 
 Defined results: a null text is empty and judged by the same models; a null source is a site of its own; repeated rows
 are scored each; without labels, or with labels of one kind, the model in question has no say (probability 1 of quality,
@@ -101,14 +101,54 @@ def _inputs(texts: list[str | None], lexicon: frozenset[str]) -> np.ndarray:
     return rows
 
 
-def learn_lexicon(words: DataFrame, n_toxic: int, max_lexicon: int = 500) -> frozenset[str]:
-    """From (word, toxic) rows, one per document and distinct word: the words of at least 8 % of the toxic texts, and of 6 of
-    them, if 85 % of the texts that have the word are toxic."""
-    if not n_toxic:
-        return frozenset()
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
-    found = counts.where((F.col("hits") >= max(6, n_toxic * 0.08)) & (F.col("hits") >= 0.85 * F.col("texts"))).orderBy(F.desc("hits"), "word").limit(max_lexicon)
-    return frozenset(r["word"] for r in found.collect())
+def cover(texts: list[list[str]], least: int = 3, most: int = 500) -> list[str]:
+    """Greedy set cover: again and again the word that most texts have of which no word is chosen yet, down to ``least``.
+
+    Words that merely come along with a chosen one, as in copies of one text, add nothing and are left out.
+    """
+    gain, where = Counter(w for t in texts for w in t), {}
+    for k, t in enumerate(texts):
+        for w in t:
+            where.setdefault(w, []).append(k)
+    open_, chosen = set(range(len(texts))), []
+    while gain and len(chosen) < most:
+        word = min(gain, key=lambda w: (-gain[w], w))
+        if gain[word] < least:
+            break
+        chosen.append(word)
+        for k in where[word]:
+            if k in open_:
+                open_.discard(k)
+                gain.subtract(texts[k])
+        del gain[word]
+    return chosen
+
+
+def learn_lexicon(known: DataFrame, max_candidates: int = 5_000, max_lexicon: int = 500) -> frozenset[str]:
+    """Words that mark toxic texts, from distinct sample rows (text, toxic); languages each have their own.
+
+    Candidates are words of at least 4 texts of which 80 % are toxic; of these a greedy cover of the toxic texts is
+    taken, and besides it every word of at least 8 % of the toxic texts.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [sorted(set(_words(t or ""))) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
+
+    each = known.select("text", "toxic").mapInArrow(words, "words array<string>, toxic int")
+    counts = each.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
+    found = counts.where((F.col("hits") >= 4) & (F.col("hits") >= 0.8 * F.col("texts"))).orderBy(F.desc("hits"), "word").limit(max_candidates).collect()
+    candidates = frozenset(r["word"] for r in found)
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(candidates.intersection(_words(t or ""))) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["words"])
+
+    toxic = known.where("toxic = 1").select("text").mapInArrow(present, "words array<string>")
+    texts = sorted(r["words"] for r in toxic.collect())
+    common = [r["word"] for r in found if r["hits"] >= max(6, 0.08 * len(texts))]
+    return frozenset([*common, *cover(texts)][:max_lexicon])
 
 
 def site(source: Column) -> tuple[Column, Column]:
@@ -174,13 +214,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, site_w
 def _train(known: DataFrame) -> tuple[Logistic, Logistic, frozenset[str]]:
     """Both models and the lexicon, from the labelled sample."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [sorted(set(_words(t or ""))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string())), batch.column(3)], names=["words", "toxic"])
-
-    toxic_texts = known.where("toxic = 1").count()
-    lexicon = learn_lexicon(known.mapInArrow(words, "words array<string>, toxic int").select(F.explode("words").alias("word"), "toxic"), toxic_texts)
+    lexicon = learn_lexicon(known.select("text", "toxic").dropDuplicates(["text"]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
