@@ -127,7 +127,7 @@ def cover(texts: list[list[str]], least: int = 3, most: int = 500) -> list[str]:
 def learn_lexicon(known: DataFrame, max_candidates: int = 5_000, max_lexicon: int = 500) -> frozenset[str]:
     """Words that mark toxic texts, from distinct sample rows (text, toxic); languages each have their own.
 
-    Candidates are words of at least 4 texts of which 80 % are toxic; of these a greedy cover of the toxic texts is
+    Candidates are words of at least 4 toxic texts that make up 80 % of those that have it, one more clean one added; of these a greedy cover of the toxic texts is
     taken, and besides it every word of at least 8 % of the toxic texts.
     """
 
@@ -138,7 +138,7 @@ def learn_lexicon(known: DataFrame, max_candidates: int = 5_000, max_lexicon: in
 
     each = known.select("text", "toxic").mapInArrow(words, "words array<string>, toxic int")
     counts = each.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
-    found = counts.where((F.col("hits") >= 4) & (F.col("hits") >= 0.8 * F.col("texts"))).orderBy(F.desc("hits"), "word").limit(max_candidates).collect()
+    found = counts.where((F.col("hits") >= 4) & (F.col("hits") >= 0.8 * (F.col("texts") + 1))).orderBy(F.desc("hits"), "word").limit(max_candidates).collect()
     candidates = frozenset(r["word"] for r in found)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
