@@ -13,7 +13,7 @@ lower-cased and cut at ASCII white space; a text of fewer words is one shingle;
    overlap is at most what was counted plus the rest of that row.  A column with more than ``light`` rows isn't multiplied out: its rows are tied to their smallest member
    (by size class), which keeps every possible pair inside one group without listing pairs.
 4. The groups that these pairs and ties form (connected components) hold every link.  Each row of a group gets its
-   whole text once per pair of blocks; blocks have a bounded number of rows and shingles, and a group of any size is
+   whole text once per pair of blocks; blocks have a bounded number of rows and shingles (a few times ``block``), and a group of any size is
    spread over its block pairs.  The product of two blocks gives exact overlaps, and so the links.
 5. Links come back as a spanning forest and as counts per class, and components give the result.
 
@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import by_ids, components, cut, map_columns, mix, shingle_sets, signed, stored
+from heddle.llm.common import by_ids, components, cut, map_columns, mix, settle, shingle_sets, signed, stored
 
 
 def class_key(tokens: np.ndarray) -> tuple[int, int]:
@@ -49,12 +49,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, light: int = 50, max_heavy: int = 500_000, block: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, light: int = 50, max_heavy: int = 500_000, block: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every row.
 
     ``component_id`` is the smallest id reachable by links, ``n_links`` the number of other rows that a row links with,
     copies included.
     """
+    settle(docs.sparkSession)
     rows = _texts(docs, id_col, text_col)
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -67,7 +68,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, light: int
     sized = cut(map_columns(rows, measure, f"id {id_type}, n int, ck long, proof long", [id_kind, pa.int32(), pa.int64(), pa.int64()], ["id", "n", "ck", "proof"]))
     classes = sized.where("n > 0").groupBy("ck", "proof", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     # one row for each class stands for it: the rows whose id is the smallest of its class
-    copies = sized.where("n > 0").join(classes.select("ck", "proof", "n", "first"), ["ck", "proof", "n"]).where("id > first").select("id").distinct()
+    repeated = cut(classes.where("copies > 1").select("ck", "proof", "first"))
+    # one class may hold very many rows: they stay where they are, unless there are very many such classes
+    repeated = F.broadcast(repeated) if repeated.count() <= 500_000 else repeated
+    copies = sized.join(repeated, ["ck", "proof"]).where("id > first").select("id").distinct()
     copies = cut(copies.join(classes.select(F.col("first").alias("id")), "id", "left_anti"))
     single = by_ids(rows, copies, "id", "left_anti")
 
@@ -158,7 +162,8 @@ def _candidates(prefixes: DataFrame, num: int, den: int, light: int) -> DataFram
     reach = pairs.where(f"{num + den} * (o + {rest}) >= {num} * (na + nb)").select("a", "b")
     # sizes within the ratio fall into one class or two neighbouring ones
     classed = many.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
-    heads = classed.groupBy("token", "s").agg(F.min("ck").alias("head"))
+    heads = cut(classed.groupBy("token", "s").agg(F.min("ck").alias("head")))
+    heads = F.broadcast(heads) if heads.count() <= 500_000 else heads  # else a shuffled join, whose large keys Spark splits
     own = classed.join(heads, ["token", "s"]).select(F.col("ck").alias("a"), F.col("head").alias("b"))
     next_ = heads.select("token", (F.col("s") - 1).alias("s"), F.col("head").alias("b"))
     across = heads.join(next_, ["token", "s"]).select(F.col("head").alias("a"), "b")
@@ -167,11 +172,15 @@ def _candidates(prefixes: DataFrame, num: int, den: int, light: int) -> DataFram
 
 def _products(rows: DataFrame, members: DataFrame, n: int, num: int, den: int, block: int, id_type: str) -> DataFrame:
     """(a, b, w): a spanning forest of the links inside each block pair (w null), and linked rows per class (b null)."""
-    weight = F.sum(F.col("n") + F.lit(block // 1000)).over(_window())
-    blocks = members.withColumn("blk", F.floor(weight / block).cast("int"))
+    # blocks by size: running sums over the sizes of a group, not over its rows; rows of one size are spread by hash
+    heft = F.col("n") + F.lit(block // 1000)
+    sizes = members.groupBy("grp", "n").agg(F.sum(heft).alias("heft"))
+    before = F.sum("heft").over(Window.partitionBy("grp").orderBy("n")) - F.col("heft")
+    sizes = sizes.select("grp", "n", F.floor(before / block).cast("int").alias("at"), F.ceil(F.col("heft") / block).cast("int").alias("parts"))
+    blocks = members.join(sizes, ["grp", "n"]).withColumn("blk", (F.col("at") + F.pmod(F.xxhash64("ck"), F.col("parts"))).cast("int"))
     spans = blocks.groupBy("grp", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     other = spans.select("grp", F.col("blk").alias("blk2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = spans.join(other, "grp").where(f"blk <= blk2 AND {den} * lo2 <= {den} * hi * {den} / {num}").select("grp", F.col("blk").alias("i"), F.col("blk2").alias("j"))
+    pairs = spans.join(other, "grp").where(f"blk <= blk2 AND {num} * lo2 <= {den} * hi AND {num} * lo <= {den} * hi2").select("grp", F.col("blk").alias("i"), F.col("blk2").alias("j"))
     first = blocks.join(pairs.select("grp", F.col("i").alias("blk"), "i", "j"), ["grp", "blk"])
     second = blocks.join(pairs.where("i < j").select("grp", F.col("j").alias("blk"), "i", "j"), ["grp", "blk"])
     wanted = first.union(second).select("id", "grp", "i", "j", "blk", "ck", "copies")
@@ -199,12 +208,6 @@ def _products(rows: DataFrame, members: DataFrame, n: int, num: int, den: int, b
     return dealt.mapInArrow(run, "a long, b long, w long")
 
 
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("grp").orderBy("n", "ck")
-
-
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*out, strict=True)) if out else [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "w"])
