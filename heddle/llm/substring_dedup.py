@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import Rolling, by_ids, hash_texts, map_columns, signed, sliding, stored
+from heddle.llm.common import Rolling, by_ids, hash_texts, map_columns, settle, signed, sliding, stored
 
 
 class Segments:
@@ -167,7 +167,7 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
 
     # different segments of one name, through the automata; a name with one segment has nothing else to match
     several = sizes.where((F.col("count") > 1) & (F.col("count") <= hot)).select("name")
-    wanted = firsts.join(several, "name", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    wanted = stored(firsts.join(several, "name", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys")))
 
     def texts_of(ids, texts, keys):
         out = []
@@ -179,7 +179,7 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
                     out.append((int(part.name[k]), int(part.hash[k]), i, b" ".join(words[part.start[k] : part.end[k] + size - 1])))
         return list(zip(*out, strict=True)) if out else None
 
-    shards = map_columns(by_ids(rows, wanted, "id", "inner", small // 10), texts_of, "name long, key long, id long, text binary", [*[pa.int64()] * 3, pa.binary()], ["name", "key", "id", "text"])
+    shards = map_columns(by_ids(rows, wanted, "id", "inner", small // 2, "keys"), texts_of, "name long, key long, id long, text binary", [*[pa.int64()] * 3, pa.binary()], ["name", "key", "id", "text"])
     dealt = shards.repartition("name").sortWithinPartitions("name", "id", "key").select("name", "key", "id", "text")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
     # names in very many contexts: by whole windows
     if busy.isEmpty():
         return later.union(partial)
-    where = is_busy(uses, "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    where = stored(is_busy(uses, "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys")))
 
     def windows_of(ids, texts, keys):
         out_id, out_key = [], []
@@ -220,7 +220,7 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
                     out_id.append(np.full(len(out_key[-1]), i, np.int64))
         return (np.concatenate(out_id), np.concatenate(out_key)) if out_id else None
 
-    windows = stored(map_columns(by_ids(rows, where, "id", "inner", small // 10), windows_of, "id long, key long", [pa.int64()] * 2, ["id", "key"]).distinct())
+    windows = stored(map_columns(by_ids(rows, where, "id", "inner", small // 2, "keys"), windows_of, "id long, key long", [pa.int64()] * 2, ["id", "key"]).distinct())
     least = windows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     single = windows.join(least, "key").where("id > lo").select("id", "key", F.lit(None).cast("binary").alias("mask"))
     return later.union(partial).union(single)
@@ -229,6 +229,7 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
 def remove(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, **options) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every row; ``keep_text`` gives all columns of docs instead, with the text's words
     that stay joined by one space (a text that loses nothing stays as it is)."""
+    settle(docs.sparkSession)
     covered = coverage(docs, size, id_col=id_col, text_col=text_col, **options)
     # a document's list is at most as long as the document
     lists = covered.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("key", "mask")).alias("__covered"))
