@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import Rolling, WordHashes
+from heddle.llm.common import Rolling, WordHashes, settle
 
 _WORD = re.compile(r"\w+")
 _BASE, _MASK = 0x100000001B3, (1 << 61) - 1
@@ -138,6 +138,7 @@ def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[object, str]]
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, min_tile: int = 5, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, coverage, n_tiles, longest) of every document and item that it leaks."""
+    settle(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("key"), F.col(item_text_col).cast("string").alias("text")).where("trim(text) <> ''").distinct()
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kinds = two.schema[0].dataType.simpleString(), items.schema[0].dataType.simpleString()

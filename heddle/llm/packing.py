@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.common import settle
+
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
 
@@ -91,5 +93,6 @@ def pack(docs: DataFrame, spec_path: str, ranks_path: str, capacity: int = 1024,
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names=names)
 
+    settle(docs.sparkSession)
     two = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
     return two.mapInArrow(run, f"`{id_col}` {two.schema[0].dataType.simpleString()}, {SCHEMA}" + ", ids array<int>" * with_ids)

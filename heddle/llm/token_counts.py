@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm.common import settle
+
 #: Fixed value: the pre-tokenizer's pattern, as the vocabulary file's library documents it for byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -112,5 +114,6 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
             sizes = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
+    settle(docs.sparkSession)
     two = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
     return two.mapInArrow(run, f"`{id_col}` {two.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.llm.common import settle
+
 
 class Page:
     """Entries of one tree page; ``kids`` is None in a leaf."""
@@ -143,6 +145,7 @@ def usable(vector: Column) -> Column:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard_rows: int = 8192, page: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each query row its k best of all other rows."""
+    settle(vectors.sparkSession)
     whole = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), is_query.alias("q"))
     shards = 1 + whole.count() // shard_rows
     mine = whole.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "id", "v")
