@@ -169,21 +169,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, salts: int = 8) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as ``(id, component)``; component is the smallest id.
 
     Alternates two star contractions: every node's larger neighbours are linked to its smallest neighbour, then
     its smaller ones are.  Each is one aggregation; a node that touches a third of the edges only ever has its
-    minimum aggregated, before the shuffle as well, and its neighbours are never gathered.  The edges turn into
-    stars around the smallest ids in about log(n) rounds.
+    minimum aggregated, before the shuffle as well, and its neighbours are never gathered; they meet the minimum in
+    ``salts`` parts.  The edges turn into stars around the smallest ids in about log(n) rounds.
     """
     e = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     before = _stamp(e)
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         # large star: each neighbour above u hangs on the minimum around u
-        big = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        above = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+        big = above.join(low, ["u", "salt"]).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         # small star: u itself and its smaller neighbours hang on the smallest of them
         least = big.groupBy("v").agg(F.min("u").alias("m"))
         small = big.join(least, "v")
