@@ -44,12 +44,14 @@ class Page:
 class MTree:
     """Over integer vectors and their ids."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 64):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = 512):
         self.ids, self.vectors = ids, vectors
         norms = (vectors.astype(np.float64) ** 2).sum(1)
         self.most = float(norms.max(initial=0))
         self.points = np.hstack([vectors.astype(np.float64), np.sqrt(np.maximum(0, self.most - norms))[:, None]])
         self.computed = 0
+        # doubles hold integers exactly below 2**53, and their products are faster
+        self.largest = int(np.abs(vectors).max(initial=0))
         self.page = page
         self.root, _ = self._load(np.arange(len(ids)), None) if len(ids) else (None, 0)
 
@@ -89,6 +91,8 @@ class MTree:
         point = np.append(query.astype(np.float64), 0.0)
         base = float((point**2).sum()) + self.most
         slack = 1e-6 * math.sqrt(base + 1) + 1e-6
+        small = self.largest * int(np.abs(query).max(initial=0)) * max(1, len(query)) < 1 << 53
+        doubles = query.astype(np.float64)
         best: list[tuple[int, int]] = []  # (score, -id), a heap whose first is the worst
         limit = math.inf
         queue: list[tuple[float, int, Page, float | None]] = [(0.0, 0, self.root, None)]
@@ -105,11 +109,12 @@ class MTree:
                     continue
             if page.kids is None:
                 rows = page.rows[spots]
-                scores = self.vectors[rows] @ query
+                scores = page.points[spots][:, :-1] @ doubles if small else self.vectors[rows] @ query
                 self.computed += len(rows)
                 if len(best) == k:  # equal scores may still win by their id
-                    rows, scores = rows[scores >= best[0][0]], scores[scores >= best[0][0]]
-                for score, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
+                    high = scores >= best[0][0]
+                    rows, scores = rows[high], scores[high]
+                for score, i in zip(scores.astype(np.int64).tolist(), self.ids[rows].tolist(), strict=True):
                     if i == own:
                         continue
                     if len(best) < k:
@@ -119,7 +124,8 @@ class MTree:
                 if len(best) == k:
                     limit = math.sqrt(max(0.0, base - 2 * best[0][0])) + slack
                 continue
-            far = self._far(page.points[spots], point)
+            # every point has the squared length ``most``
+            far = np.sqrt(np.maximum(0.0, base - 2 * (page.points[spots] @ point)))
             self.computed += len(far)
             kids = range(len(page.kids)) if isinstance(spots, slice) else spots.tolist()
             for kid, d in zip(kids, far.tolist(), strict=True):
@@ -143,7 +149,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, number)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard_rows: int = 8192, page: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard_rows: int = 8192, page: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each query row its k best of all other rows."""
     settle(vectors.sparkSession)
     whole = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), is_query.alias("q"))
