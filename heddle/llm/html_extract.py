@@ -6,10 +6,11 @@
 2. The canonical forms of one host are aligned one after another.  Where they agree, the wrapper stays; a mismatch turns
    into an optional part, or into a repeated one if it repeats its neighbour; texts become slots, which remember whether
    all pages had the same text there, how long the texts were and how much of them was link text.
-3. In each wrapper the main slots are chosen: those of the article (or main, or content) part, else of the part with
-   most text that isn't links; without parts that are menus, headers, footers, sidebars, notices, adverts, forms,
-   scripts, styles or reader comments, and without slots of fixed text.
-4. Every page is aligned with its host's wrapper again, and the texts that fall into main slots are its text.
+3. In each wrapper the slots that may hold an article are ranked by their zone (article, main, content, rest), without
+   parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, and
+   without slots of fixed text.
+4. Every page is aligned with its host's wrapper again.  The texts in slots of the best zone that this page has are its
+   text, whatever zones other pages of the host have; of the rest, slots that are mostly links are left out.
 
 Wrappers are folded inside each task first, then by (host, salt), then by host, so a host with a third of all pages
 costs one task no more than a few partial wrappers.  Wrappers are broadcast if their total size is at most
@@ -47,6 +48,8 @@ OUT_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination pagenav popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
 )
 IN_WORDS = frozenset("article content entry main post story".split())
+#: The named zones, best first; texts outside of them rank last.
+ZONES = ("article", "main", "content")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|title|textarea|noscript|iframe|xmp)\b(?P<rattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
@@ -229,8 +232,8 @@ def merge(a: list, b: list) -> list:
     return [a[0], a[1] | b[1], a[2] | b[2], kids, a[4] + b[4], a[5] + b[5], a[6] + b[6], a[7] if a[7] == b[7] else 0]
 
 
-def main_slots(wrapper: list) -> set[tuple[int, ...]]:
-    """Paths (child indexes) of the text slots that hold the article."""
+def main_slots(wrapper: list) -> dict[tuple[int, ...], tuple[int, bool]]:
+    """Of each text slot that may hold the article, by its path (child indexes): the rank of its zone, and whether links are most of it."""
     slots, pages = [], max(1, wrapper[4])
 
     def walk(part: list, path: tuple[int, ...], zones: tuple[str, ...], out: bool) -> None:
@@ -238,7 +241,7 @@ def main_slots(wrapper: list) -> set[tuple[int, ...]]:
         tag, _, marks = label.partition(" ")
         if label == TEXT:
             if not out:
-                slots.append((path, zones, part))
+                slots.append((path, next((r for r, zone in enumerate(ZONES) if zone in zones), len(ZONES)), part))
             return
         inside = zones and "article" in zones
         heading = tag == "header" and inside
@@ -248,28 +251,14 @@ def main_slots(wrapper: list) -> set[tuple[int, ...]]:
             walk(kid, (*path, k), (*zones, zone) if zone else zones, gone or heading and not re.match(r"h[1-6]\b", kid[0]))
 
     walk(wrapper, (), (), False)
-    for zone in ("article", "main", "content"):
-        chosen = [s for s in slots if zone in s[1]]
-        if chosen:
-            break
-    else:
-        chosen = _densest(wrapper, slots)
-    varies = any(not part[7] for _, _, part in chosen)
-    # a slot of one fixed text on all of many pages belongs to the form, if other slots differ
-    return {path for path, _, part in chosen if not (varies and pages >= 5 and part[7] and part[4] >= pages)}
+    varies = {rank for _, rank, part in slots if not part[7]}
+    # a slot of one fixed text on all of many pages belongs to the form, if other slots of its zone differ
+    return {path: (rank, part[6] * 2 > max(1, part[5])) for path, rank, part in slots if not (rank in varies and pages >= 5 and part[7] and part[4] >= pages)}
 
 
-def _densest(wrapper: list, slots: list) -> list:
-    """Without any named part: the smallest part that holds most of the text that isn't links."""
-    mass = lambda some: sum(max(0, p[5] - 2 * p[6]) for _, _, p in some)
-    path, chosen, part = (), slots, wrapper
-    while part[3]:
-        inner = [(mass(own := [s for s in chosen if s[0][: len(path) + 1] == (*path, k)]), k, own) for k in range(len(part[3]))]
-        most, k, own = max(inner, key=lambda x: x[0])
-        if most < 0.8 * mass(chosen) or part[3][k][0] == TEXT or re.match(r"(p|li|td|h\d|blockquote|pre|dd)\b", part[3][k][0]):
-            break
-        path, chosen, part = (*path, k), own, part[3][k]
-    return [s for s in chosen if s[2][6] * 2 <= max(1, s[2][5])]
+def _links(nodes: list[Node]) -> bool:
+    """Whether links are most of these texts."""
+    return sum(n.links for n in nodes) * 2 > max(1, sum(len(" ".join(n.text.split())) for n in nodes))
 
 
 class Wrapper:
@@ -287,7 +276,7 @@ class Wrapper:
         return self.known[key]
 
     def text(self, html: str) -> str:
-        chosen: set[int] = set()
+        reached: dict[tuple[int, ...], list[Node]] = {}
         root = parse(html)
 
         def walk(part: list, path: tuple[int, ...], nodes: list[Node]) -> None:
@@ -302,11 +291,18 @@ class Wrapper:
                         continue
                     if label == TEXT:
                         if (*path, k) in self.main:
-                            chosen.update(map(id, own))
+                            reached.setdefault((*path, k), []).extend(n for n in own if n.text.strip())
                     else:
                         walk(part[3][k], (*path, k), own)
 
         walk(self.root, (), [root])
+        best = min((self.main[path][0] for path, own in reached.items() if own), default=0)
+        chosen: set[int] = set()
+        for path, own in reached.items():
+            rank, links = self.main[path]
+            # outside named zones, a menu is links on its host as well as on the page
+            if rank == best and not (rank == len(ZONES) and links and _links(own)):
+                chosen.update(map(id, own))
         out: list[str] = []
 
         def collect(node: Node) -> None:

@@ -305,6 +305,28 @@ def test_html_extraction(spark):
     assert extract(df.where("false")).count() == 0
 
 
+LAYOUTS = {
+    "article": ("<nav><a href='/'>Home</a></nav><article><h1>A {n}</h1><p>Body {n}</p></article>", "A {n} Body {n}"),
+    "main": ("<nav><a href='/'>Home</a></nav><main><h1>M {n}</h1><p>Text {n}</p></main>", "M {n} Text {n}"),
+    "content": ("<div class='content'><p>Old {n}</p><p>More {n}</p></div><div><p>Aside {n}</p></div>", "Old {n} More {n}"),
+    "rest": ("<ul><li><a href='/{n}'>Link {n}</a></li></ul><div><div><p>A long paragraph that has nearly all of the text of page {n}</p></div><p>Tail {n}</p></div><table><tr><td>Cell {n}</td></tr></table>", "A long paragraph that has nearly all of the text of page {n} Tail {n} Cell {n}"),
+}
+
+
+def test_html_zones_are_chosen_per_page(spark):
+    from heddle.llm.html_extract import extract
+
+    urls = {"mixed": "https://mixed.example.com/{n}", "null": None, "path": "/{n}"}
+    rows, want = [], {}
+    for host, url in urls.items():
+        for k, (page, text) in enumerate(LAYOUTS.values()):
+            for n in range(1 if k == 0 else 4):  # one article page is enough to meet the others
+                want[len(rows)] = text.format(n=n)
+                rows.append((len(rows), url and url.format(n=n), page.format(n=n)))
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_quality(spark, nothing):
     from heddle.llm.quality import kept, score
 
