@@ -233,35 +233,34 @@ def binomial(spark, sf_dir):
 
 
 def _design(spark, sf_dir):
-    """(disease, cell, y, vector) of one drug: a panel per disease."""
+    """(disease, drug, cell, y, vector) of all panels."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    return panel_means(spark, sf_dir).where((F.col("drug") == "Brand#11") & F.col("y").isNotNull()).select("disease", "cell", "y").join(vectors, "cell")
+    return panel_means(spark, sf_dir).where("y is not null").select("disease", "drug", "cell", "y").join(vectors, "cell")
 
 
 @register("m05_m06_m17_nested_enet")
 def nested_enet(spark, sf_dir):
-    return M.nested_cv(_design(spark, sf_dir), ["disease"], "cell", "y", "vector", "enet", outer=3, inner=2)
+    return M.nested_cv(_design(spark, sf_dir), ["disease", "drug"], "cell", "y", "vector", "enet", outer=3, inner=2)
 
 
 @register("m19_signature_model")
 def signature_model(spark, sf_dir):
-    return M.nested_cv(_design(spark, sf_dir), ["disease"], "cell", "y", "vector", "signature", outer=5, inner=4)
+    return M.nested_cv(_design(spark, sf_dir), ["disease", "drug"], "cell", "y", "vector", "signature", outer=5, inner=4)
 
 
 @register("m26_flat_tuning")
 def flat_tuning(spark, sf_dir):
-    return M.nested_cv(_design(spark, sf_dir), ["disease"], "cell", "y", "vector", "signature", outer=5, inner=4, flat=True)
+    return M.nested_cv(_design(spark, sf_dir), ["disease", "drug"], "cell", "y", "vector", "signature", outer=5, inner=4, flat=True)
 
 
 @register("m13_pca")
 def pca(spark, sf_dir):
-    return M.pca(_design(spark, sf_dir), ["disease"], "cell", "vector", 5)
+    return M.pca(_design(spark, sf_dir), ["disease", "drug"], "cell", "vector", 5)
 
 
 @register("m18_boosted_trees")
 def boosted(spark, sf_dir):
-    d = _design(spark, sf_dir).select("cell", "y", *(F.col("vector")[k].alias(f"x{k}") for k in range(8)))
-    return M.boosted_trees(d, [f"x{k}" for k in range(8)], "y").transform(d).select("cell", "y", F.col("prediction").alias("y_pred"))
+    return M.boosted_panels(_design(spark, sf_dir), ["disease", "drug"], "cell", "y", "vector")
 
 
 @register("m14_pooled_rows", with_sql("SELECT cohort, cell, drug FROM metric WHERE disease = 'BUILDING' AND drug IN (SELECT drug FROM metric WHERE disease = 'BUILDING' GROUP BY 1 HAVING count(DISTINCT cell) >= 5)", METRIC))

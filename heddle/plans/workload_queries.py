@@ -58,7 +58,7 @@ def ablation(spark, sf_dir):
 
 @register("m20_m21_signature_scan")
 def signature_scan(spark, sf_dir):
-    return L.signature_scan(_design(spark, sf_dir), ["disease"], "cell", "y", "vector", n_perm=10)
+    return L.signature_scan(_design(spark, sf_dir), ["disease", "drug"], "cell", "y", "vector", n_perm=10)
 
 
 _ATLAS = """emb AS (SELECT 'SET_' || (vec_id + 1) AS pathway, g, embedding[g]::double x FROM embeddings, range(1, 65) r(g) WHERE vec_id < 60),
