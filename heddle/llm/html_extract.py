@@ -8,7 +8,7 @@
    all pages had the same text there, how long the texts were and how much of them was link text.
 3. In each wrapper the slots that may hold an article are ranked by their zone (article, main, content, rest), without
    parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, and
-   without slots of fixed text.
+   without slots outside named zones (headings apart) that have the same text on all of the host's pages where others differ.
 4. Every page is aligned with its host's wrapper again.  The texts in slots of the best zone that this page has are its
    text, whatever zones other pages of the host have; of the rest, slots that are mostly links are left out.
 
@@ -188,10 +188,18 @@ def form(label: str, nodes: list[Node]) -> list:
             own = [label, 0, 0, [form(*item) for item in collapse(node.kids)], 1, 0, 0, 0]
         part = own if part is None else merge(part, own)
     if len(nodes) > 1:
-        part[2], part[4] = 1, 1
+        part[2] = 1
+        _once(part)
     return part
 
 
+def _once(part: list) -> None:
+    """Counts a part of one page once, however often the page has it."""
+    part[4] = 1
+    for kid in part[3]:
+        _once(kid)
+
+
 def steps(a: list, b: list) -> list[tuple[int, int]]:
     """Longest common subsequence of two label lists as index pairs, -1 where one side has nothing."""
     n, m = len(a), len(b)
@@ -234,7 +242,7 @@ def merge(a: list, b: list) -> list:
 
 def main_slots(wrapper: list) -> dict[tuple[int, ...], tuple[int, bool]]:
     """Of each text slot that may hold the article, by its path (child indexes): the rank of its zone, and whether links are most of it."""
-    slots, pages = [], max(1, wrapper[4])
+    slots, headings, pages = [], set(), max(1, wrapper[4])
 
     def walk(part: list, path: tuple[int, ...], zones: tuple[str, ...], out: bool) -> None:
         label = part[0]
@@ -247,13 +255,17 @@ def main_slots(wrapper: list) -> dict[tuple[int, ...], tuple[int, bool]]:
         heading = tag == "header" and inside
         zone = "article" if tag == "article" else "main" if tag == "main" or "role=main" in marks else "content" if marks and IN_WORDS & {*_PART.findall(re.sub(r"\w+=", "", marks))} and tag not in ("body", "html") else ""
         gone = out or outside(label) and not heading
+        if re.match(r"h[1-6]\b", label):
+            headings.add(path)
         for k, kid in enumerate(part[3]):
             walk(kid, (*path, k), (*zones, zone) if zone else zones, gone or heading and not re.match(r"h[1-6]\b", kid[0]))
 
     walk(wrapper, (), (), False)
-    varies = {rank for _, rank, part in slots if not part[7]}
-    # a slot of one fixed text on all of many pages belongs to the form, if other slots of its zone differ
-    return {path: (rank, part[6] * 2 > max(1, part[5])) for path, rank, part in slots if not (rank in varies and pages >= 5 and part[7] and part[4] >= pages)}
+    rest = len(ZONES)
+    varies = any(rank == rest and not part[7] for _, rank, part in slots)
+    # outside named zones, a slot of one fixed text on all of several pages belongs to the form, if other slots differ
+    fixed = {path for path, rank, part in slots if rank == rest and varies and pages > 1 and part[7] and part[4] >= pages and path[:-1] not in headings}
+    return {path: (rank, part[6] * 2 > max(1, part[5])) for path, rank, part in slots if path not in fixed}
 
 
 def _links(nodes: list[Node]) -> bool:
@@ -343,7 +355,9 @@ def _folded(batches: Iterator[pa.RecordBatch], read, key_names: list[str], limit
 
 
 def _page_form(html: str | None) -> list:
-    return form("", [parse(html or "")])
+    page = form("", [parse(html or "")])
+    page[4] = int(bool(page[3]))  # a page without anything says nothing about the form
+    return page
 
 
 def infer(pages: DataFrame, salts: int = 32) -> DataFrame:

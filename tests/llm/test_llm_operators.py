@@ -327,6 +327,32 @@ def test_html_zones_are_chosen_per_page(spark):
     assert {r.page_id: r.text for r in got} == want
 
 
+def test_html_fixed_text_does_not_depend_on_the_number_of_pages(spark):
+    from heddle.llm.html_extract import extract
+
+    named = "<{z}><h1>One head</h1><blockquote>One lead</blockquote><h2>Summary</h2><p>Version {n}</p></{z}>"
+    plain = "<section><p>All rights reserved</p></section><div><h1>One head</h1><p>Version {n}</p></div>"
+    twice = ["<section><p>Same</p><p>Same</p></section><div>Version 0</div>", "<div>Version 1</div>"]
+    rows, want = [], {}
+
+    def add(host, html, text):
+        want[len(rows)] = text
+        rows.append((len(rows), f"https://{host}.example.com/", html))
+
+    for size in (1, 2, 4, 5, 9):
+        for empty in (False, True):
+            for n in range(size):
+                for z in ("article", "main"):
+                    add(f"{z}{size}{empty}", named.format(z=z, n=n), f"One head One lead Summary Version {n}")
+                add(f"plain{size}{empty}", plain.format(n=n), ("All rights reserved " if size == 1 else "") + f"One head Version {n}")
+            for host in (f"article{size}{empty}", f"main{size}{empty}", f"plain{size}{empty}") if empty else ():
+                add(host, None, "")
+    add("twice", twice[0], "Same Same Version 0")
+    add("twice", twice[1], "Version 1")
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_quality(spark, nothing):
     from heddle.llm.quality import kept, score
 
