@@ -45,8 +45,11 @@ SELF_ENDING = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd"
 OUT_TAGS = frozenset("aside audio button canvas dialog footer form head header iframe input map menu nav noscript object script select style svg template textarea title video".split())
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 OUT_WORDS = frozenset(
-    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination pagenav popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets".split()
+    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form gdpr header masthead menu nav navbar navigation notice notices notification notifications pagenav pager pagination popup promo promoted sidebar sponsor sponsored toolbar topbar".split()
 )
+#: Headings, and elements of running text.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = HEADINGS | frozenset("blockquote dd dt figure li p pre".split())
 IN_WORDS = frozenset("article content entry main post story".split())
 #: The named zones, best first; texts outside of them rank last.
 ZONES = ("article", "main", "content")
@@ -57,7 +60,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PART = re.compile(r"[A-Za-z]+")
+_PART = re.compile(r"[^\W\d_]+")
 TEXT = "#"
 
 
@@ -77,9 +80,19 @@ def _label(tag: str, attrs: str) -> str:
     return f"{tag} {'|'.join(parts)}" if parts else tag
 
 
+def _ends(token: str) -> set[str]:
+    """A class or id with its first and its last part: ``site-footer`` and ``footer-text`` are footers, ``my-footer-text`` isn't."""
+    parts = _PART.findall(token)
+    return {token, parts[0], parts[-1]} if parts else {token}
+
+
 @lru_cache(maxsize=20_000)
-def outside(label: str) -> bool:
-    """Whether a part of this form is something else than the article."""
+def outside(label: str, within: bool = False) -> bool:
+    """Whether a part of this form is something else than the article.
+
+    Ids of headings, and of sections and inline elements ``within`` an article or main part, are made of their words and say
+    nothing.  Running text within these goes only by a whole class: ``section-header`` is a place in the article.
+    """
     tag, _, marks = label.partition(" ")
     if tag in OUT_TAGS:
         return True
@@ -87,7 +100,15 @@ def outside(label: str) -> bool:
         return False
     for mark in marks.split("|") if marks else ():
         key, _, value = mark.partition("=")
-        if key == "role" and value in OUT_ROLES or key != "role" and OUT_WORDS & {*_PART.findall(value)}:
+        if key == "role":
+            if value in OUT_ROLES:
+                return True
+        elif key == "id" and (tag in HEADINGS or within and (tag == "section" or tag in INLINE)):
+            continue
+        elif within and (tag in RUNNING or tag in INLINE):
+            if (OUT_WORDS & {*value.split()}) - {"header"}:
+                return True
+        elif any(OUT_WORDS & _ends(token) for token in value.split()):
             return True
     return False
 
@@ -135,7 +156,7 @@ def parse(html: str) -> Node:
         if tag == "a":
             link = 1
         label = _label(tag, attrs)
-        if tag in INLINE and not outside(label):
+        if tag in INLINE and not (outside(label) and outside(label, any(n.tag in ("article", "main") or "role=main" in n.label for n in stack))):
             continue
         if tag in ENDS_P and any(n.tag == "p" for n in stack):
             k = max(i for i, n in enumerate(stack) if n.tag == "p")
@@ -254,7 +275,7 @@ def main_slots(wrapper: list) -> dict[tuple[int, ...], tuple[int, bool]]:
         inside = zones and "article" in zones
         heading = tag == "header" and inside
         zone = "article" if tag == "article" else "main" if tag == "main" or "role=main" in marks else "content" if marks and IN_WORDS & {*_PART.findall(re.sub(r"\w+=", "", marks))} and tag not in ("body", "html") else ""
-        gone = out or outside(label) and not heading
+        gone = out or outside(label, "article" in zones or "main" in zones) and not heading
         if re.match(r"h[1-6]\b", label):
             headings.add(path)
         for k, kid in enumerate(part[3]):

@@ -353,6 +353,23 @@ def test_html_fixed_text_does_not_depend_on_the_number_of_pages(spark):
     assert {r.page_id: r.text for r in got} == want
 
 
+KEPT = ["<h2 id='related-work'>Text {n}</h2>", "<h2 id='form-handling'>Text {n}</h2>", "<section id='social-impact'><p>Text {n}</p></section>", "<section id='menu-design'>Text {n}</section>", "<p class='section-header'>Text {n}</p>", "<h3 id='toc-tree'>Text {n}</h3>", "<div id='data-sharing'>Text {n}</div>", "<h2><span id='ad-hoc'>Text</span> {n}</h2>", "<div class='my-footer-text'>Text {n}</div>", "<h2 class='header'>Text {n}</h2>", "<p class='byline'>Text {n}</p>"]
+GONE = ["<div id='comments'><p>Text {n}</p></div>", "<div class='site-footer'>Text {n}</div>", "<div class='ad'>Text {n}</div>", "<p class='advert'>Text {n}</p>", "<div class='cookie-notice'>Text {n}</div>", "<ul class='nav main'><li>Text {n}</li></ul>", "<div id='sidebar-left'>Text {n}</div>", "<aside>Text {n}</aside>", "<form>Text {n}</form>"]
+
+
+def test_html_parts_of_an_article_by_name(spark):
+    from heddle.llm.html_extract import extract
+
+    rows, want = [], {}
+    for part, kept in [*((p, True) for p in KEPT), *((p, False) for p in GONE)]:
+        for z in ("article", "main"):
+            for n in range(2):
+                want[len(rows)] = f"Start {n} " + (f"Text {n} " if kept else "") + f"End {n}"
+                rows.append((len(rows), f"https://{z}{len(rows) // 2}.example.com/", f"<{z}><p>Start {n}</p>{part.format(n=n)}<p>End {n}</p></{z}>"))
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: (t, rows[k][2]) for k, t in got.items()} == {k: (t, rows[k][2]) for k, t in want.items()}
+
+
 def test_quality(spark, nothing):
     from heddle.llm.quality import kept, score
 
