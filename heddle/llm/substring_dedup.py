@@ -254,9 +254,9 @@ def remove(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: st
                 starts[a:b] = True
             elif key in masks:
                 starts[a:b] |= masks[key]
-        if windows := whole - set(part.hash.tolist()):
+        if whole:  # also windows, wherever the text has them; a one-window segment has the hash of its window
             at = np.arange(len(starts))
-            starts |= np.isin(signed(part.rolling.ranges(at, at + size)), np.fromiter(windows, np.int64, len(windows)))
+            starts |= np.isin(signed(part.rolling.ranges(at, at + size)), np.fromiter(whole, np.int64, len(whole)))
         at = np.flatnonzero(starts)
         np.add.at(gone, at, 1)
         np.add.at(gone, at + size, -1)

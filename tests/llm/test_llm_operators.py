@@ -89,6 +89,27 @@ def test_substring_dedup(spark, docs, nothing, hot):
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
 
 
+@pytest.mark.parametrize("keep_text", [False, True])
+def test_substring_dedup_of_one_window_at_several_places(spark, keep_text):
+    """A common passage that is a segment of its own at a text's start (or end) and stands inside longer segments, too."""
+    from heddle.llm.substring_dedup import remove
+
+    size, rng = 6, np.random.default_rng(0)
+    some = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for p in range(30):
+        passage = some(size)
+        texts += [(10 * p + k, " ".join([*some(9), *passage, *some(9)])) for k in range(5)]
+        texts += [(10 * p + 5, " ".join([*passage, *some(9), *passage, *some(9)])), (10 * p + 6, " ".join([*some(9), *passage, *some(9), *passage]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(brute_dedup(texts, size))
+    got = remove(df, size, hot=1, keep_text=keep_text)
+    if keep_text:
+        assert sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in got.collect()) == [(i, sha) for i, _, _, sha in want]
+    else:
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def brute_join(texts, n, num, den):
     sets = []
     for i, t in texts:
