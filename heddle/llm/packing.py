@@ -7,7 +7,7 @@ length is a power of two no padding is needed at all.
 Sequences are numbered inside their bucket: the number holds the input partition, the bucket and the running index
 there, so it is unique without a shuffle, also for repeated rows, and a retried task gives the same numbers.
 
-Defined results: a null or empty text is only its end id, one piece of length 1; repeated rows are packed each; only
+Defined results: a null or empty text is only its end id, one piece of length 1; a text of any length is packed whole; repeated rows are packed each; only
 the id and text columns are read; an empty table gives an empty result.
 """
 
@@ -41,7 +41,9 @@ def binary_lengths(total: int, capacity: int = 1024) -> list[int]:
 def encoder(spec_path: str, ranks_path: str):
     """The ids of the JSON vocabulary, by the faster library over the same vocabulary's ranks; tests hold them equal.
 
-    The added tokens of the JSON file are matched inside texts, as its own library does by default.
+    The added tokens of the JSON file are matched inside texts, as its own library does by default.  A text that the faster
+    library's pattern matcher gives up on (its backtracking stack ends at some 200,000 blanks in a row) is encoded by the
+    JSON file's own library.
     """
     import tiktoken
 
@@ -52,7 +54,21 @@ def encoder(spec_path: str, ranks_path: str):
     from heddle.llm.token_counts import PATTERN
 
     tool = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: tool.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        try:
+            return tool.encode(text, allowed_special="all")
+        except ValueError:
+            return own_library(spec_path).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
+@lru_cache(maxsize=2)
+def own_library(spec_path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(spec_path)
 
 
 def pack(docs: DataFrame, spec_path: str, ranks_path: str, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
