@@ -82,8 +82,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     # values as literals: a local relation of the JVM, no Python rows
     extra = spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kinds, strict=True))) for row in EXTRA_CONVERSATION))).alias("r")).select("r.*")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    events = rows.withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
-    return digest(render(reconstruct(events)))
+    return digest(render(reconstruct(turn_log(rows))))
+
+
+def turn_log(rows: DataFrame) -> DataFrame:
+    """The log that a chat server writes for these turns: a text arrives in two deltas, an assistant's after a dropped draft.
+
+    Each row is a message of its own: its key is the row's number, which a repeated task gives again.
+    """
+    half = F.floor(F.length("text") / 2).cast("int")
+    start, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    event = lambda step, kind, text: F.struct((F.col("turn") * 4 + step).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    asked = F.array(event(0, "message", start), event(1, "delta", rest))
+    answered = F.array(event(0, "message", F.lit("")), event(1, "delta", F.lit("draft")), event(2, "regenerate", start), event(3, "delta", rest))
+    events = F.explode(F.when(F.col("role") == "assistant", answered).otherwise(asked)).alias("e")
+    return rows.withColumn("message", F.monotonically_increasing_id()).select("conv_id", "message", "role", events).select("conv_id", F.col("message").alias("turn"), "role", "e.*")
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extraction, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_decontamination, op7_top_k, op8_jaccard_join, op9_packing, op10_chat_format)}
