@@ -1,11 +1,14 @@
 """What several operators share: ASCII word hashes, rolling n-gram hashes, connected components, checkpoints.
 
-Hashes are 64 bits wide (xxh3 for words, a polynomial over them for n-grams, then a mixing step).  Equal
-content always gives equal hashes on every executor; two different contents collide with probability 2**-64.
+A word's hash is the sum of one pseudo-random 64-bit number for each of its (place, byte) pairs; words of over 64 bytes have
+their xxh3.  A range of words has two polynomials over the halves of its words' hashes, modulo the prime 2**31 - 1 (powers of
+two as modulus make structured texts collide), together 62 bits.  Equal content always gives equal hashes on every executor;
+two different ranges collide with a probability of about 2**-62.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_B = 0x9E3779B97F4A7C15 | 1
-_B_INV = pow(_B, -1, 2**64)
+_P = 2**31 - 1
+_BASES = (0x5BD1E995, 0x2C1B3C6D)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POW = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_POW: dict[int, np.ndarray] = {}
 
 
 class WordHashes(dict):
@@ -49,29 +52,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
-    if len(_POW[kind]) < n:
-        base = np.full(max(n, 4096) * 2, _B if kind == "up" else _B_INV, np.uint64)
-        base[0] = 1
-        _POW[kind] = np.cumprod(base, dtype=np.uint64)
-    return _POW[kind][:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of base modulo the prime."""
+    have = _POW.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, have * np.uint64(pow(base, len(have), _P)) % np.uint64(_P)])
+    _POW[base] = have
+    return have
 
 
-#: A 64-bit number for each byte value, from a rule.
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: A 64-bit number for each place in a word and byte value, from a rule.
+_PLACES = 64
+_LETTERS = mix(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def _hash_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each ASCII-white-space word: a polynomial over its bytes, from one running sum."""
+    """Start and hash of each ASCII-white-space word."""
     data = np.frombuffer(raw, np.uint8)
-    space = np.ones(len(data) + 2, np.int8)
+    space = np.ones(len(data) + 2, bool)
     space[1:-1] = _SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1])
-    start, end = edges[::2], edges[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _powers("up", len(data)), dtype=np.uint64, out=sums[1:])
-    return start, mix((sums[end] - sums[start]) * _powers("down", len(data) + 1)[start] + (end - start).astype(np.uint64) * _M1)
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
+    letters, first = data[~space[1:-1]], np.cumsum(size) - size
+    key = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    np.minimum(key, _PLACES - 1, out=key)
+    key <<= 8
+    key += letters
+    hashes = mix(np.add.reduceat(_LETTERS[key], first) + size.astype(np.uint64) * _M1)
+    for k in np.flatnonzero(size > _PLACES).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(raw[start[k] : start[k] + size[k]])
+    return start, hashes
 
 
 def hash_texts(texts: list[bytes | None], lower: bool = False, piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +115,20 @@ class Rolling:
     """Polynomial hashes of any range of a sequence of word hashes, in constant time per range."""
 
     def __init__(self, hashes: np.ndarray):
-        self.sums = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * _powers("up", len(hashes)), dtype=np.uint64, out=self.sums[1:])
+        self.n, self.sums = len(hashes), []
+        for half, base in zip((hashes & np.uint64(_P), hashes >> np.uint64(33)), _BASES, strict=True):
+            sums = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(half * _powers(base, self.n)[: self.n] % np.uint64(_P), dtype=np.uint64, out=sums[1:])
+            self.sums.append(sums)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of the words in [start, end); the length is part of the hash."""
-        down = _powers("down", len(self.sums))
-        return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64) * _M1)
+        a, b = ((sums[end] - sums[start]) % np.uint64(_P) * _powers(pow(base, -1, _P), self.n + 1)[start] % np.uint64(_P) for sums, base in zip(self.sums, _BASES, strict=True))
+        return mix((a << np.uint64(32) | b) + (end - start).astype(np.uint64) * _M1)
 
     def grams(self, n: int) -> np.ndarray:
         """Of every n consecutive words; empty if there are fewer."""
-        starts = np.arange(max(0, len(self.sums) - n), dtype=np.int64)
+        starts = np.arange(max(0, self.n + 1 - n), dtype=np.int64)
         return self.ranges(starts, starts + n)
 
 
@@ -148,10 +164,12 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names.  Only a session in one process may go without: it gets a temporary folder."""
     context = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not where and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="heddle-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -169,7 +187,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def components(edges: DataFrame, rounds: int = 60, salts: int = 8) -> DataFrame:
+def components(edges: DataFrame, salts: int = 8) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as ``(id, component)``; component is the smallest id.
 
     Alternates two star contractions: every node's larger neighbours are linked to its smallest neighbour, then
@@ -179,7 +197,7 @@ def components(edges: DataFrame, rounds: int = 60, salts: int = 8) -> DataFrame:
     """
     e = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     before = _stamp(e)
-    for _ in range(rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         # large star: each neighbour above u hangs on the minimum around u
@@ -193,8 +211,6 @@ def components(edges: DataFrame, rounds: int = 60, salts: int = 8) -> DataFrame:
         if before == after:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     heads = e.select("u").distinct()
     return e.select(F.col("v").alias("id"), F.col("u").alias("component")).union(heads.select("u", "u"))
 
@@ -217,7 +233,7 @@ def map_columns(df: DataFrame, make, schema: str, kinds: list, names: list[str])
     return df.mapInArrow(run, schema)
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, limit: int = 2_000_000, lists: str | None = None) -> DataFrame:
+def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, limit: int = 500_000, lists: str | None = None) -> DataFrame:
     """Joins docs with a table of ids; it is broadcast if it has at most ``limit`` rows, else both sides are shuffled.
 
     ``lists`` names an array column of ids; then its elements are what is counted.
@@ -226,6 +242,21 @@ def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str, limit: int =
     return docs.join(F.broadcast(ids) if total <= limit else ids, id_col, how)
 
 
+def meet(df: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner", small: int = 500_000) -> DataFrame:
+    """Joins ``df`` with a table of one row per key, where ``weight`` says how many rows of df have the key.
+
+    A small table is broadcast.  Of a large one, the keys that have more than a ``small``-th of all rows are: there are
+    fewer than ``small`` of them, however large the table is; the others meet in a shuffle, in which no key is hot.
+    """
+    count, total = table.agg(F.count("*"), F.sum(weight)).first()
+    if count <= small:
+        return df.join(F.broadcast(table.drop(weight)), on, how)
+    hot = F.col(weight) > max(1000, total // small)
+    often = F.broadcast(table.where(hot).drop(weight))
+    rest = df.join(often.select(on), on, "left_anti").join(table.where(~hot).drop(weight), on, how)
+    return df.join(often, on).unionByName(rest)
+
+
 def settle(spark: SparkSession, batch_rows: int = 500) -> SparkSession:
     """What the operators ask of a session: small Arrow batches, as one text may be very long, and workers that give memory
     back; Python workers find this package by the driver's path where it isn't installed.  Set before the first batch runs."""

@@ -7,6 +7,7 @@ lower-cased and cut at ASCII white space; a text of fewer words is one shingle;
 2. The columns (shingles) get one order for all rows: rare ones first.  What is frequent is found by counting the
    lowest-hashed shingles of all texts; at most ``max_heavy`` of the most frequent ones are sent out, which bounds the
    broadcast and only affects the order, never the result.
+   Columns beyond that number are dealt with by shuffles.
 3. Linked rows must share one of their first ``n - ceil(t n) + 1`` columns.  The product of these parts of the rows
    accumulates overlaps for each pair, and a pair stays only if its sizes and the best overlap that it can still reach
    allow a link: of the two, the row whose first columns end earlier in the order shares no others of them, so the
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import by_ids, components, cut, map_columns, mix, settle, shingle_sets, signed, stored
+from heddle.llm.common import by_ids, components, cut, map_columns, meet, mix, settle, shingle_sets, signed, stored
 
 
 def class_key(tokens: np.ndarray) -> tuple[int, int]:
@@ -77,20 +78,22 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, light: int
 
     heavy = _heavy(single, n, num, den, light, max_heavy)
     prefixes = _prefixes(single, n, num, den, docs.sparkSession.sparkContext.broadcast(heavy))
-    ties = _candidates(prefixes, num, den, light)
+    ties = _candidates(prefixes, num, den, light, len(heavy[0]) >= max_heavy)
     groups = components(ties).withColumnRenamed("component", "grp")
 
     members = cut(groups.join(classes.where("first is not null"), groups["id"] == classes["ck"]).select("grp", "ck", "n", "copies", F.col("first").alias("id")))
     links = cut(_products(rows, members, n, num, den, block, id_type))
-    whole = components(links.where("b is not null").select("a", "b"))
-    label = classes.join(whole, classes["ck"] == whole["id"], "left").select("ck", "proof", "first", "copies", F.coalesce("component", "ck").alias("component"))
-    smallest = label.groupBy("component").agg(F.min("first").alias("component_id"))
-    degree = links.where("b is null").groupBy("a").agg(F.sum("w").alias("w"))
-    named = label.join(smallest, "component").join(degree, label["ck"] == degree["a"], "left").select("ck", "proof", "component_id", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sized.join(named, ["ck", "proof"], "left")
+    # what is in neither of these is a class of one row without links
+    whole = components(links.where("b is not null").select("a", "b")).select(F.col("id").alias("ck"), "component")
+    linked = cut(classes.join(whole, "ck").select("ck", "proof", "first", "copies", "component"))
+    smallest = cut(linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("classes")))
+    degree = links.where("b is null").groupBy(F.col("a").alias("ck")).agg(F.sum("w").alias("w"))
+    named = meet(linked, smallest, ["component"], "classes").join(degree, "ck", "left").select("ck", "proof", "component_id", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    alone = classes.where("copies > 1").join(whole, "ck", "left_anti").select("ck", "proof", F.col("first").alias("component_id"), (F.col("copies") - 1).alias("n_links"), "copies")
+    out = meet(sized, cut(named.union(alone)), ["ck", "proof"], "copies", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
@@ -105,7 +108,7 @@ def _order(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np
     return tokens[order], rank[order]
 
 
-def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy: int, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent columns, sorted, with their rank by count.
 
     The first columns of all rows are counted; frequent ones move to the end of the order, which brings other columns to
@@ -113,7 +116,7 @@ def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy:
     """
     known: dict[int, int] = {}
     heavy = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    for _ in range(rounds):
+    while True:
         sent = single.sparkSession.sparkContext.broadcast(heavy)
 
         def front(texts, sent=sent):
@@ -140,19 +143,36 @@ def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy:
 
 
 def _prefixes(single: DataFrame, n: int, num: int, den: int, sent) -> DataFrame:
-    """(token, ck, n): the first columns of each row in the common order."""
+    """(token, heavy, ck, n): the first columns of each row in the common order, and whether it is a frequent one."""
 
     def first(texts):
         sets = [t for t in shingle_sets(texts, n) if len(t)]
-        return [class_key(t)[0] for t in sets], [len(t) for t in sets], [signed(_order(t, sent.value)[0][: prefix_length(len(t), num, den)]) for t in sets]
+        ordered = [_order(t, sent.value) for t in sets]
+        keep = [prefix_length(len(t), num, den) for t in sets]
+        rare = [min(k, int(np.count_nonzero(rank == 0))) for (_, rank), k in zip(ordered, keep, strict=True)]
+        return [class_key(t)[0] for t in sets], [len(t) for t in sets], [signed(o[:r]) for (o, _), r in zip(ordered, rare, strict=True)], [signed(o[r:k]) for (o, _), r, k in zip(ordered, rare, keep, strict=True)]
 
-    arrays = map_columns(single.select("text"), first, "ck long, n int, tokens array<long>", [pa.int64(), pa.int32(), pa.list_(pa.int64())], ["ck", "n", "tokens"])
-    return arrays.select("ck", "n", F.explode("tokens").alias("token"))
+    list_ = pa.list_(pa.int64())
+    arrays = map_columns(single.select("text"), first, "ck long, n int, rare array<long>, heavy array<long>", [pa.int64(), pa.int32(), list_, list_], ["ck", "n", "rare", "heavy"])
+    both = F.explode(F.array(F.struct(F.col("rare").alias("tokens"), F.lit(False).alias("heavy")), F.struct(F.col("heavy").alias("tokens"), F.lit(True).alias("heavy")))).alias("e")
+    return arrays.select("ck", "n", both).select("ck", "n", "e.heavy", F.explode("e.tokens").alias("token"))
 
 
-def _candidates(prefixes: DataFrame, num: int, den: int, light: int) -> DataFrame:
-    """(a, b): pairs that may still link, and for columns with many rows a tie of each row to its smallest neighbour."""
-    counted = stored(prefixes.withColumn("df", F.expr("count(*) OVER (PARTITION BY token)")).where("df > 1"))
+def _candidates(prefixes: DataFrame, num: int, den: int, light: int, open_ended: bool) -> DataFrame:
+    """(a, b): pairs that may still link, and for columns with many rows a tie of each row to its smallest neighbour.
+
+    Rows of rare columns are counted by a window, where none has many; rows of frequent columns, of which there are at most
+    ``max_heavy``, meet their counts in a broadcast.  If frequent columns may be missing (``open_ended``), all are joined.
+    """
+    found = stored(prefixes)
+    rare, heavy = found.where("not heavy").drop("heavy"), found.where("heavy").drop("heavy")
+    often = cut(heavy.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    dense = heavy.join(F.broadcast(often), "token")
+    if open_ended:
+        plain = rare.join(rare.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token")
+    else:
+        plain = rare.withColumn("df", F.expr("count(*) OVER (PARTITION BY token)")).where("df > 1")
+    counted = stored(plain.unionByName(dense))
     few, many = counted.where(F.col("df") <= light), counted.where(F.col("df") > light)
     x, y = few.select("token", F.col("ck").alias("a"), F.col("n").alias("na")), few.select("token", F.col("ck").alias("b"), F.col("n").alias("nb"))
     fit = F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")

@@ -7,7 +7,8 @@ starts in a document with a smaller id; windows are judged on the input.
    so windows can be gathered by that name.  Neighbouring windows with one name are a segment: about one row for
    thirteen words.
 2. Names that only one document has are dropped; exactly equal segments of several documents become one row with
-   the smallest id.  All later copies of such a segment are covered as a whole.
+   the smallest id.  All later copies of such a segment are covered as a whole.  Equal means equal names and equal hashes,
+   62 bits each, of which the hash spans all words.
 3. Reference shards: the different segments of the remaining names, dealt by name, so that everything that can match
    meets in one shard.  A shard is at most ``shard_words`` words, or one name.  Its suffix automaton carries the smallest
    id of each state; streaming the segments through it gives, for every position, the longest match, and by following
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import Rolling, by_ids, hash_texts, map_columns, settle, signed, sliding, stored
+from heddle.llm.common import Rolling, by_ids, hash_texts, map_columns, meet, settle, signed, sliding, stored
 
 
 class Segments:
@@ -142,7 +143,7 @@ def _shard(rows: list[tuple[int, int, bytes]], size: int) -> Iterator[tuple[int,
             yield owner, key, bytes(covered)
 
 
-def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int = 20_000, small: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int = 20_000, small: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, mask): per document, segments or windows (by hash) that lie in smaller documents; a null mask means all of it."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("id is not null")
 
@@ -157,13 +158,14 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
     shared = stored(found.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("name"))
     few = shared.count() <= small
     uses = stored(found.join(F.broadcast(shared) if few else shared, "name", "left_semi").distinct())
-    firsts = stored(uses.groupBy("name", "key").agg(F.min("id").alias("id")))
+    firsts = stored(uses.groupBy("name", "key").agg(F.min("id").alias("id"), F.count("*").alias("uses")))
     sizes = firsts.groupBy("name").count()
     busy = stored(sizes.where(F.col("count") > hot).select("name"))
     is_busy = lambda df, how: df.join(busy, "name", how)
 
     # later copies of a whole segment
-    later = uses.alias("u").join(firsts.alias("f"), (F.col("u.name") == F.col("f.name")) & (F.col("u.key") == F.col("f.key")) & (F.col("u.id") > F.col("f.id"))).select("u.id", "u.key", F.lit(None).cast("binary").alias("mask"))
+    copied = firsts.where("uses > 1").withColumnRenamed("id", "lo")
+    later = meet(uses, copied, ["name", "key"], "uses").where("id > lo").select("id", "key", F.lit(None).cast("binary").alias("mask"))
 
     # different segments of one name, through the automata; a name with one segment has nothing else to match
     several = sizes.where((F.col("count") > 1) & (F.col("count") <= hot)).select("name")
@@ -211,18 +213,19 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
     where = stored(is_busy(uses, "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys")))
 
     def windows_of(ids, texts, keys):
-        out_id, out_key = [], []
+        out_id, out_name, out_key = [], [], []
         for i, part, want in zip(ids, all_segments(texts, size), keys, strict=True):
             want = set(want)
             for k in range(len(part.name)) if part else ():
                 if int(part.hash[k]) in want:
                     out_key.append(part.windows(k))
                     out_id.append(np.full(len(out_key[-1]), i, np.int64))
-        return (np.concatenate(out_id), np.concatenate(out_key)) if out_id else None
+                    out_name.append(np.full(len(out_key[-1]), part.name[k], np.int64))
+        return (np.concatenate(out_name), np.concatenate(out_key), np.concatenate(out_id)) if out_id else None
 
-    windows = stored(map_columns(by_ids(rows, where, "id", "inner", small // 2, "keys"), windows_of, "id long, key long", [pa.int64()] * 2, ["id", "key"]).distinct())
-    least = windows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    single = windows.join(least, "key").where("id > lo").select("id", "key", F.lit(None).cast("binary").alias("mask"))
+    windows = stored(map_columns(by_ids(rows, where, "id", "inner", small // 2, "keys"), windows_of, *three).distinct())
+    least = stored(windows.groupBy("name", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("uses")).where("lo < hi"))
+    single = meet(windows, least.drop("hi"), ["name", "key"], "uses").where("id > lo").select("id", "key", F.lit(None).cast("binary").alias("mask"))
     return later.union(partial).union(single)
 
 

@@ -110,6 +110,34 @@ def test_substring_dedup_of_one_window_at_several_places(spark, keep_text):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """Two documents that differ in one structured word of 1,024 letters share no window and no shingle with it."""
+    from heddle.llm.jaccard_join import join
+    from heddle.llm.substring_dedup import remove
+    from tests.llm.test_properties import thue_morse
+
+    one, two = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    line = [f"w{k}" for k in range(81)]
+    texts = [(1, " ".join([*line[:41], one, *line[41:80]])), (2, " ".join([*line[:41], two, *line[41:80]])), (3, f"A {one}"), (4, f"A {two}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(map(tuple, remove(df).collect())) == brute_dedup(texts)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in join(df, 4, 85, 100).collect()) == brute_join(texts, 4, 85, 100)
+
+
+@pytest.mark.parametrize("small", [500_000, 3, 0])
+def test_meet(spark, small):
+    """Hot keys are broadcast, others meet in a shuffle; the rows are those of one join."""
+    from heddle.llm.common import meet
+
+    rows = [(k, 5000 if k == 3 else k) for k in range(9)]
+    df = spark.range(6000).select(F.when(F.col("id") < 5000, 3).otherwise(F.col("id") % 9).alias("k"), "id").unionByName(spark.createDataFrame([(None, -1)], "k int, id long"))
+    table = spark.createDataFrame([(k, n, f"t{k}") for k, n in rows if k != 5], "k int, n long, t string")
+    for how in ("inner", "left"):
+        want = df.join(table.drop("n"), ["k"], how)
+        got = meet(df, table, ["k"], "n", how, max(1, small))
+        assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
 def brute_join(texts, n, num, den):
     sets = []
     for i, t in texts:
@@ -130,10 +158,14 @@ def brute_join(texts, n, num, den):
     return sorted((i, len(s), top(i)) for i, s in sets if i is not None)
 
 
-@pytest.mark.parametrize(("n", "num", "light", "block"), [(4, 85, 50, 1_000_000), (5, 80, 1, 2000), (1, 50, 2, 1000)])
-def test_jaccard_join(spark, docs, nothing, n, num, light, block):
+@pytest.mark.parametrize(("n", "num", "light", "block", "heavy"), [(4, 85, 50, 1_000_000, 500_000), (5, 80, 1, 2000, 500_000), (1, 50, 2, 1000, 5)])
+def test_jaccard_join(spark, docs, nothing, n, num, light, block, heavy):
+    from functools import partial
+
     from heddle.llm.jaccard_join import join
 
+    join = partial(join, max_heavy=heavy)
+
     got = join(docs, n, num, 100, light=light, block=block)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect() if r.doc_id is not None) == brute_join(TEXTS, n, num, 100)
     assert got.count() == len(TEXTS)
@@ -200,6 +232,10 @@ def test_packing(docs, nothing):
         parts = sorted(by_doc[i], key=lambda r: r.start)[::copies]
         assert [x for r in parts for x in r.ids] == ids and all(r.doc_tokens == len(ids) for r in parts)
     assert binary_lengths(3000) == [1024, 1024, 512, 256, 128, 32, 16, 8] and binary_lengths(1) == [1]
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000):
+        assert encoder(*paths)(text) == library.encode(text, add_special_tokens=False).ids
+    long = docs.sparkSession.createDataFrame([(1, " " * 1_000_000, 7, "b")], "doc_id long, text string, sequence_id int, bucket string")
+    assert [tuple(r) for r in pack(long, *paths).groupBy("doc_tokens").agg(F.sum("length")).collect()] == [(1_000_001, 1_000_001)]
     assert encoder(*paths)("<|endoftext|>a") == library.encode("<|endoftext|>a", add_special_tokens=False).ids
     assert pack(nothing, *paths).count() == 0
     with pytest.raises(ValueError):
@@ -249,9 +285,31 @@ def test_chat_events(spark):
         (1, "u1", 1, "message", "user", "hello"), (1, "x2", 2, "message", "assistant", ""), (1, "x2", 3, "delta", "assistant", "old"), (1, "x2", 5, "regenerate", "assistant", "ne"), (1, "x2", 6, "delta", "assistant", "w"),
         (1, "x3", 7, "delta", "user", "stream"), (1, "x3", 8, "delta", "user", "ed"), (1, "u1", 9, "edit", "user", "hello!"), (1, "x4", 10, "message", "assistant", "gone"), (1, "x4", 11, "delete", "assistant", ""),
     ]
-    df = spark.createDataFrame(events, "conv_id long, turn string, seq long, kind string, role string, text string")
-    row = reconstruct(df).collect()[0]
-    assert [tuple(m) for m in row.messages] == [("user", "hello!"), ("assistant", "new"), ("user", "streamed")]
+    # a later message may have a smaller key; a repeated row, events of one number, deltas without or after anything, odd kinds, nulls
+    events += [
+        (2, "z9", 1, "message", "user", "first"), (2, "a1", 2, "message", "assistant", "sec"), (2, "a1", 3, "delta", None, "ond"), (2, "a0", 2, "message", "assistant", "zz"),
+        (3, "m", 1, "delta", "assistant", "x"), (3, "m", 2, "delete", None, None), (3, "m", 3, "delta", "assistant", "y"), (3, "m", 4, "delta", "assistant", None), (3, "m", 5, "delta", "assistant", "z"), (3, "n", 9, "edit", "user", "only"), (3, "o", 10, "odd", "user", "q"), (3, "p", 11, "delete", "user", ""),
+        (4, "m", 1, "message", "user", "r"), (4, "m", 1, "message", "user", "r"), (4, "m", 1, "delta", "user", "+"), (4, None, None, None, None, None), (None, "m", 1, "message", "user", "n"),
+    ]
+    df = spark.createDataFrame([(*e, 0) for e in events], "conv_id long, turn string, seq long, kind string, role string, text string, first int")
+    got = {r.conv_id: [tuple(m) for m in r.messages] for r in reconstruct(df).collect()}
+    assert got == {
+        1: [("user", "hello!"), ("assistant", "new"), ("user", "streamed")], 2: [("user", "first"), ("assistant", "second"), ("assistant", "zz")],
+        3: [("assistant", "yz"), ("user", "only"), ("user", "q")], 4: [("", ""), ("user", "r"), ("user", "r+")], None: [("user", "n")],
+    }
+    many = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.lit("m").alias("turn"), F.col("id").alias("seq"), F.lit("delta").alias("kind"), F.lit("assistant").alias("role"), F.format_string("%d ", "id").alias("text"))
+    assert reconstruct(many).collect()[0].messages[0].text == "".join(f"{k} " for k in range(20_000))
+
+
+def test_chat_log(spark):
+    """The query's log gives the turns back, repeated and equal turns included."""
+    from heddle.llm.chat import reconstruct
+    from heddle.llm.queries import turn_log
+
+    rows = [(1, 0, "user", "abc"), (1, 1, "assistant", "x\U0001f600y"), (1, 2, "assistant", None), (1, 3, None, "q"), (2, 0, "user", "r"), (2, 0, "user", "r"), (2, 0, "user", "a"), (2, 0, "assistant", "z"), (3, 5, "user", ""), (3, 4, "user", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: [tuple(m) for m in r.messages] for r in reconstruct(turn_log(df)).collect()}
+    assert got == {c: [(role or "", text or "") for _, _, role, text in sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], r[2] or "", r[3] or ""))] for c in (1, 2, 3)}
 
 
 def test_top_k(spark):

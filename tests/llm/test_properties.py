@@ -121,3 +121,22 @@ def test_cover(texts):
     texts = [sorted(set(t)) for t in texts]
     chosen = cover(texts, least=1)
     assert all(not t or set(t) & set(chosen) for t in texts) and len(chosen) == len(set(chosen))
+
+
+def thue_morse(n, a, b):
+    """The word sequence that collides in any polynomial hash modulo a power of two, and its complement."""
+    out = [a]
+    while len(out) < n:
+        out += [b if x == a else a for x in out]
+    return out[:n]
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048])
+def test_structured_words_do_not_collide(n):
+    one, two = "".join(thue_morse(n, "a", "b")).encode(), "".join(thue_morse(n, "b", "a")).encode()
+    hashes, _ = hash_texts([one, two])
+    assert hashes[0] != hashes[1]
+    left, right = (Rolling(hash_texts([" ".join(thue_morse(n, *ab)).encode()])[0]) for ab in ("xy", "yx"))
+    assert left.ranges(np.array([0]), np.array([n]))[0] != right.ranges(np.array([0]), np.array([n]))[0]
+    again = Rolling(hash_texts([b"other words " + " ".join(thue_morse(n, "x", "y")).encode()])[0])
+    assert again.ranges(np.array([2]), np.array([n + 2]))[0] == left.ranges(np.array([0]), np.array([n]))[0]
