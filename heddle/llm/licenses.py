@@ -2,13 +2,15 @@
 
 1. The vocabulary is the words of the licence templates.  One pass over the corpus counts in how many files each of
    these words stands (a table of at most one row per vocabulary word), which gives their inverse document frequency.
-2. The index holds, for every template, its few words of highest IDF with their positions in the template.
-3. In each file, the words that the index has are looked up.  A posting at template position p for a word at file
-   position i says that the template may start at i - p; equal starts from several words are one candidate.
-4. A candidate counts if every mandatory key phrase of the template stands, word by word, where the start puts it.
+2. A file's licence words are looked up.  A template is open in a file if the file has all words of the template's
+   mandatory phrases; of these words, the ``rare`` ones of highest IDF are what the file is searched for.
+3. The index has the positions of these words in their templates.  A posting at template position p for a word at file
+   position i says that the template may start at i - p.  The starts of all of a template's postings are intersected:
+   sorted, a start that each posting proposes stands there as often as there are postings.
+4. A start counts if every mandatory key phrase of the template stands, word by word, where the start puts it.
 
-All of that happens inside one row with array functions, so files are never shuffled and one very common word costs
-each file only its own occurrences.
+All of that happens inside one row with array functions, so files are never shuffled.  The work is linear in a file's
+words, but for the sort of the starts; a file without an open template, the usual case, ends after the look-up.
 
 Labels: those of the base phrases, and the templates' own.  The score is the largest share of a labelled template's
 words that stand in place (1 for a base phrase), 0 without any label.
@@ -90,36 +92,46 @@ def scan(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, rare: in
     texts = [t.text.split() for t in templates]
     read = files.select(F.col(id_col).alias("id"), words_of(F.col(text_col).cast("string")).alias("words"))
     weight = idf(read, "words", sorted({w for t in texts for w in t}))
-    postings, shapes = [], []
+    postings: dict[str, list[str]] = {}
+    shapes, needs, counts = [], [], []
     for k, (template, text) in enumerate(zip(templates, texts, strict=True)):
         keys = []
         for key in template.keys:
             part = key.split()
             start = next(i for i in range(len(text)) if text[i : i + len(part)] == part)
             keys.append((start, len(part)))
-        # a mandatory phrase must stand in full, so its rarest words find every place
-        within = sorted({text[i] for s, n in keys for i in range(s, s + n)}, key=lambda w: (-weight[w], w))[: 1 if template.base else rare]
-        postings += [f"named_struct('w', '{w}', 't', {k}, 'p', {p})" for p, w in enumerate(text) if w in within]
+        # the places of the mandatory words of highest IDF
+        places = [i for s, n in keys for i in range(s, s + n)]
+        rarest = sorted({text[i] for i in places}, key=lambda w: (-weight[w], w))[:rare]
+        chosen = sorted({i for i in places if text[i] in rarest})
+        for p in chosen:
+            postings.setdefault(text[p], []).append(f"named_struct('t', {k}, 'p', {p})")
+        counts.append(len(chosen))
+        needs.append(_text_array(sorted({text[i] for i in places})))
         spots = ", ".join(f"named_struct('s', {s}, 'n', {n})" for s, n in keys)
         shapes.append(f"named_struct('label', '{template.label}', 'base', {str(template.base).lower()}, 'words', {_text_array(text)}, 'keys', array({spots}))")
-    indexed = sorted({p.split("'")[3] for p in postings})
-    hits = f"filter(transform(words, (w, i) -> IF(w IN ({', '.join(map(repr, indexed))}), i, NULL)), i -> i IS NOT NULL)"
-    starts = f"array_distinct(flatten(transform(hits, h -> transform(filter(array({', '.join(postings)}), q -> q.w = element_at(words, h + 1)), q -> named_struct('t', q.t, 'o', h - q.p)))))"
-    table = f"array({', '.join(shapes)})"
-    proven = f"""filter(transform(starts, c -> named_struct('o', c.o, 'x', element_at({table}, c.t + 1))),
-        c -> forall(c.x.keys, k -> IF(c.o + k.s < 0, false, slice(words, c.o + k.s + 1, k.n) = slice(c.x.words, k.s + 1, k.n))))"""
-    share = "size(filter(transform(c.x.words, (w, i) -> IF(c.o + i < 0, false, try_element_at(words, c.o + i + 1) <=> w)), m -> m)) / size(c.x.words)"
-    # an empty index lookup, the usual case, ends a file's work before the rest is looked at
-    some = (
-        read.select("id", "words", F.expr(hits).alias("hits"))
-        .select("id", F.size("words").cast("long").alias("n_words"), F.expr(f"IF(size(hits) = 0, NULL, {starts})").alias("starts"), F.expr("IF(size(hits) = 0, NULL, words)").alias("words"))
-        .select("id", "n_words", F.expr(f"IF(starts IS NULL, NULL, {proven})").alias("found"), "words")
-        .select("id", "n_words", F.expr(f"transform(found, c -> named_struct('label', c.x.label, 'base', c.x.base, 'o', c.o, 'share', {share}))").alias("found"))
-        .withColumn("at", F.expr("transform(filter(found, c -> c.base), c -> c.o)"))
-    )
+    quoted = lambda some: ", ".join(f"'{w}'" for w in sorted(some))
+    mandatory = {w for t in templates for key in t.keys for w in key.split()}
+    index = "map(" + ", ".join(f"'{w}', array({', '.join(found)})" for w, found in postings.items()) + ")"
+    shape = lambda t: f"element_at(array({', '.join(shapes)}), {t} + 1)"
+    # a start is a number: template * 2^40 + start + 2^20; starts before the text are negative and fail the check
+    steps = {
+        "present": f"array_distinct(filter(words, w -> w IN ({quoted(mandatory)})))",
+        "open": f"filter(transform(array({', '.join(needs)}), (n, t) -> IF(size(present) > 0 AND forall(n, w -> array_contains(present, w)), t, NULL)), t -> t IS NOT NULL)",
+        "hits": f"IF(size(open) = 0, NULL, filter(transform(words, (w, i) -> IF(w IN ({quoted(postings)}), i, NULL)), i -> i IS NOT NULL))",
+        "starts": f"sort_array(flatten(transform(hits, i -> transform(filter({index}[element_at(words, i + 1)], q -> array_contains(open, q.t)), q -> q.t * 1099511627776 + i - q.p + 1048576))))",
+        "agreed": f"filter(starts, (c, i) -> (i = 0 OR get(starts, i - 1) <> c) AND get(starts, CAST(i + element_at(array({', '.join(map(str, counts))}), CAST(c DIV 1099511627776 AS INT) + 1) - 1 AS INT)) <=> c)",
+        "places": "transform(agreed, c -> named_struct('t', CAST(c DIV 1099511627776 AS INT), 'o', CAST(c % 1099511627776 - 1048576 AS INT)))",
+        "proven": f"filter(places, c -> forall({shape('c.t')}.keys, k -> IF(c.o + k.s < 0, false, slice(words, c.o + k.s + 1, k.n) = slice({shape('c.t')}.words, k.s + 1, k.n))))",
+        "found": f"transform(proven, c -> named_struct('label', {shape('c.t')}.label, 'base', {shape('c.t')}.base, 'o', c.o, 'share', size(filter(transform({shape('c.t')}.words, (w, i) -> IF(c.o + i < 0, false, try_element_at(words, c.o + i + 1) <=> w)), m -> m)) / size({shape('c.t')}.words)))",
+        "at": "transform(filter(found, c -> c.base), c -> c.o)",
+    }
+    some = read
+    for name, step in steps.items():
+        some = some.withColumn(name, F.expr(step))
     names = lambda array: F.coalesce(F.array_join(F.array_sort(F.array_distinct(array)), ","), F.lit(""))
     return some.select(
-        F.col("id").alias(id_col), "n_words", F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("long").alias("n_base"),
+        F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("long").alias("n_base"),
         F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),
         names(F.expr("transform(filter(found, c -> c.base), c -> c.label)")).alias("base_labels"), names(F.expr("transform(found, c -> c.label)")).alias("labels"),
         F.coalesce(F.expr("array_max(transform(found, c -> c.share))"), F.lit(0.0)).cast("double").alias("score"),

@@ -257,6 +257,10 @@ def test_license_scan(spark, nothing):
         r = got[i, len(w)]
         assert (r.n_base, r.first_word, r.last_word) == (len(spots), min((k for k, _ in spots), default=None), max((k for k, _ in spots), default=None))
         assert r.base_labels == ",".join(sorted({n for _, n in spots})) and 0 <= r.score <= 1
+    long = {1: "cc by nc " * 120_000, 2: "general public license version 2 " * 30_000, 3: "license " * 200_000, 4: "rights all reserved " * 60_000}
+    df = spark.createDataFrame([(i, t, 7, "w") for i, t in long.items()], "doc_id long, text string, words int, open string")
+    seen = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.labels, r.n_places) for r in scan(df).collect()}
+    assert seen == {1: (360_000, 120_000, 0, 359_997, "cc-by,cc-by-nc", 240_000), 2: (150_000, 30_000, 0, 149_995, "gpl,gpl-2.0", 60_000), 3: (200_000, 0, None, None, "", 0), 4: (180_000, 0, None, None, "", 0)}
     assert got[5, 5].labels == "mit" and got[7, 7].labels == "cc-by,cc-by-nc" and got[8, 7].labels == "gpl,lgpl" and got[6, 6].labels == "mit"
     assert scan(nothing).count() == 0
 
