@@ -1,23 +1,29 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred per host.
 
-1. A page is read as a stream of tags and texts and put in canonical form: implied end tags are added, inline markup
-   is transparent, and neighbours of the same form become a repeated group (``p p p`` is ``(p)+``, ``h2 p h2 p`` is
-   ``(h2 p)+``).
-2. The canonical forms of one host are aligned one after another.  Where they agree, the wrapper stays; a mismatch turns
-   into an optional part, or into a repeated one if it repeats its neighbour; texts become slots, which remember whether
-   all pages had the same text there, how long the texts were and how much of them was link text.
-3. In each wrapper the slots that may hold an article are ranked by their zone (article, main, content, rest), without
-   parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, and
-   without slots outside named zones (headings apart) that have the same text on all of the host's pages where others differ.
-4. Every page is aligned with its host's wrapper again.  The texts in slots of the best zone that this page has are its
-   text, whatever zones other pages of the host have; of the rest, slots that are mostly links are left out.
+1. A page is read as a stream of tags and texts.  Implied end tags are added and inline markup is transparent.  What stands
+   between a tag and its end is put in canonical form: neighbours of the same form become a repeated group (``p p p`` is
+   ``(p)+``, ``h2 p h2 p`` is ``(h2 p)+``).
+2. The streams of one host are aligned one after another, what stands between two tags with what stands between theirs.
+   Where they agree, the wrapper stays; a mismatch turns into an optional part, or into a repeated one if it repeats its
+   neighbour; texts become slots, which remember whether all pages that have them had the same text there, the texts of
+   a repeated group taken together.
+3. A page's main text stands in its best zone: article, main, content or the rest, without parts that are menus, headers,
+   footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by their element, role, class or id.
+4. In the rest, names say nothing, and the wrapper decides: each page is aligned with its host's wrapper again, and a slot that
+   has one and the same text on most of the host's pages, where other slots differ, is part of the form (a menu, a notice);
+   headings stay.  List items that are nothing but a link, and rows of links, are menus as well.
+
+A wrapper has a bound.  Below ``DEPTH`` levels, or inside a part that is not the article, elements are no longer told apart
+(their texts are, so nothing is lost); a level of over ``WIDTH`` parts becomes ``(a? b? c?)+`` over its elements' names, but
+for forms that most pages have; and a wrapper
+of over ``PARTS`` parts is cut at the depth where it has fewer, with one slot for what is below.
 
 Wrappers are folded inside each task first, then by (host, salt), then by host, so a host with a third of all pages
 costs one task no more than a few partial wrappers.  Wrappers are broadcast if their total size is at most
 ``broadcast_bytes``; otherwise pages and wrappers meet by (host, salt).
 
 Defined results: null or empty html gives an empty text; a null url counts as the host ``""``; repeated rows are extracted
-each; only the three named columns are read; an empty table gives an empty result.
+each; a null id is an id; only the three named columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,46 +42,59 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import cut, settle
 
+DEPTH, WIDTH, PARTS = 100, 64, 1000
 #: HTML's inline, void and raw-text elements, and the open elements that a start tag ends.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe xmp".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_ENDING = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select"), "thead": ("tr td th thead", "table"), "tbody": ("tr td th thead tbody", "table"), "tfoot": ("tr td th tbody", "table")}
 #: Elements, roles and words of class or id that mark what is not the article.
-OUT_TAGS = frozenset("aside audio button canvas dialog footer form head header iframe input map menu nav noscript object script select style svg template textarea title video".split())
+OUT_TAGS = frozenset("aside button dialog footer form head header iframe input menu nav noscript script select style svg template textarea title".split())
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 OUT_WORDS = frozenset(
-    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form gdpr header masthead menu nav navbar navigation notice notices notification notifications pagenav pager pagination popup promo promoted sidebar sponsor sponsored toolbar topbar".split()
+    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header masthead menu nav navbar navigation notice notices notification notifications pagenav pager pagination popup promo promoted sidebar sponsor sponsored toolbar topbar".split()
 )
 #: Headings, and elements of running text.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RUNNING = HEADINGS | frozenset("blockquote dd dt figure li p pre".split())
 IN_WORDS = frozenset("article content entry main post story".split())
-#: The named zones, best first; texts outside of them rank last.
-ZONES = ("article", "main", "content")
+#: Zones by rank: article, main, content; the rest is last.
+REST = 3
 
+_ATTRS = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|title|textarea|noscript|iframe|xmp)\b(?P<rattrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    rf"|<(?P<raw>script|style|title|textarea|noscript|iframe|xmp)(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_ATTRS})>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTR = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[^\W\d_]+")
+_GAPS = re.compile(r"[\s|/\\,;:.>»«·•–—-]+")
 TEXT = "#"
 
 
 class Node:
-    __slots__ = ("kids", "label", "links", "tag", "text")
+    """An element, or a text leaf (label ``#``); ``rank`` is its zone, ``out`` says that it isn't part of the article."""
 
-    def __init__(self, tag: str, label: str):
-        self.tag, self.label, self.kids, self.text, self.links = tag, label, [], "", 0
+    __slots__ = ("anchors", "depth", "kids", "label", "links", "out", "parts", "rank", "tag", "titles", "within")
 
+    def __init__(self, tag: str, label: str, up: Node | None = None):
+        self.tag, self.label, self.kids, self.parts, self.links, self.anchors = tag, label, [], [], 0, 0
+        self.depth, self.rank, self.out, self.within, self.titles = (up.depth + 1, up.rank, up.out, up.within, up.titles) if up else (0, REST, False, False, False)
 
+    @property
+    def text(self) -> str:
+        return " ".join("".join(self.parts).split())
+
+
+@lru_cache(maxsize=20_000)
 def _label(tag: str, attrs: str) -> str:
     if "=" not in attrs:
         return tag
-    marks = {m[1].lower(): " ".join(sorted((m[2] or m[3] or m[4] or "").lower().split())) for m in _ATTR.finditer(attrs)}
+    marks: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        marks.setdefault(m[1].lower(), " ".join(sorted((m[2] or m[3] or m[4] or "").lower().split())))
     # digits in ids and classes number things; they aren't part of the form
     parts = [f"{k}={re.sub(r'[0-9]+', '9', marks[k])}" for k in ("class", "id", "role") if marks.get(k)]
     return f"{tag} {'|'.join(parts)}" if parts else tag
@@ -97,7 +117,7 @@ def outside(label: str, within: bool = False) -> bool:
     if tag in OUT_TAGS:
         return True
     if tag in ("body", "html", "article", "main"):
-        return False
+        return bool(tag == "article" and any(OUT_WORDS & {*v.split()} for v in re.findall(r"class=([^|]*)", marks)))
     for mark in marks.split("|") if marks else ():
         key, _, value = mark.partition("=")
         if key == "role":
@@ -113,67 +133,99 @@ def outside(label: str, within: bool = False) -> bool:
     return False
 
 
+@lru_cache(maxsize=20_000)
+def zone(label: str) -> int:
+    """Rank of the zone that an element of this form opens."""
+    tag, _, marks = label.partition(" ")
+    if tag == "article":
+        return 0
+    if tag == "main" or "role=main" in marks:
+        return 1
+    return 2 if marks and tag not in ("body", "html") and IN_WORDS & {*_PART.findall(re.sub(r"\w+=", "", marks))} else REST
+
+
+def _child(up: Node, tag: str, label: str) -> Node:
+    """The node of an element below ``up``: ``up`` itself where elements are no longer told apart."""
+    if up.out and not (up.titles and tag in HEADINGS):
+        return up
+    rank, out = min(up.rank, zone(label)), outside(label, up.within)
+    if up.titles:  # a header of an article: its headings are the article's
+        rank, out = up.rank, tag not in HEADINGS
+    if up.depth >= DEPTH and rank == up.rank and out == up.out:
+        return up
+    node = Node(tag, label, up)
+    node.titles = not up.titles and tag == "header" and up.rank == 0
+    node.rank, node.out, node.within = rank, out, up.within or rank < 2
+    return node
+
+
 def parse(html: str) -> Node:
-    """The page as a tree of blocks; texts are leaves with the label ``#``, character references decoded."""
+    """The page as a tree of blocks; texts are leaves, character references decoded."""
     root = Node("", "")
-    stack, link = [root], 0
+    tags, nodes, places, link = [""], [root], defaultdict(list), 0
 
     def add_text(raw: str, glue: bool = False) -> None:
-        kids = stack[-1].kids
+        kids = nodes[-1].kids
         if not kids or kids[-1].label != TEXT:
-            if not raw.strip() and not glue:
+            if glue or raw.isspace():
                 return
-            kids.append(Node(TEXT, TEXT))
-        kids[-1].text += raw
-        kids[-1].links += len(raw) if link else 0
+            kids.append(Node(TEXT, TEXT, nodes[-1]))
+        kids[-1].parts.append(raw)
+        if link:
+            kids[-1].links += len(_GAPS.sub("", raw))
+
+    def end(k: int) -> None:
+        """Ends all elements from the k-th on."""
+        while len(tags) > k:
+            places[tags.pop()].pop()
+            nodes.pop()
+        add_text(" ", True)
+
+    def last(names: str) -> int:
+        return max((places[n][-1] for n in names.split() if places[n]), default=0)
 
     for m in _TOKEN.finditer(html):
         text = m["text"]
         if text is not None:
             add_text(entities.unescape(text) if "&" in text else text)
             continue
-        if m["raw"]:
-            tag = m["raw"].lower()
-            node = Node(tag, _label(tag, m["rattrs"] or ""))
-            stack[-1].kids.append(node)
-            continue
         if not m["tag"]:
             continue
-        tag, attrs = m["tag"].lower(), m["attrs"] or ""
+        tag, attrs = m["tag"].lower(), m["attrs"]
         if tag == "br":
-            add_text(" ")
+            add_text(" ", True)
             continue
         if m["end"]:
             if tag == "a":
                 link = 0
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break
+            if places[tag] and (tag not in INLINE or all(t in INLINE for t in tags[places[tag][-1] :])):
+                end(places[tag][-1])
             continue
+        up = nodes[-1]
         if tag == "a":
             link = 1
+            if up.kids and up.kids[-1].label == TEXT:
+                up.kids[-1].anchors += 1
         label = _label(tag, attrs)
-        if tag in INLINE and not (outside(label) and outside(label, any(n.tag in ("article", "main") or "role=main" in n.label for n in stack))):
+        if tag in INLINE and not (outside(label) and outside(label, up.within)):
             continue
-        if tag in ENDS_P and any(n.tag == "p" for n in stack):
-            k = max(i for i, n in enumerate(stack) if n.tag == "p")
-            if all(n.tag in INLINE for n in stack[k + 1 :]):
-                del stack[k:]
+        if tag in ENDS_P and places["p"] and all(t in INLINE for t in tags[places["p"][-1] + 1 :]):
+            end(places["p"][-1])
         if tag in SELF_ENDING:
-            ended, within = SELF_ENDING[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in within.split():
-                    break
-                if stack[k].tag in ended.split():
-                    del stack[k:]
-                    break
-        node = Node(tag, label)
-        stack[-1].kids.append(node)
+            ended, around = SELF_ENDING[tag]
+            k = last(ended)
+            if k > last(around):
+                end(min(places[n][-1] for n in ended.split() if places[n] and places[n][-1] > last(around)))
+        up = nodes[-1]
+        node = _child(up, tag, label)
+        if node is up:
+            add_text(" ", True)
+        else:
+            up.kids.append(node)
         if tag not in VOID and not attrs.endswith("/"):
-            stack.append(node)
+            places[tag].append(len(tags))
+            tags.append(tag)
+            nodes.append(node)
     return root
 
 
@@ -186,53 +238,86 @@ def collapse(kids: list[Node]) -> list[tuple[str, list[Node]]]:
         else:
             items.append((node.label, [node]))
     for size in (2, 3, 4):
-        k = 0
-        while k + 2 * size <= len(items):
-            if all(items[k + j][0] == items[k + size + j][0] for j in range(size)):
+        out: list[tuple[str, list[Node]]] = []
+        for item in items:
+            out.append(item)
+            if len(out) >= 2 * size and all(out[-j][0] == out[-j - size][0] for j in range(1, size + 1)):
                 for j in range(size):
-                    items[k + j][1].extend(items[k + size + j][1])
-                del items[k + size : k + 2 * size]
-            else:
-                k += 1
+                    out[-2 * size + j][1].extend(out[-size + j][1])
+                del out[-size:]
+        items = out
     return items
 
 
-# A wrapper part is a list: [label, optional, repeated, parts, pages, characters, link characters, hash of the only text or 0]
+# A wrapper part is a list: [label, optional, repeated, level, parts, pages, hash of the only text or 0].
+# The level says how its parts are told apart: in order and by label, as (a? b? c?)+ by element, or not at all.
+LABEL, OPTIONAL, REPEATED, LEVEL, KIDS, PAGES, SAME = range(7)
+ORDERED, LOOSE, OPEN = range(3)
+
+
+def _key(label: str) -> str:
+    return label.partition(" ")[0]
+
+
+def _both(a: int, b: int, page: bool) -> int:
+    """Of two slots' texts: side by side, both in their order; of different pages, the common one."""
+    return (xxhash.xxh3_64_intdigest(b"%d %d" % (a, b)) | 1 if a and b else 0) if page else a if a == b else 0
+
+
 def form(label: str, nodes: list[Node]) -> list:
     """The wrapper part that one page's equal neighbours give."""
     part = None
     for node in nodes:
+        own = [label, 0, 0, ORDERED, [], 1, 0]
         if label == TEXT:
-            text = " ".join(node.text.split())
-            own = [TEXT, 0, 0, [], 1, len(text), node.links, xxhash.xxh3_64_intdigest(text) | 1]
+            own[SAME] = xxhash.xxh3_64_intdigest(node.text) | 1
         else:
-            own = [label, 0, 0, [form(*item) for item in collapse(node.kids)], 1, 0, 0, 0]
-        part = own if part is None else merge(part, own)
-    if len(nodes) > 1:
-        part[2] = 1
-        _once(part)
+            own[KIDS] = [form(*item) for item in collapse(node.kids)]
+            if len(own[KIDS]) > WIDTH:
+                _loosen(own, True)
+        part = own if part is None else merge(part, own, True)
+    part[REPEATED] |= len(nodes) > 1
     return part
 
 
-def _once(part: list) -> None:
-    """Counts a part of one page once, however often the page has it."""
-    part[4] = 1
-    for kid in part[3]:
-        _once(kid)
+def _loosen(part: list, page: bool) -> None:
+    """Tells the parts of a level apart by their elements alone."""
+    if part[LEVEL] != ORDERED:
+        return
+    found: dict[str, list] = {}
+    for kid in part[KIDS]:
+        # a label that most pages have stays, unless this is one page
+        _put(found, kid, kid[LABEL] if not page and 2 * kid[PAGES] > part[PAGES] else _key(kid[LABEL]), True)
+    part[LEVEL], part[KIDS] = LOOSE, list(found.values())
+
+
+def _put(found: dict[str, list], kid: list, key: str, page: bool) -> None:
+    if key not in found and len(found) >= WIDTH:
+        key = "*"
+    kid = [key, 1, 1, *kid[LEVEL:]]
+    found[key] = merge(found[key], kid, page) if key in found else kid
 
 
-def steps(a: list, b: list) -> list[tuple[int, int]]:
-    """Longest common subsequence of two label lists as index pairs, -1 where one side has nothing."""
+def _open(part: list) -> None:
+    """One slot for all texts below."""
+    if part[LEVEL] != OPEN:
+        part[LEVEL], part[KIDS] = OPEN, [[TEXT, 1, 1, ORDERED, [], part[PAGES], 0]]
+
+
+def steps(a: list[list], b: list[list]) -> list[tuple[int, int]]:
+    """The common subsequence of two levels as index pairs, -1 where one side has nothing; what more pages have counts for more."""
     n, m = len(a), len(b)
-    if a == b:
+    x, y = [p[LABEL] for p in a], [p[LABEL] for p in b]
+    if x == y:
         return [(i, i) for i in range(n)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        row, below, worth = best[i], best[i + 1], a[i][PAGES]
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+            row[j] = max(below[j], row[j + 1], below[j + 1] + worth * b[j][PAGES] if x[i] == y[j] else 0)
     out, i, j = [], 0, 0
     while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
+        if i < n and j < m and x[i] == y[j] and best[i][j] == best[i + 1][j + 1] + a[i][PAGES] * b[j][PAGES]:
             out.append((i, j))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
@@ -244,108 +329,134 @@ def steps(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """Two parts of one label as one; what only one of them has becomes optional."""
-    kids = []
-    for i, j in steps([p[0] for p in a[3]], [p[0] for p in b[3]]):
+def merge(a: list, b: list, page: bool = False) -> list:
+    """Two parts of one label as one, side by side on a page or of different pages; what only one of them has becomes optional."""
+    whole = [a[LABEL], a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], ORDERED, [], max(a[PAGES], b[PAGES]) if page else a[PAGES] + b[PAGES], _both(a[SAME], b[SAME], page)]
+    level = max(a[LEVEL], b[LEVEL])
+    if level == OPEN:
+        whole[LEVEL] = ORDERED
+        _open(whole)
+        return whole
+    if level == LOOSE:
+        _loosen(a, page)
+        _loosen(b, page)
+        found = {kid[LABEL]: kid for kid in a[KIDS]}
+        for kid in b[KIDS]:
+            _put(found, kid, kid[LABEL] if kid[LABEL] in found else _key(kid[LABEL]), page)
+        whole[LEVEL], whole[KIDS] = LOOSE, list(found.values())
+        return whole
+    kids = whole[KIDS]
+    for i, j in steps(a[KIDS], b[KIDS]):
         if i >= 0 and j >= 0:
-            kids.append(merge(a[3][i], b[3][j]))
+            kids.append(merge(a[KIDS][i], b[KIDS][j], page))
         else:
-            only = list(a[3][i] if i >= 0 else b[3][j])
-            if kids and kids[-1][0] == only[0]:
-                kids[-1] = merge(kids[-1], only)
-                kids[-1][2] = 1  # it repeats its neighbour
+            only = list(a[KIDS][i] if i >= 0 else b[KIDS][j])
+            if kids and kids[-1][LABEL] == only[LABEL]:
+                kids[-1] = merge(kids[-1], only, page)
+                kids[-1][REPEATED] = 1  # it repeats its neighbour
             else:
-                only[1] = 1
+                only[OPTIONAL] = 1
                 kids.append(only)
-    return [a[0], a[1] | b[1], a[2] | b[2], kids, a[4] + b[4], a[5] + b[5], a[6] + b[6], a[7] if a[7] == b[7] else 0]
-
-
-def main_slots(wrapper: list) -> dict[tuple[int, ...], tuple[int, bool]]:
-    """Of each text slot that may hold the article, by its path (child indexes): the rank of its zone, and whether links are most of it."""
-    slots, headings, pages = [], set(), max(1, wrapper[4])
-
-    def walk(part: list, path: tuple[int, ...], zones: tuple[str, ...], out: bool) -> None:
-        label = part[0]
-        tag, _, marks = label.partition(" ")
-        if label == TEXT:
-            if not out:
-                slots.append((path, next((r for r, zone in enumerate(ZONES) if zone in zones), len(ZONES)), part))
-            return
-        inside = zones and "article" in zones
-        heading = tag == "header" and inside
-        zone = "article" if tag == "article" else "main" if tag == "main" or "role=main" in marks else "content" if marks and IN_WORDS & {*_PART.findall(re.sub(r"\w+=", "", marks))} and tag not in ("body", "html") else ""
-        gone = out or outside(label, "article" in zones or "main" in zones) and not heading
-        if re.match(r"h[1-6]\b", label):
-            headings.add(path)
-        for k, kid in enumerate(part[3]):
-            walk(kid, (*path, k), (*zones, zone) if zone else zones, gone or heading and not re.match(r"h[1-6]\b", kid[0]))
-
-    walk(wrapper, (), (), False)
-    rest = len(ZONES)
-    varies = any(rank == rest and not part[7] for _, rank, part in slots)
-    # outside named zones, a slot of one fixed text on all of several pages belongs to the form, if other slots differ
-    fixed = {path for path, rank, part in slots if rank == rest and varies and pages > 1 and part[7] and part[4] >= pages and path[:-1] not in headings}
-    return {path: (rank, part[6] * 2 > max(1, part[5])) for path, rank, part in slots if path not in fixed}
-
-
-def _links(nodes: list[Node]) -> bool:
-    """Whether links are most of these texts."""
-    return sum(n.links for n in nodes) * 2 > max(1, sum(len(" ".join(n.text.split())) for n in nodes))
+    if len(kids) > WIDTH:
+        _loosen(whole, page)
+    return whole
+
+
+def bounded(wrapper: list, limit: int = PARTS) -> list:
+    """The wrapper, cut at the depth where it has at most ``limit`` parts."""
+    level, total = [wrapper], 1
+    while level:
+        below = [kid for part in level for kid in part[KIDS]]
+        total += len(below)
+        if total > limit:
+            for part in level:
+                if len(part[KIDS]) > 1 or part[KIDS] and part[KIDS][0][KIDS]:
+                    _open(part)
+            return wrapper
+        level = below
+    return wrapper
 
 
 class Wrapper:
-    def __init__(self, spec: str):
-        self.root = json.loads(spec)
-        self.main = main_slots(self.root)
-        self.known: dict[tuple, dict[int, int]] = {}
-
-    def _align(self, path: tuple[int, ...], part: list, labels: tuple[str, ...]) -> dict[int, int]:
-        key = (path, labels)
+    """A host's wrapper, ready for its pages."""
+
+    def __init__(self, spec: str | list):
+        self.root = json.loads(spec) if isinstance(spec, str) else spec
+        self.known: dict[tuple, list[int]] = {}
+        self.ids: dict[int, int] = {}
+        pages, todo, slots = max(1, self.root[PAGES]), [self.root], []
+        while todo:
+            part = todo.pop()
+            slots += [part] if part[LABEL] == TEXT else []
+            todo += part[KIDS]
+        same = [part for part in slots if part[SAME] and part[PAGES] > 1 and 2 * part[PAGES] > pages]
+        # where no text differs, the pages are copies of one page, and nothing shows what its form is
+        self.fixed = {id(part) for part in same} if any(not part[SAME] for part in slots) else set()
+
+    def _align(self, part: list, labels: tuple[str, ...]) -> list[int]:
+        """The place in the wrapper of each item of a page's level, or -1."""
+        key = (id(part), labels)
         if key not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
-            self.known[key] = {j: i for i, j in steps([p[0] for p in part[3]], list(labels)) if j >= 0 and i >= 0}
+            own = [p[LABEL] for p in part[KIDS]]
+            if part[LEVEL] == LOOSE or len(labels) > WIDTH:
+                names = {n: i for i, n in reversed(list(enumerate(own)))}
+                at = [names.get(n, names.get(_key(n), names.get("*", -1))) for n in labels]
+            else:
+                at = [-1] * len(labels)
+                for i, j in steps(part[KIDS], [[label, 0, 0, 0, [], 1, 0] for label in labels]):
+                    if j >= 0:
+                        # a repeat that the wrapper has folded into its neighbour stands at its first place
+                        at[j] = i if i >= 0 else next((k for k, n in enumerate(own) if n == labels[j]), -1)
+            self.known[key] = at
         return self.known[key]
 
-    def text(self, html: str) -> str:
-        reached: dict[tuple[int, ...], list[Node]] = {}
-        root = parse(html)
+    def leaves(self, root: Node) -> Iterator[tuple[Node, list | None, Node]]:
+        """All texts with their slots and the elements around them; in page order of each level's groups."""
 
-        def walk(part: list, path: tuple[int, ...], nodes: list[Node]) -> None:
+        def walk(part: list | None, nodes: list[Node]) -> Iterator[tuple[Node, list | None, Node]]:
             for node in nodes:
-                items = collapse(node.kids)
-                where = self._align(path, part, tuple(i[0] for i in items))
-                for j, (label, own) in enumerate(items):
-                    k = where.get(j)
-                    if k is None:  # a repeat that the wrapper has folded into its neighbour
-                        k = next((i for i, p in enumerate(part[3]) if p[0] == label), None)
-                    if k is None:
-                        continue
+                if part is not None and part[LEVEL] == OPEN:
+                    part_of = [part] * len(node.kids)
+                    groups = [(kid.label, [kid]) for kid in node.kids]
+                else:
+                    groups = collapse(node.kids)
+                    at = self._align(part, tuple(g[0] for g in groups)) if part is not None else [-1] * len(groups)
+                    part_of = [part[KIDS][k] if k >= 0 else None for k in at]
+                for (label, own), inner in zip(groups, part_of, strict=True):
                     if label == TEXT:
-                        if (*path, k) in self.main:
-                            reached.setdefault((*path, k), []).extend(n for n in own if n.text.strip())
+                        slot = inner[KIDS][0] if inner is not None and inner[LEVEL] == OPEN else inner
+                        yield from ((leaf, slot, node) for leaf in own)
                     else:
-                        walk(part[3][k], (*path, k), own)
-
-        walk(self.root, (), [root])
-        best = min((self.main[path][0] for path, own in reached.items() if own), default=0)
-        chosen: set[int] = set()
-        for path, own in reached.items():
-            rank, links = self.main[path]
-            # outside named zones, a menu is links on its host as well as on the page
-            if rank == best and not (rank == len(ZONES) and links and _links(own)):
-                chosen.update(map(id, own))
-        out: list[str] = []
+                        yield from walk(inner, own)
 
-        def collect(node: Node) -> None:
-            if id(node) in chosen:
-                out.append(node.text)
-            for kid in node.kids:
-                collect(kid)
+        return walk(self.root, [root])
 
-        collect(root)
-        return " ".join(" ".join(out).split())
+    def text(self, html: str) -> str:
+        root, best = parse(html), REST
+        chosen: dict[int, str] = {}
+        for leaf, slot, up in self.leaves(root):
+            if leaf.out or leaf.rank > best or not (text := leaf.text):
+                continue
+            if leaf.rank == REST and (_menu(leaf, up) or id(slot) in self.fixed and up.tag not in HEADINGS):
+                continue
+            best = leaf.rank
+            chosen[id(leaf)] = text
+        out, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            if node.rank == best and id(node) in chosen:
+                out.append(chosen[id(node)])
+            todo += reversed(node.kids)
+        return " ".join(out)
+
+
+def _menu(leaf: Node, up: Node) -> bool:
+    """Whether a text outside named zones is a list item that is one link, or a row of links."""
+    if not leaf.links or leaf.links < len(_GAPS.sub("", leaf.text)):
+        return False
+    return up.tag in ("li", "dt", "dd") or up.tag not in RUNNING and leaf.anchors > 0
 
 
 @lru_cache(maxsize=512)
@@ -368,22 +479,22 @@ def _folded(batches: Iterator[pa.RecordBatch], read, key_names: list[str], limit
         for *key, payload in zip(*values, strict=True):
             own = read(payload)
             key = tuple(key)
-            found[key] = merge(found[key], own) if key in found else own
+            found[key] = bounded(merge(found[key], own)) if key in found else own
         if len(found) > limit:
             yield flush()
     if found:
         yield flush()
 
 
-def _page_form(html: str | None) -> list:
-    page = form("", [parse(html or "")])
-    page[4] = int(bool(page[3]))  # a page without anything says nothing about the form
+def page_form(html: str | None) -> list:
+    page = bounded(form("", [parse(html or "")]))
+    page[PAGES] = int(bool(page[KIDS]))  # a page without anything says nothing about the form
     return page
 
 
 def infer(pages: DataFrame, salts: int = 32) -> DataFrame:
     """(host, wrapper) from rows (host, html)."""
-    first = pages.select("host", "html").mapInArrow(lambda it: _folded(it, _page_form, ["host"]), "host string, wrapper string")
+    first = pages.select("host", "html").mapInArrow(lambda it: _folded(it, page_form, ["host"]), "host string, wrapper string")
     salted = first.select("host", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int").alias("salt"), "wrapper").repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper")
     second = salted.mapInArrow(lambda it: _folded(it, json.loads, ["host", "salt"]), "host string, salt int, wrapper string")
     last = second.select("host", "wrapper").repartition("host").sortWithinPartitions("host", "wrapper")

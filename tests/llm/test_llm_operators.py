@@ -453,6 +453,91 @@ def test_html_parts_of_an_article_by_name(spark):
     assert {k: (t, rows[k][2]) for k, t in got.items()} == {k: (t, rows[k][2]) for k, t in want.items()}
 
 
+def extracted(spark, rows):
+    from heddle.llm.html_extract import extract
+
+    return {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+NEUTRAL = """<div class="a1"><ul><li><a href="/">Home</a> page</li><li>About us</li></ul></div><div class="b2">{odd}<h2>Part</h2><p>First of {n}</p><p>Second of {n}</p></div><div class="c3"><p>We use small files to remember you.</p></div><div class="d4"><div>Made by somebody</div><div>in some place</div></div>"""
+
+
+def test_html_host_wrapper_finds_what_one_page_cannot(spark):
+    """Neutral names: what all pages of a host share is part of its form; a single page keeps everything."""
+    from heddle.llm.html_extract import Wrapper, page_form
+
+    rows, want = [], {}
+    for n in range(6):
+        want[n] = ("An extra line " if n % 2 else "") + f"Part First of {n} Second of {n}"
+        rows.append((n, "https://neutral.example.com/", NEUTRAL.format(n=n, odd="<p>An extra line</p>" if n % 2 else "")))
+    want[10], want[11] = "Another layout", "Home page About us Part First of 1 Second of 1 We use small files to remember you. Made by somebody in some place"
+    rows += [(10, "https://neutral.example.com/", "<table><tr><td>Another layout</td></tr></table>"), (11, "https://single.example.com/", NEUTRAL.format(n=1, odd="")), (12, "https://neutral.example.com/", None)]
+    # the extra line is one of a run of paragraphs, and these differ
+    assert extracted(spark, rows) == want | {12: ""}
+    alone = {i: Wrapper(page_form(html)).text(html) for i, _, html in rows[:6]}
+    assert all(alone[i] != want[i] and alone[i].startswith("Home page About us") for i in range(6))
+
+
+def test_html_odd_markup(spark):
+    deep = 50_000
+    rows = [
+        ("<p class=it's>Text</p>", "Text"), ("<p title='a>b' class=\"x\">One</p><p data-id=footer>Two", "One Two"), ("<div>" * deep + "Deep", "Deep"), ("<article>" + "<div>" * deep + "<p>Deep</p><nav>Menu</nav>" + "</div>" * deep + "End</article>Out", "Deep End"),
+        ("<b>" * deep + "x" + "</i>" * deep, "x"), ("<li>" * 2000 + "x", "x"), ("<p a=\"" * 3000 + "x", ""), ("<p>See <a>a link that is most of the paragraph text</a></p><p>Other</p>", "See a link that is most of the paragraph text Other"),
+        ("<div><p>" + "ninety words here " * 90 + "</p></div><div><p>fifteen</p></div>", ("ninety words here " * 90).strip() + " fifteen"), ("<ul><li><a>Home</a></li><li><a>Shop</a></li></ul><div><a>One</a> | <a>Two</a></div><p><a>Linked</a></p>", "Linked"),
+        ("a<script>var x='<p>';</script>b <style>p{}</style>c<!-- <p>no</p> -->d", "ab cd"), ("<article>x<video>film</video> <button>Send</button>y &lt;b&gt; &amp;amp; &nbsp; z</article>", "x film y <b> &amp; z"), ("<p>a<", "a<"), ("<", "<"), ("</p></div></x>t", "t"), ("<p>one<p>two<table><tr><td>3<td>4<tr><td>5</table>six", "one two 3 4 5 six"),
+        ("<article><header><h1>T</h1>by me</header><p>x</p><article class='comment'><p>nice</p></article></article>", "T x"), ("&#x41;&eacute;&notit;", "Aé¬it;"),
+    ]
+    got = extracted(spark, [(k, f"https://odd{k}.example.com/", html) for k, (html, _) in enumerate(rows)])
+    assert got == {k: text for k, (_, text) in enumerate(rows)}
+
+
+def test_html_wrappers_are_bounded():
+    """Ids made of headings, ever new classes and long alternating levels don't make a wrapper grow with its host."""
+    import json
+
+    from heddle.llm.html_extract import PARTS, Wrapper, bounded, merge, page_form
+
+    def slug(n):
+        return f"<div class='b2 c{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}'>" + "".join(f"<h2 id='{chr(97 + n % 26)}{'xyz'[k % 3] * (k + n // 26)}'>H {n}</h2><section id='s{'ab'[k % 2] * n}'><p>T {n} {k}</p></section>" for k in range(12)) + "</div><div class='c3'>Same for all</div>"
+
+    sizes, wrapper = [], None
+    for n in range(600):
+        own = page_form(slug(n))
+        wrapper = own if wrapper is None else bounded(merge(wrapper, own))
+        sizes.append(len(json.dumps(wrapper)))
+    assert sizes[-1] < 2 * max(sizes[:100]) and sizes[-1] < 100 * PARTS
+    assert Wrapper(wrapper).text(slug(7)) == " ".join(f"H 7 T 7 {k}" for k in range(12))
+    wide = "".join(f"<{t} class=c{chr(97 + k % 26)}{chr(97 + k // 26)}>x{k}</{t}>" for k in range(500) for t in ("div", "h3"))
+    assert len(json.dumps(page_form(wide))) < 10_000 and len(Wrapper(page_form(wide)).text(wide).split()) == 1000
+
+
+def test_html_against_a_generator(spark):
+    """Random pages of random layouts, put together from parts whose main text is known."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    words_ = lambda n: " ".join(word() for _ in range(n))
+
+    def block():
+        a, b, c = words_(3), words_(2), words_(4)
+        return [(f"<p>{a} <em>{b}</em>,\n {c}</p>", f"{a} {b}, {c}"), (f"<p>{a}", a), (f"<h2 id='{b.replace(' ', '-')}'>{a}</h2>", a), (f"<ul><li>{a}<li>{b}</ul>", f"{a} {b}"), (f"<div class='box'>{a}<br>{b}</div>", f"{a} {b}"), (f"<blockquote>{a} &amp; {b}</blockquote>", f"{a} & {b}"), (f"<table><tr><td>{a}</td><td>{b}</td></tr></table>", f"{a} {b}"), (f"<pre>{a}\n\t{b}</pre>", f"{a} {b}"), (f"<div><div>{a}</div>{b}</div>", f"{a} {b}")][rng.integers(9)]
+
+    out_parts = ["<nav><ul><li><a href='/'>{a}</a></li></ul></nav>", "<header>{a}</header>", "<footer><p>{a}</p></footer>", "<aside>{a}</aside>", "<div class='cookie-notice'><p>{a}</p></div>", "<div id='sidebar'>{a}</div>", "<form><label>{a}</label><input></form>", "<script>{a}</script>", "<section class='comments'><article>{a}</article></section>", "<!-- {a} -->", "<div class='ad'>{a}</div>"]
+    for page in range(300):
+        body, text, kind = [], [], page % 3
+        for _ in range(rng.integers(1, 9)):
+            html, t = block()
+            body.append(html)
+            text.append(t)
+            if rng.random() < 0.3 and kind < 2:
+                body.append(out_parts[rng.integers(len(out_parts))].format(a=words_(3)))
+        around = [out_parts[rng.integers(len(out_parts))].format(a=words_(3)) for _ in range(4)]
+        inner = {0: "<article>{x}</article>", 1: "<main>{x}</main>", 2: "<div class='q7'>Same words on each page</div><section class='q8'>{x}</section><div class='q9'><i>and here</i></div>"}[kind].format(x="".join(body))
+        rows.append((page, f"https://h{kind}.example.com/{page}", f"<html><head><title>{words_(2)}</title></head><body>{around[0]}{around[1] if kind < 2 else ''}{inner}{around[2] if kind < 2 else ''}{around[3]}</body></html>"))
+        want[page] = " ".join(text)
+    got = extracted(spark, rows)
+    assert {k: (rows[k][2], got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
 def test_quality(spark, nothing):
     from heddle.llm.quality import kept, score
 
