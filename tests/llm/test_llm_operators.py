@@ -335,16 +335,38 @@ def test_top_k(spark):
     assert top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def clusters(rng, dims=16, size=400):
+    centres = rng.normal(size=(10, dims)) * 300
+    return np.vstack([rng.normal(c, 20, (size, dims)) for c in centres]).astype(np.int64)
+
+
 def test_m_tree_cuts_off():
     from heddle.llm.topk import MTree
 
-    rng = np.random.default_rng(0)
-    v = np.vstack([rng.normal(c, 1, (500, 3)) for c in (0, 300, -300, 900)]).astype(np.int64)
+    v = clusters(np.random.default_rng(0))
     tree = MTree(np.arange(len(v)), v, 16)
-    for q in range(0, len(v), 97):
-        want = sorted(((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q))[:5]
-        assert [(-s, i) for s, i in tree.search(q, v[q], 5)] == want
-    assert tree.computed < 21 * len(v) * 0.9
+    asked = np.arange(0, len(v), 97)
+    got = defaultdict(list)
+    for q, i, s in tree.search(asked, v[asked], 5):
+        got[q].append((-s, i))
+    for at, q in enumerate(asked):
+        assert got[at] == sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]
+    assert tree.computed < 0.6 * len(asked) * len(v)
+
+
+def test_top_k_sends_queries_only_where_their_bound_allows(spark):
+    from heddle.llm.topk import routes, top_k
+
+    v = clusters(np.random.default_rng(2))
+    rows = [(i, [x / 256 for x in row]) for i, row in enumerate(v.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = df.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: (x * 256).cast("long")).alias("v"), (F.col("vec_id") % 50 == 0).alias("q"))
+    mine, each = routes(whole, 5, 64)
+    seen = each.join(mine.groupBy("shard").count(), "shard").agg(F.sum("count")).first()[0]
+    asked = len(v) // 50
+    assert seen < 0.6 * asked * len(v)
+    want = [(q, k + 1, i, -s) for q in range(0, len(v), 50) for k, (s, i) in enumerate(sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5])]
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0, shard_rows=64, page=16).collect())) == want
 
 
 def test_decontamination(spark, nothing):
