@@ -16,6 +16,7 @@ empty tables give an empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -52,52 +53,70 @@ def _rolling(seq: list[int], size: int, free: bytearray) -> Iterator[tuple[int,
 
 
 def tiles(item: list[int], doc: list[int], min_tile: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (item start, doc start, length), longest first."""
+    """Greedy string tiling: (item start, doc start, length), the longest first, then the first in item and document.
+
+    Search lengths are halved from round to round.  A round finds all matches of at least its length that cannot be longer
+    on the left, and takes them longest first; of one that a tile has cut, the free stretches go back among the others.
+    """
     free_i, free_d, out = bytearray(b"\x01" * len(item)), bytearray(b"\x01" * len(doc)), []
-    size = min(len(item), len(doc))
-    while size >= min_tile:
-        table = defaultdict(list)
+    size, left = max(min_tile, min(len(item), len(doc))), len(item)
+    while left >= min_tile and size >= min_tile:
+        table: dict[int, dict[int | None, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i, h in _rolling(item, size, free_i):
-            table[h].append(i)
-        found = []
+            table[h][item[i - 1] if i and free_i[i - 1] else None].append(i)
+        heap = []
         for d, h in _rolling(doc, size, free_d) if table else ():
-            for i in table.get(h, ()):
-                if item[i : i + size] == doc[d : d + size]:
-                    n = size
-                    while i + n < len(item) and d + n < len(doc) and free_i[i + n] and free_d[d + n] and item[i + n] == doc[d + n]:
-                        n += 1
-                    found.append((-n, i, d))
-        if found and -min(found)[0] > 2 * size:
-            size = -min(found)[0]  # a much longer one exists: it goes first
-            continue
-        if found:
-            for n, i, d in sorted(found):
-                n = -n
-                if all(free_i[i : i + n]) and all(free_d[d : d + n]):
-                    free_i[i : i + n] = free_d[d : d + n] = bytes(n)
-                    out.append((i, d, n))
-            continue  # what a tile has cut off may still be long enough
-        size = max(min_tile, size // 2) if size > 2 * min_tile else size - 1
+            if h not in table:
+                continue
+            before = doc[d - 1] if d and free_d[d - 1] else None
+            for word, starts in table[h].items():
+                if word is not None and word == before:
+                    continue  # the match starts further left
+                for i in starts:
+                    if item[i : i + size] == doc[d : d + size]:
+                        n = size
+                        while i + n < len(item) and d + n < len(doc) and free_i[i + n] and free_d[d + n] and item[i + n] == doc[d + n]:
+                            n += 1
+                        heap.append((-n, i, d))
+        heapq.heapify(heap)
+        while heap and left >= size:
+            n, i, d = heapq.heappop(heap)
+            n = -n
+            if all(free_i[i : i + n]) and all(free_d[d : d + n]):
+                free_i[i : i + n] = free_d[d : d + n] = bytes(n)
+                left -= n
+                out.append((i, d, n))
+                continue
+            start = 0
+            for k in range(n + 1):
+                if k == n or not (free_i[i + k] and free_d[d + k]):
+                    if k - start >= size:
+                        heapq.heappush(heap, (start - k, i + start, d + start))
+                    start = k + 1
+        if size == min_tile:
+            break
+        size = max(min_tile, size // 2)
     return out
 
 
 class Index:
-    """Seeds of a block of items: which items have which run of ``min_tile`` words."""
+    """Seeds of a block of items: which items have which run of ``min_tile`` words, as sorted arrays."""
 
     def __init__(self, items: list[tuple[object, str]], min_tile: int):
         self.hashes, self.min_tile = WordHashes(), min_tile
         self.items = [(key, self.of(text)) for key, text in items]
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list[int]]]] = {}
-        by_length = defaultdict(lambda: defaultdict(set))
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        by_length = defaultdict(list)
         for k, (_, seq) in enumerate(self.items):
-            n = min(min_tile, len(seq))
-            for h in Rolling(seq).grams(n).tolist() if n else ():
-                by_length[n][h].add(k)
-        for n, seeds in by_length.items():
-            keys = np.array(sorted(seeds), np.uint64)
+            if n := min(min_tile, len(seq)):
+                seeds = np.unique(Rolling(seq).grams(n))
+                by_length[n].append((seeds, np.full(len(seeds), k, np.int32)))
+        for n, found in by_length.items():
+            keys, owners = np.concatenate([s for s, _ in found]), np.concatenate([o for _, o in found])
+            order = np.lexsort((owners, keys))
             bits = np.zeros(1 << 20, bool)  # a first sieve: nearly all windows of a document end here
             bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.lengths[n] = keys, bits, {h: sorted(v) for h, v in seeds.items()}
+            self.lengths[n] = keys[order], owners[order], bits
 
     def of(self, text: str) -> np.ndarray:
         return self.hashes.of([w.encode() for w in words(text)])
@@ -108,10 +127,12 @@ class Index:
         if not len(seq):
             return
         rolling, places = Rolling(seq), defaultdict(set)
-        for n, (_, bits, seeds) in self.lengths.items():
+        for n, (keys, owners, bits) in self.lengths.items():
             grams = rolling.grams(n)
-            for at in np.flatnonzero(bits[(grams >> np.uint64(44)).astype(np.int64)]).tolist():
-                for k in seeds.get(int(grams[at]), ()):
+            spots = np.flatnonzero(bits[(grams >> np.uint64(44)).astype(np.int64)])
+            lo, hi = np.searchsorted(keys, grams[spots], "left"), np.searchsorted(keys, grams[spots], "right")
+            for at, a, b in zip(*(x[lo < hi].tolist() for x in (spots, lo, hi)), strict=True):
+                for k in owners[a:b].tolist():
                     places[k].add((at, n))
         for k, spots in sorted(places.items()):
             key, item = self.items[k]
@@ -127,6 +148,23 @@ class Index:
                 yield key, sum(n for _, _, n in found) / len(item), len(found), max(n for _, _, n in found)
 
 
+class Block:
+    """Some items on their way to the executors; each Python worker indexes them once."""
+
+    def __init__(self, items: list[tuple[object, str]], min_tile: int):
+        self.items, self.min_tile = items, min_tile
+        self._index: Index | None = None
+
+    def __getstate__(self) -> dict:
+        return {"items": self.items, "min_tile": self.min_tile, "_index": None}
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            self._index = Index(self.items, self.min_tile)
+        return self._index
+
+
 def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[object, str]]]:
     """Items in blocks of bounded size, one block at a time on the driver."""
     size = F.size(F.split("text", r"\s+"))
@@ -136,7 +174,7 @@ def _blocks(items: DataFrame, block_words: int) -> list[list[tuple[object, str]]
         yield [(r["key"], r["text"]) for r in items.where(F.pmod(F.xxhash64("key", "text"), F.lit(n)) == k).orderBy("key", "text").collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, min_tile: int = 5, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, min_tile: int = 5, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, coverage, n_tiles, longest) of every document and item that it leaks."""
     settle(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("key"), F.col(item_text_col).cast("string").alias("text")).where("trim(text) <> ''").distinct()
@@ -144,17 +182,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, min
     kinds = two.schema[0].dataType.simpleString(), items.schema[0].dataType.simpleString()
     found = None
     for block in _blocks(items, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        part = two.mapInArrow(_searcher(sent, min_tile, coverage), f"id {kinds[0]}, item {kinds[1]}, {SCHEMA}")
+        sent = docs.sparkSession.sparkContext.broadcast(Block(block, min_tile))
+        part = two.mapInArrow(_searcher(sent, coverage), f"id {kinds[0]}, item {kinds[1]}, {SCHEMA}")
         found = part if found is None else found.unionAll(part)
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "coverage", "n_tiles", "longest")
 
 
-def _searcher(sent, min_tile: int, coverage: float):
+def _searcher(sent, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
         for batch in batches:
-            index = index or Index(sent.value, min_tile)
+            index = sent.value.index
             rows, owner = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 for key, share, n, longest in index.matches(text) if text else ():

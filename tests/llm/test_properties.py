@@ -50,6 +50,39 @@ def test_tiles(item, doc, least):
     assert not any(item[i : i + least] == doc[d : d + least] for i in range(len(item) - least + 1) if free(used_i, i) for d in range(len(doc) - least + 1) if free(used_d, d))
 
 
+def brute_tiles(item, doc, least):
+    """Greedy string tiling as it is defined: again and again the longest free match, the first of several."""
+    free_i, free_d, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and free_i[i + n] and free_d[d + n] and item[i + n] == doc[d + n]:
+                    n += 1
+                best = min(best, (-n, i, d))
+        n, i, d = -best[0], best[1], best[2]
+        if n < least:
+            return out
+        free_i[i : i + n] = free_d[d : d + n] = [False] * n
+        out.append((i, d, n))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=24), st.lists(st.integers(0, 2), max_size=30), st.integers(1, 4))
+def test_tiles_are_those_of_greedy_string_tiling(item, doc, least):
+    from heddle.llm.decontaminate import tiles
+
+    assert tiles(item, doc, least) == brute_tiles(item, doc, least)
+
+
+def test_tiles_of_repetitive_texts():
+    from heddle.llm.decontaminate import tiles
+
+    assert tiles([1] * 60, [1] * 50_000, 5) == [(0, 0, 60)]
+    assert sum(n for _, _, n in tiles([1, 2] * 40, [2, 1] * 20_000, 5)) == 80
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbé \t\n\x0b\x1c\x85\xa0", max_size=30)), max_size=8), st.integers(1, 20))
 def test_hash_texts(texts, piece):
@@ -119,7 +152,7 @@ def test_cover(texts):
     from heddle.llm.quality import cover
 
     texts = [sorted(set(t)) for t in texts]
-    chosen = cover(texts, least=1)
+    chosen = cover(texts, 1)
     assert all(not t or set(t) & set(chosen) for t in texts) and len(chosen) == len(set(chosen))
 
 
