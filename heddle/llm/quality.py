@@ -6,13 +6,15 @@
 2. Every document gets its probability of being good (of quality, not toxic).
 3. Grouped sums of these give the rate of each host and of each path in it.  Rates shrink: a path's towards its host's,
    a host's towards the global one, by a prior strength estimated from how much rates differ (method of moments), so
-   a site with few documents stays near the prior.
-4. The site's log-odds, less the global ones, times ``site_weight``, are added to the document's own.
+   a site with few documents stays near the prior.  Paths are compared with others of their host, hosts with the whole.
+4. A document's site is judged by the other documents there (its own evidence is taken out of the sums).  The site's log-odds, less the global ones, times ``site_weight``, are added to the document's own.
 
-Only numbers and candidate words (5,000) of the sample reach the driver; sites are aggregated and joined.
+Only numbers and candidate words of the sample reach the driver, so their bound is the sample's; sites are aggregated and
+joined.
 
 Defined results: a null text is empty and judged by the same models; a null source is a site of its own; repeated rows
-are scored each; without labels, or with labels of one kind, the model in question has no say (probability 1 of quality,
+are scored each; of several label rows of one id the worse verdicts count, and of several documents of one labelled id the
+smallest text is learned from; without labels, or with labels of one kind, the model in question has no say (probability 1 of quality,
 0 of toxicity) and documents are kept; empty tables give an empty result.
 """
 
@@ -101,7 +103,7 @@ def _inputs(texts: list[str | None], lexicon: frozenset[str]) -> np.ndarray:
     return rows
 
 
-def cover(texts: list[list[str]], least: int = 3, most: int = 500) -> list[str]:
+def cover(texts: list[list[str]], least: int = 3) -> list[str]:
     """Greedy set cover: again and again the word that most texts have of which no word is chosen yet, down to ``least``.
 
     Words that merely come along with a chosen one, as in copies of one text, add nothing and are left out.
@@ -111,7 +113,7 @@ def cover(texts: list[list[str]], least: int = 3, most: int = 500) -> list[str]:
         for w in t:
             where.setdefault(w, []).append(k)
     open_, chosen = set(range(len(texts))), []
-    while gain and len(chosen) < most:
+    while gain:
         word = min(gain, key=lambda w: (-gain[w], w))
         if gain[word] < least:
             break
@@ -124,11 +126,11 @@ def cover(texts: list[list[str]], least: int = 3, most: int = 500) -> list[str]:
     return chosen
 
 
-def learn_lexicon(known: DataFrame, max_candidates: int = 5_000, max_lexicon: int = 500) -> frozenset[str]:
+def learn_lexicon(known: DataFrame, least: int = 4, share: float = 0.8, often: float = 0.08) -> frozenset[str]:
     """Words that mark toxic texts, from distinct sample rows (text, toxic); languages each have their own.
 
-    Candidates are words of at least 4 toxic texts that make up 80 % of those that have it, one more clean one added; of these a greedy cover of the toxic texts is
-    taken, and besides it every word of at least 8 % of the toxic texts.
+    Candidates are words of at least ``least`` toxic texts that make up a ``share`` of those that have it, one more clean one
+    added; of these a greedy cover of the toxic texts is taken, and besides it every word that is ``often`` in toxic texts.
     """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,7 @@ def learn_lexicon(known: DataFrame, max_candidates: int = 5_000, max_lexicon: in
 
     each = known.select("text", "toxic").mapInArrow(words, "words array<string>, toxic int")
     counts = each.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("hits"), F.count("*").alias("texts"))
-    found = counts.where((F.col("hits") >= 4) & (F.col("hits") >= 0.8 * (F.col("texts") + 1))).orderBy(F.desc("hits"), "word").limit(max_candidates).collect()
+    found = sorted(counts.where((F.col("hits") >= least) & (F.col("hits") >= share * (F.col("texts") + 1))).collect(), key=lambda r: (-r["hits"], r["word"]))
     candidates = frozenset(r["word"] for r in found)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +149,8 @@ def learn_lexicon(known: DataFrame, max_candidates: int = 5_000, max_lexicon: in
 
     toxic = known.where("toxic = 1").select("text").mapInArrow(present, "words array<string>")
     texts = sorted(r["words"] for r in toxic.collect())
-    common = [r["word"] for r in found if r["hits"] >= max(6, 0.08 * len(texts))]
-    return frozenset([*common, *cover(texts)][:max_lexicon])
+    common = [r["word"] for r in found if r["hits"] >= max(least + 2, often * len(texts))]
+    return frozenset([*common, *cover(texts)])
 
 
 def site(source: Column) -> tuple[Column, Column]:
@@ -157,13 +159,14 @@ def site(source: Column) -> tuple[Column, Column]:
     return F.lower(F.regexp_extract(bare, r"^[^/?#]*", 0)), F.regexp_extract(bare, r"^[^/?#]*/([^/?#]*)", 1)
 
 
-def _strength(groups: DataFrame, rate: float) -> float:
-    """Prior strength by moments: how far the groups' rates differ beyond what their sizes explain."""
-    got = groups.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - rate, 2)).alias("ss")).first()
-    if not got["k"] or got["k"] < 2:
+def _strength(groups: DataFrame, spread: float) -> float:
+    """Prior strength by moments: how far the rates s/n of groups differ within their parents (of totals ``pn``, ``ps``) beyond what
+    their sizes explain, the usual estimate of a one-way layout."""
+    n, s, pn, ps = map(F.col, ("n", "s", "pn", "ps"))
+    got = groups.agg(F.count("*").alias("k"), F.sum(n / pn).alias("parents"), F.sum(n * F.pow(s / n - ps / pn, 2)).alias("ss"), F.sum(n - n * n / pn).alias("free")).first()
+    if not got["k"] or got["free"] < 1e-9:
         return 100.0
-    spread = rate * (1 - rate)
-    between = got["ss"] / got["n"] - spread * got["k"] / got["n"]
+    between = (got["ss"] - spread * (got["k"] - got["parents"])) / got["free"] if spread else 0.0
     return float(min(1e6, max(1.0, spread / between - 1))) if between > 1e-9 else 1e6
 
 
@@ -175,10 +178,11 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, site_w
     sample = (
         labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
         .where("id is not null and quality is not null and toxic is not null")
+        .groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     )
     # the sample is bounded by max_labelled, so it may be broadcast
-    known = rows.select("id", "text").join(F.broadcast(sample), "id")
+    known = rows.select("id", "text").join(F.broadcast(sample), "id").groupBy("id", "quality", "toxic").agg(F.min("text").alias("text")).select("id", "text", "quality", "toxic")
     quality_model, toxic_model, lexicon = _train(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +202,21 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, site_w
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = min(1 - 1e-6, max(1e-6, total["s"] / total["n"])) if total["n"] else 0.5
-    a_host, a_path = _strength(hosts, rate), _strength(paths, rate)
-    host_rates = hosts.select("host", ((F.col("s") + a_host * rate) / (F.col("n") + a_host)).alias("host_rate"))
-    rates = cut(paths.join(host_rates, "host").select("host", "path", ((F.col("s") + a_path * F.col("host_rate")) / (F.col("n") + a_path)).alias("site_rate")))
+    # of each path its own sums and its host's; both strengths come from this table
+    rates = cut(paths.join(hosts.withColumnsRenamed({"n": "host_n", "s": "host_s"}), "host").select("host", "path", "n", "s", "host_n", "host_s"))
+    spread = rate * (1 - rate)
+    a_path = _strength(rates.select("n", "s", F.col("host_n").alias("pn"), F.col("host_s").alias("ps")), spread)
+    a_host = _strength(hosts.select("n", "s", F.lit(total["n"]).alias("pn"), F.lit(total["s"]).alias("ps")), spread)
     # a host may hold a third of all rows: they stay where they are, unless there are very many sites
     rates = F.broadcast(rates) if rates.count() <= max_sites else rates
     odds = lambda p: F.log(p / (1 - p))
     bounded = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("good")))
+    # what the others on its host and path say of a document's site
+    on_host = (F.col("host_s") - F.col("good") + a_host * rate) / (F.col("host_n") - 1 + a_host)
+    on_path = (F.col("s") - F.col("good") + a_path * on_host) / (F.col("n") - 1 + a_path)
     inside = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("site_rate")))
     final = sigmoid(odds(bounded) + site_weight * (odds(inside) - math.log(rate / (1 - rate))))
-    out = good.join(rates, ["host", "path"]).withColumn("score", final if trained else F.col("good"))
+    out = good.join(rates, ["host", "path"]).withColumn("site_rate", on_path).withColumn("score", final if trained else F.col("good"))
     return out.select(F.col("id").alias(id_col), "host", "path", likely.alias("quality_probability"), sigmoid(F.col("t")).alias("toxic_probability"), "site_rate", "score", (F.col("score") >= 0.5).alias("keep"))
 
 

@@ -560,6 +560,33 @@ def test_html_against_a_generator(spark):
     assert {k: (rows[k][2], got[k], want[k]) for k in want if got[k] != want[k]} == {}
 
 
+def check_shrinkage(rows, weight=0.5):
+    """Site rates and scores by loops, from the documents' own probabilities."""
+    good = [r.quality_probability * (1 - r.toxic_probability) for r in rows]
+    sums = lambda keys: {k: (sum(1 for x in keys if x == k), sum(g for x, g in zip(keys, good, strict=True) if x == k)) for k in set(keys)}
+    by_path, by_host = sums([(r.host, r.path) for r in rows]), sums([r.host for r in rows])
+    n, total = len(rows), sum(good)
+    rate = min(1 - 1e-6, max(1e-6, total / n))
+
+    def strength(groups):
+        parents = len({p for _, _, p in groups})
+        ss = sum(k * (s / k - p[1] / p[0]) ** 2 for k, s, p in groups)
+        free = sum(k - k * k / p[0] for k, _, p in groups)
+        between = (ss - rate * (1 - rate) * (len(groups) - parents)) / free if free > 1e-9 else None
+        return 100.0 if between is None else min(1e6, max(1.0, rate * (1 - rate) / between - 1)) if between > 1e-9 else 1e6
+
+    a_path = strength([(*v, by_host[k[0]]) for k, v in by_path.items()])
+    a_host = strength([(*v, (n, total)) for v in by_host.values()])
+    odds = lambda p: np.log(p / (1 - p))
+    cut_ = lambda p: min(1 - 1e-6, max(1e-6, p))
+    for r, g in zip(rows, good, strict=True):
+        (k, s), (hk, hs) = by_path[r.host, r.path], by_host[r.host]
+        host = (hs - g + a_host * rate) / (hk - 1 + a_host)
+        site = (s - g + a_path * host) / (k - 1 + a_path)
+        final = 1 / (1 + np.exp(-(odds(cut_(g)) + weight * (odds(cut_(site)) - odds(rate)))))
+        assert abs(r.site_rate - site) < 1e-6 and abs(r.score - final) < 1e-6 and r.keep == (r.score >= 0.5)
+
+
 def test_quality(spark, nothing):
     from heddle.llm.quality import kept, score
 
@@ -574,6 +601,9 @@ def test_quality(spark, nothing):
     assert got.count() == len(rows) + 3 and all(keep[r[0]] for r in good) and not any(keep[r[0]] for r in [*junk, *toxic])
     rates = {r.host: r.site_rate for r in got.collect()}
     assert rates["good"] > rates["bad"]
+    again = {r.doc_id: r.keep for r in score(docs, labels.unionByName(labels)).collect()}
+    assert again == keep
+    check_shrinkage(got.collect())
     left = kept(docs, got)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} >= {r[0] for r in good}
     assert all(r.keep for r in score(docs, labels.where("false")).collect())
