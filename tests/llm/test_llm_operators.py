@@ -611,13 +611,55 @@ def test_quality(spark, nothing):
 
 
 def test_pipeline(spark):
+    """Every stage against a plain version on its own input."""
     import corpus_pipeline as P
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from heddle.llm.decontaminate import tiles
+    from heddle.llm.decontaminate import words as runs
+    from heddle.llm.quality import score
 
-    docs = all_docs(spark)
+    rows = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    docs = [all_docs(spark)]
     for k, (_, stage) in enumerate(P.STAGES):
-        before, docs = docs, stage(spark, docs, SMALL).persist()
-        assert docs.count() > 0
+        docs.append(stage(spark, docs[k], SMALL).persist())
         if k < 4:
-            assert docs.columns == before.columns and docs.count() <= before.count()
-    assert {"doc_id", "start", "length", "sequence_id"} <= set(docs.columns)
-    assert P.run(spark, SMALL).count() == docs.count()
+            assert docs[k + 1].columns == docs[k].columns
+    keep = {r.doc_id for r in score(docs[0], all_docs(spark, "labels")).collect() if r.keep}
+    assert rows(docs[1]) == [r for r in rows(docs[0]) if r[0] in keep] and len(keep) > 100
+    top = {i: c for i, _, c in brute_join(rows(docs[1]), 5, 80, 100)}
+    assert rows(docs[2]) == [r for r in rows(docs[1]) if top[r[0]] == r[0]]
+    sha = {i: (gone, digest) for i, _, gone, digest in brute_dedup(rows(docs[2]))}
+    for (i, was), (j, now) in zip(rows(docs[2]), rows(docs[3]), strict=True):
+        assert i == j and (now == was if not sha[i][0] else hashlib.sha256(now.encode()).hexdigest() == sha[i][1])
+    code: dict[str, int] = {}
+    numbers = lambda text: [code.setdefault(w, len(code)) for w in runs(text)]
+    items = [numbers(r.text) for r in all_docs(spark, "benchmark").collect() if r.text]
+    seeds = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in items]
+
+    def leaks(text):
+        own = numbers(text)
+        grams = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+        return any(len(t) >= 5 and g & grams and sum(n for _, _, n in tiles(t, own, 5)) >= 0.5 * len(t) for t, g in zip(items, seeds, strict=True))
+
+    assert rows(docs[4]) == [r for r in rows(docs[3]) if not leaks(r[1])]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows(docs[4])}
+    assert {r.doc_id: r.n for r in docs[5].groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
+    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.offset)
+    assert sorted(map(key, P.run(spark, SMALL).collect())) == sorted(map(key, docs[5].collect()))
+
+
+def test_pipeline_of_odd_tables(spark, docs, nothing):
+    """Nulls, repeats and clashing columns go through all stages; an empty table stays empty."""
+    import corpus_pipeline as P
+
+    for start in (docs, nothing):
+        df = start
+        for k, (_, stage) in enumerate(P.STAGES):
+            before, df = df, stage(spark, df, SMALL)
+            if k < 4:
+                assert df.columns == before.columns
+                assert df.count() <= before.count()
+        assert (df.count() == 0) == (start is nothing)
