@@ -35,12 +35,6 @@ def z_score(value: str, *partition: str, least: int = 5) -> Column:
     return F.when((n >= least) & (sd > 0), (F.col(value) - F.avg(value).over(w)) / sd)
 
 
-def standardize(value: str, *partition: str, eps: float = 1e-9) -> Column:
-    """With population deviation; 0 for a partition of fewer than two."""
-    w = Window.partitionBy(*partition)
-    return F.when(F.count(value).over(w) >= 2, (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + eps)).otherwise(0.0)
-
-
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """One row per key, the first by an explicit order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -19,7 +19,7 @@ def presence(df: DataFrame, cell: str, feature: str, prefix: str = "", features:
 def presence_long(df: DataFrame, profiled: DataFrame, cell: str, feature: str) -> DataFrame:
     """(cell, feature, value) for every profiled cell and every feature seen, zeros filled in."""
     seen = df.select(cell, feature).distinct().withColumn("value", F.lit(1))
-    grid = profiled.select(cell).distinct().crossJoin(F.broadcast(df.select(feature).distinct().where(F.col(feature).isNotNull())))
+    grid = profiled.select(cell).distinct().crossJoin(df.select(feature).distinct().where(F.col(feature).isNotNull()))
     return grid.join(seen, [cell, feature], "left").select(cell, feature, F.coalesce("value", F.lit(0)).alias("value"))
 
 
@@ -67,7 +67,7 @@ def coverage(cells: DataFrame, layers: DataFrame, label: str, cell: str, layer:
 def attach(rows: DataFrame, layer: DataFrame, cell: str, feature: str, value: str, binary: bool) -> DataFrame:
     """The layer's value for each row and feature; absent cells are marked, and get 0 or the mean over present rows."""
     features = layer.select(feature).distinct()
-    grid = rows.crossJoin(F.broadcast(features))
+    grid = rows.crossJoin(features)
     has = layer.select(cell).distinct().withColumn("__has", F.lit(1))
     met = grid.join(layer.select(cell, feature, value), [cell, feature], "left").join(has, cell, "left")
     fill = F.lit(0.0) if binary else F.avg(value).over(Window.partitionBy(feature))

@@ -80,7 +80,7 @@ def spearman_features(expression: DataFrame, response: DataFrame, panel: list[st
 
 def ranked_list(rho: DataFrame, panel: list[str], feature: str) -> DataFrame:
     """Features of each panel by descending rho, nulls left out."""
-    return head_per_group(rho.where("rho is not null"), panel, [F.desc("rho"), F.asc(feature)], 1 << 31 - 1)
+    return head_per_group(rho.where("rho is not null"), panel, [F.desc("rho"), F.asc(feature)], (1 << 31) - 1)
 
 
 def enrichment(stats: DataFrame, sets: DataFrame, panel: list[str], feature: str, stat: str, name: str, exponent: float = 1.0, least: int = 5, most: int = 500) -> DataFrame:
@@ -101,7 +101,7 @@ def enrichment(stats: DataFrame, sets: DataFrame, panel: list[str], feature: str
     own = F.when(F.sum("__w").over(g) > 0, F.col("__w") / F.sum("__w").over(g)).otherwise(1 / F.col("size"))
     steps = hits.withColumn("__top", share - miss).withColumn("__low", share - own - miss)  # just after and just before a hit
     ends = steps.groupBy(*panel, name, "size").agg(F.max("__top").alias("top"), F.min("__low").alias("low"), F.min_by("__r", F.struct(-F.col("__top"), F.col("__r"))).alias("__at_top"), F.min_by("__r", F.struct("__low", -F.col("__r"))).alias("__at_low"))
-    up = F.col("top") >= -F.col("low")
+    up = F.round("top", 9) >= -F.round("low", 9)  # equal depths both ways count as up, whatever the last bits
     ends = ends.withColumn("es", F.when(up, F.col("top")).otherwise(F.col("low"))).withColumn("__up", up)
     met = hits.select(*panel, name, feature, "__r").join(ends, [*panel, name])
     edge = F.when(F.col("__up"), F.col("__r") <= F.col("__at_top")).otherwise(F.col("__r") >= F.col("__at_low"))

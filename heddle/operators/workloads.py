@@ -111,10 +111,10 @@ def panel_design(response: DataFrame, features: DataFrame, panel: list[str], cel
     if top:
         from heddle.operators.layers import top_variance
 
-        features = features.join(F.broadcast(top_variance(features, feature, value, top).select(feature)), feature, "left_semi")
+        features = features.join(top_variance(features, feature, value, top).select(feature), feature, "left_semi")
     average = features.groupBy(feature).agg(F.avg(value).alias("__m"))
     cells = means.select(cell).distinct().join(features.select(cell).distinct(), cell, "left_semi")
-    grid = cells.crossJoin(F.broadcast(average)).join(features.select(cell, feature, value), [cell, feature], "left")
+    grid = cells.crossJoin(average).join(features.select(cell, feature, value), [cell, feature], "left")
     vectors = grid.groupBy(cell).agg(F.transform(F.array_sort(F.collect_list(F.struct(feature, F.coalesce(F.col(value), F.col("__m")).alias("__v")))), lambda s: s["__v"]).alias("vector"))
     return means.join(vectors, cell)
 
@@ -129,7 +129,7 @@ def expression_store(wide: DataFrame, samples: DataFrame, gene: str, sample: str
     columns = [c for c in wide.columns if c != gene]
     rows = keep_first(wide.withColumn("__g", first_token(F.col(gene))), ["__g"], [gene]).drop(gene).withColumnRenamed("__g", gene)
     long = rows.select(gene, *(F.col(f"`{c}`").cast("double").alias(c) for c in columns)).unpivot([gene], columns, sample, "value")
-    return long.join(F.broadcast(chosen.select(sample, cell)), sample).select(gene, cell, F.log1p("value").alias("value"))
+    return long.join(chosen.select(sample, cell), sample).select(gene, cell, F.log1p("value").alias("value"))
 
 
 def embed_names(names: DataFrame, cache: DataFrame, name: str, vector: str) -> DataFrame:

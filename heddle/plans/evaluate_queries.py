@@ -121,9 +121,9 @@ def permuted(spark, sf_dir):
     return _perm(spark, sf_dir).select("perm", "c_custkey", "shuffled")
 
 
-@register("m20_permuted_map", "WITH c AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey < 400) SELECT a.perm::int AS perm, a.c_custkey, b.c_custkey AS source FROM (SELECT *, row_number() OVER (PARTITION BY perm, c_mktsegment ORDER BY c_custkey) rn FROM c, range(1, 4) t(perm)) a JOIN (SELECT *, row_number() OVER (PARTITION BY perm, c_mktsegment ORDER BY md5('2|' || perm || '|' || c_custkey), c_custkey) rn FROM c, range(1, 4) t(perm)) b ON a.perm = b.perm AND a.c_mktsegment = b.c_mktsegment AND a.rn = b.rn")
+@register("m20_permuted_map", "WITH c AS (SELECT c_custkey, c_mktsegment FROM customer) SELECT a.perm::int AS perm, a.c_custkey, b.c_custkey AS source FROM (SELECT *, row_number() OVER (PARTITION BY perm, c_mktsegment ORDER BY c_custkey) rn FROM c, range(1, 4) t(perm)) a JOIN (SELECT *, row_number() OVER (PARTITION BY perm, c_mktsegment ORDER BY md5('2|' || perm || '|' || c_custkey), c_custkey) rn FROM c, range(1, 4) t(perm)) b ON a.perm = b.perm AND a.c_mktsegment = b.c_mktsegment AND a.rn = b.rn")
 def permuted_map(spark, sf_dir):
-    return Q.permuted_map(table(spark, sf_dir, "customer").where("c_custkey < 400"), "c_custkey", ["c_mktsegment"], 3).select("perm", "c_custkey", "source")
+    return Q.permuted_map(table(spark, sf_dir, "customer"), "c_custkey", ["c_mktsegment"], 3).select("perm", "c_custkey", "source")
 
 
 @register(

@@ -141,12 +141,12 @@ def drug_identity(spark, sf_dir):
 
 @register(
     "j14_same_name_different_structure",
-    """WITH d AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END cohort, p_name nname, p_brand ik_block FROM part WHERE p_partkey % 9 = 0), s AS (SELECT nname, list_sort(list(DISTINCT ik_block) FILTER (WHERE cohort = 'A')) a, list_sort(list(DISTINCT ik_block) FILTER (WHERE cohort = 'B')) b FROM d GROUP BY 1)
+    """WITH d AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END cohort, p_name nname, p_brand ik_block FROM part), s AS (SELECT nname, list_sort(list(DISTINCT ik_block) FILTER (WHERE cohort = 'A')) a, list_sort(list(DISTINCT ik_block) FILTER (WHERE cohort = 'B')) b FROM d GROUP BY 1)
     SELECT nname, array_to_string(a, ';') blocks_a, array_to_string(b, ';') blocks_b FROM s WHERE len(a) > 0 AND len(b) > 0 AND NOT list_has_any(a, b)""",
 )
 def same_name(spark, sf_dir):
     k = F.col("p_partkey")
-    d = table(spark, sf_dir, "part").where(k % 9 == 0).select(F.when(k % 2 == 0, "A").otherwise("B").alias("cohort"), F.col("p_name").alias("nname"), F.col("p_brand").alias("ik_block"))
+    d = table(spark, sf_dir, "part").select(F.when(k % 2 == 0, "A").otherwise("B").alias("cohort"), F.col("p_name").alias("nname"), F.col("p_brand").alias("ik_block"))
     return H.same_name_different_structure(d, "A", "B")
 
 

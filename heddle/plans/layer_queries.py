@@ -29,10 +29,10 @@ def presence_long(spark, sf_dir):
 
 @register(
     "a06_presence_wide",
-    "SELECT c.c_custkey AS cell, coalesce(max((l_returnflag = 'A')::int), 0) ret_A, coalesce(max((l_returnflag = 'N')::int), 0) ret_N, coalesce(max((l_returnflag = 'R')::int), 0) ret_R FROM customer c LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 4 = 0 LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
+    "SELECT c.c_custkey AS cell, coalesce(max((l_returnflag = 'A')::int), 0) ret_A, coalesce(max((l_returnflag = 'N')::int), 0) ret_N, coalesce(max((l_returnflag = 'R')::int), 0) ret_R FROM customer c LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
 )
 def presence_wide(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("cell"), F.col("l_returnflag").alias("f"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("cell"), F.col("l_returnflag").alias("f"))
     return L.wide_presence_complete(rows, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell")), "cell", "f", "ret_", ["A", "N", "R"])
 
 
@@ -72,10 +72,11 @@ def locus_mean(spark, sf_dir):
 
 @register(
     "s22_features_as_rows",
-    with_sql("SELECT gene, max(CASE WHEN cell = 1 THEN round(value, 6) END) AS \"1\", max(CASE WHEN cell = 2 THEN round(value, 6) END) AS \"2\", max(CASE WHEN cell = 3 THEN round(value, 6) END) AS \"3\" FROM expression GROUP BY 1", EXPRESSION),
+    "SELECT o_orderpriority AS feature, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS \"F\", max(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS \"O\", max(o_orderkey) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1",
 )
 def features_as_rows(spark, sf_dir):
-    return L.features_as_rows(expression(spark, sf_dir).where(F.col("cell").isin(1, 2, 3)).withColumn("value", R6("value")), "gene", "cell", "value", [1, 2, 3])
+    long = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("feature"), F.col("o_orderstatus").alias("cell")).agg(F.max("o_orderkey").alias("value"))
+    return L.features_as_rows(long, "feature", "cell", "value", ["F", "O", "P"])
 
 
 @register(
@@ -172,13 +173,12 @@ def shards(spark, sf_dir):
     return P.shards(table(spark, sf_dir, "part"), "p_brand", "p_partkey", 25)
 
 
-_SPEARMAN = f"""rk AS (SELECT disease, drug, gene, {AVG_RANK.format(p='disease, drug, gene', v='value')} rx, {AVG_RANK.format(p='disease, drug, gene', v='s')} ry FROM (SELECT disease, drug, gene, value, -y AS s FROM panel JOIN expression USING (cell) WHERE y IS NOT NULL AND drug IN ('Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15'))),
+_SPEARMAN = f"""rk AS (SELECT disease, drug, gene, {AVG_RANK.format(p='disease, drug, gene', v='value')} rx, {AVG_RANK.format(p='disease, drug, gene', v='s')} ry FROM (SELECT disease, drug, gene, value, -y AS s FROM panel JOIN expression USING (cell) WHERE y IS NOT NULL)),
 rho AS (SELECT disease, drug, gene, count(*) n, corr(rx, ry) rho FROM rk GROUP BY ALL)"""
-_FEW = ["Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15"]
 
 
 def _rho(spark, sf_dir):
-    p = panel_means(spark, sf_dir).where(F.col("y").isNotNull() & F.col("drug").isin(_FEW))
+    p = panel_means(spark, sf_dir).where("y is not null")
     return P.spearman_features(expression(spark, sf_dir), p, ["disease", "drug"], "cell", "gene", "value", "y")
 
 
@@ -189,7 +189,7 @@ def spearman_features(spark, sf_dir):
 
 @register(
     "d12_ranked_list",
-    with_sql("SELECT disease, drug, gene, round(rho, 6) rho, (row_number() OVER (PARTITION BY disease, drug ORDER BY round(rho, 9) DESC, gene))::int AS rank FROM rho WHERE NOT isnan(rho)", PANEL_MEANS, EXPRESSION, _SPEARMAN),
+    with_sql("SELECT disease, drug, gene, round(round(rho, 9), 6) rho, (row_number() OVER (PARTITION BY disease, drug ORDER BY round(rho, 9) DESC, gene))::int AS rank FROM rho WHERE NOT isnan(rho)", PANEL_MEANS, EXPRESSION, _SPEARMAN),
 )
 def ranked_list(spark, sf_dir):
     out = P.ranked_list(_rho(spark, sf_dir).withColumn("rho", F.round("rho", 9)), ["disease", "drug"], "gene")
@@ -204,7 +204,7 @@ run AS (SELECT *, sum(CASE WHEN hit = 1 THEN abs(rho) / nr ELSE -1.0 / (n - size
 
 @register(
     "m16_enrichment_score",
-    with_sql("SELECT disease, drug, gs, max(size)::bigint AS size, round(CASE WHEN max(s) >= -least(min(s), 0) THEN max(s) ELSE min(s) END, 6) es FROM run GROUP BY ALL", PANEL_MEANS, EXPRESSION, _SPEARMAN, _RUN),
+    with_sql("SELECT disease, drug, gs, max(size)::bigint AS size, round(CASE WHEN round(max(s), 9) >= -round(least(min(s), 0), 9) THEN max(s) ELSE min(s) END, 6) es FROM run GROUP BY ALL", PANEL_MEANS, EXPRESSION, _SPEARMAN, _RUN),
 )
 def enrichment_score(spark, sf_dir):
     sets = spark.range(64).select((F.col("id") % 8).alias("gs"), F.col("id").cast("int").alias("gene"))
@@ -217,13 +217,13 @@ def enrichment_score(spark, sf_dir):
     with_sql(
         """SELECT cell, gs, round(sum(ph - pm), 6) score FROM (SELECT cell, gs, sum(CASE WHEN hit = 1 THEN w / nr ELSE 0 END) OVER o AS ph, sum((1 - hit) / (n - size)::double) OVER o AS pm FROM
         (SELECT *, sum(CASE WHEN hit = 1 THEN w END) OVER (PARTITION BY cell, gs) nr, sum(hit) OVER (PARTITION BY cell, gs) size FROM (SELECT cell, gs, (gene % 8 = gs)::int hit, r, n, pow(n - r + 1, 0.25) w FROM
-        (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene) r, count(*) OVER (PARTITION BY cell) n FROM expression WHERE cell < 200), range(8) t(gs))) WINDOW o AS (PARTITION BY cell, gs ORDER BY r)) GROUP BY ALL""",
+        (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene) r, count(*) OVER (PARTITION BY cell) n FROM expression), range(8) t(gs))) WINDOW o AS (PARTITION BY cell, gs ORDER BY r)) GROUP BY ALL""",
         EXPRESSION,
     ),
 )
 def single_sample(spark, sf_dir):
     sets = spark.range(64).select((F.col("id") % 8).alias("gs"), F.col("id").cast("int").alias("gene"))
-    return P.single_sample_enrichment(expression(spark, sf_dir).where("cell < 200"), sets, "cell", "gene", "value", "gs").select("cell", "gs", R6("score").alias("score"))
+    return P.single_sample_enrichment(expression(spark, sf_dir), sets, "cell", "gene", "value", "gs").select("cell", "gs", R6("score").alias("score"))
 
 
 @register(

@@ -72,12 +72,12 @@ def self_similarity(spark, sf_dir):
     return out.select("vec_id", R6("r").alias("r"), R6("sd").alias("sd"))
 
 
-_SCORED = "scored AS (SELECT q.vec_id query, CASE WHEN q.vec_id % 2 = 0 THEN q.label WHEN q.vec_id % 3 = 0 THEN 999 END wanted, a.vec_id, a.label, list_dot_product(a.v, q.v) c, (list_dot_product(a.v, q.v) - r) / (sd + 5e-7) z FROM atlas a JOIN selfs ON a.vec_id = selfs.vec_id, atlas q WHERE q.vec_id < 6)"
+_SCORED = "scored AS (SELECT q.vec_id query, CASE WHEN q.vec_id % 4 = 0 THEN q.label WHEN q.vec_id % 3 = 0 THEN 999 END wanted, a.vec_id, a.label, list_dot_product(a.v, q.v) c, (list_dot_product(a.v, q.v) - r) / (sd + 5e-7) z FROM atlas a JOIN selfs ON a.vec_id = selfs.vec_id, atlas q WHERE q.vec_id % 50 = 0)"
 
 
 def _queries(spark, sf_dir):
     k = F.col("vec_id")
-    return _atlas(spark, sf_dir).where("vec_id < 6").select(k.alias("query"), F.when(k % 2 == 0, F.col("label")).when(k % 3 == 0, 999).alias("wanted"), F.col("vector").alias("qvector"))
+    return _atlas(spark, sf_dir).where("vec_id % 50 = 0").select(k.alias("query"), F.when(k % 4 == 0, F.col("label")).when(k % 3 == 0, 999).alias("wanted"), F.col("vector").alias("qvector"))
 
 
 @register("j11_v07_csls", with_sql("SELECT query, vec_id, round(c, 6) cosine, round(z, 5) csls_z FROM scored", _ATLAS, _SELF, _SCORED))
@@ -103,19 +103,20 @@ def search(spark, sf_dir):
     return out.select("query", "vec_id", "broadened", F.round("csls_z", 5).alias("csls_z"), F.round("evidence_z", 5).alias("evidence_z"), F.round("percentile", 4).alias("percentile"), "rank")
 
 
-@register("t07_v09_matched", with_sql("SELECT label, vec_id, round(best, 6) best, rk::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY best DESC, vec_id) rk FROM (SELECT a.label, a.vec_id, max(greatest(-1.0, least(1.0, list_dot_product(a.v, q.v)))) best FROM atlas a, atlas q WHERE q.vec_id < 6 AND a.vec_id >= 6 GROUP BY ALL)) WHERE rk <= 3", _ATLAS))
+@register("t07_v09_matched", with_sql("SELECT label, vec_id, round(best, 6) best, rk::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY best DESC, vec_id) rk FROM (SELECT a.label, a.vec_id, max(greatest(-1.0, least(1.0, list_dot_product(a.v, q.v)))) best FROM atlas a, atlas q WHERE q.vec_id % 50 = 0 GROUP BY ALL)) WHERE rk <= 3", _ATLAS))
 def matched(spark, sf_dir):
     a = _atlas(spark, sf_dir)
-    return V.matched(a.where("vec_id >= 6"), _queries(spark, sf_dir), "label", "vec_id", "vector", "qvector").select("label", "vec_id", R6("best").alias("best"), "rank")
+    return V.matched(a, _queries(spark, sf_dir), "label", "vec_id", "vector", "qvector").select("label", "vec_id", R6("best").alias("best"), "rank")
 
 
 @register(
     "v10_best_match",
-    with_sql("SELECT r.a, r.b, round((r.m + c.m) / 2, 6) similarity FROM (SELECT a, b, avg(m) m FROM (SELECT a, b, i, max(s) m FROM sims GROUP BY ALL) GROUP BY ALL) r JOIN (SELECT a, b, avg(m) m FROM (SELECT a, b, j, max(s) m FROM sims GROUP BY ALL) GROUP BY ALL) c ON r.a = c.a AND r.b = c.b", _ATLAS, "sims AS (SELECT x.label a, y.label b, x.vec_id i, y.vec_id j, greatest(-1.0, least(1.0, list_dot_product(x.v, y.v))) s FROM atlas x JOIN atlas y ON x.label < y.label WHERE x.vec_id < 60 AND y.vec_id < 60)"),
+    with_sql("SELECT r.a, r.b, round((r.m + c.m) / 2, 6) similarity FROM (SELECT a, b, avg(m) m FROM (SELECT a, b, i, max(s) m FROM sims GROUP BY ALL) GROUP BY ALL) r JOIN (SELECT a, b, avg(m) m FROM (SELECT a, b, j, max(s) m FROM sims GROUP BY ALL) GROUP BY ALL) c ON r.a = c.a AND r.b = c.b", _ATLAS, "sims AS (SELECT x.label a, y.label b, x.vec_id i, y.vec_id j, greatest(-1.0, least(1.0, list_dot_product(x.v, y.v))) s FROM atlas x JOIN atlas y ON y.label = x.label + 1)"),
 )
 def best_match(spark, sf_dir):
-    a = _atlas(spark, sf_dir).where("vec_id < 60")
-    return V.best_match(a, a, "label", "vec_id", "vector").select("a", "b", R6("similarity").alias("similarity"))
+    a = _atlas(spark, sf_dir)
+    pairs = a.select(F.col("label").alias("a"), (F.col("label") + 1).alias("b"))  # each label with the next one
+    return V.best_match(a, a, "label", "vec_id", "vector", pairs).select("a", "b", R6("similarity").alias("similarity"))
 
 
 @register(

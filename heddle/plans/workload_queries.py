@@ -61,7 +61,7 @@ def signature_scan(spark, sf_dir):
     return L.signature_scan(_design(spark, sf_dir), ["disease", "drug"], "cell", "y", "vector", n_perm=10)
 
 
-_ATLAS = """emb AS (SELECT 'SET_' || (vec_id + 1) AS pathway, g, embedding[g]::double x FROM embeddings, range(1, 65) r(g) WHERE vec_id < 60),
+_ATLAS = """emb AS (SELECT 'SET_' || (vec_id + 1) AS pathway, g, embedding[g]::double x FROM embeddings, range(1, 65) r(g)),
 k AS (SELECT *, row_number() OVER (PARTITION BY result ORDER BY abs(nes) DESC, pathway) rk FROM gsea WHERE padj <= 0.25 AND nes >= 1),
 c AS (SELECT result, g, sum(abs(nes) * x) / nullif(sum(abs(nes)), 0) m FROM k JOIN emb USING (pathway) WHERE rk <= 50 GROUP BY ALL), l AS (SELECT result, sqrt(sum(m * m)) l FROM c GROUP BY 1),
 n AS (SELECT result, string_agg(pathway, '/' ORDER BY rk) top_pathways FROM k WHERE rk <= 10 GROUP BY 1)"""
@@ -69,14 +69,16 @@ n AS (SELECT result, string_agg(pathway, '/' ORDER BY rk) top_pathways FROM k WH
 
 @register("v05_build_atlas", with_sql("SELECT c.result, c.g::int AS g, round(m / l, 6) x, top_pathways FROM c JOIN l ON c.result = l.result JOIN n ON n.result = c.result", _GSEA, _ATLAS))
 def build_atlas(spark, sf_dir):
-    emb = table(spark, sf_dir, "embeddings").where("vec_id < 60").select(F.concat(F.lit("SET_"), F.col("vec_id") + 1).alias("pathway"), "embedding")
+    emb = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("SET_"), F.col("vec_id") + 1).alias("pathway"), "embedding")
     out = L.build_atlas(_gsea(spark, sf_dir), emb, "result", "pathway", "embedding")
     return out.select("result", F.array_join("top_pathways", "/").alias("top_pathways"), F.posexplode("vector").alias("g", "x")).select("result", (F.col("g") + 1).alias("g"), R6("x").alias("x"), "top_pathways")
 
 
-@register("w04_group_mean_residual", with_sql("SELECT cohort, cell, drug, round(auc - avg(auc) OVER (PARTITION BY disease, drug), 6) residual FROM response", RESPONSE))
+@register("w04_group_mean_residual", with_sql("SELECT cohort, cell, drug, round(a - avg(a) OVER (PARTITION BY disease, drug)) / 1e6 residual FROM (SELECT *, round(auc * 1e6) a FROM response)", RESPONSE))
 def w04(spark, sf_dir):
-    return L.group_mean_residual(response(spark, sf_dir), ["disease", "drug"], "auc").select("cohort", "cell", "drug", R6("residual").alias("residual"))
+    # whole millionths have exact sums, in whatever order they are added
+    whole = response(spark, sf_dir).withColumn("auc", F.round(F.col("auc") * 1e6))
+    return L.group_mean_residual(whole, ["disease", "drug"], "auc").select("cohort", "cell", "drug", (F.round("residual") / 1e6).alias("residual"))
 
 
 @register("p03_log1p", "SELECT c_custkey, round(ln(1 + abs(c_acctbal)), 6) v FROM customer")
@@ -154,14 +156,14 @@ def pooled_null(spark, sf_dir):
 @register(
     "l15_panel_design",
     with_sql(
-        """SELECT disease, drug, cell, round(y, 6) y, len(v) n_features, round(list_sum(v), 5) total FROM (SELECT disease, drug, cell, avg(sens_z) y FROM metric WHERE drug < 'Brand#13' GROUP BY ALL) p JOIN (SELECT vec_id, list_transform(range(1, 17), lambda i: embedding[i]::double) v FROM embeddings) ON vec_id = cell WHERE y IS NOT NULL""",
+        """SELECT disease, drug, cell, round(y, 6) y, len(v) n_features, round(list_sum(v), 5) total FROM (SELECT disease, drug, cell, avg(sens_z) y FROM metric GROUP BY ALL) p JOIN (SELECT vec_id, list_transform(range(1, 65), lambda i: embedding[i]::double) v FROM embeddings) ON vec_id = cell WHERE y IS NOT NULL""",
         METRIC,
     ),
 )
 def panel_design(spark, sf_dir):
     from heddle.plans.fixture import expression
 
-    out = L.panel_design(metric(spark, sf_dir).where("drug < 'Brand#13'"), expression(spark, sf_dir).where("gene < 16"), ["disease", "drug"], "cell", "sens_z", "gene", "value")
+    out = L.panel_design(metric(spark, sf_dir), expression(spark, sf_dir), ["disease", "drug"], "cell", "sens_z", "gene", "value")
     return out.select("disease", "drug", "cell", R6("y").alias("y"), F.size("vector").cast("long").alias("n_features"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
