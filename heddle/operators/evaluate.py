@@ -13,21 +13,27 @@ from heddle.functions.stats import average_rank, md5_order, safe_corr
 
 
 def folds(df: DataFrame, group: str, k: int = 5, repeats: int = 1, seed: int = 0) -> DataFrame:
-    """(repeat, group, fold): distinct groups shuffled by hash and dealt into near-equal folds, as ntile() deals.
+    """(repeat, group, fold): distinct groups shuffled by hash and dealt into near-equal folds, as ntile() deals."""
+    groups = df.select(group).where(F.col(group).isNotNull()).distinct()
+    reps = groups.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    return deal(reps, ["repeat"], group, k, seed).select(group, "repeat", "fold")
+
+
+def deal(groups: DataFrame, within: list[str], group: str, k: int, seed: int) -> DataFrame:
+    """Adds ``fold`` to distinct groups, dealt anew for each value of ``within``.
 
     No task orders all groups: they are numbered inside the 4,096 ranges of the hash's first digits, and the ranges'
     counts give the offsets.
     """
-    groups = df.select(group).where(F.col(group).isNotNull()).distinct()
-    reps = groups.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("__h", md5_order(seed, "repeat", group)).withColumn("__b", F.substring("__h", 1, 3))
-    counts = reps.groupBy("repeat", "__b").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy("repeat")
-    offsets = counts.select("repeat", "__b", (F.sum("__c").over(w.orderBy("__b")) - F.col("__c")).alias("__o"), F.sum("__c").over(w).alias("__n"))
-    rn = F.row_number().over(Window.partitionBy("repeat", "__b").orderBy("__h", group)) - 1
-    at = reps.withColumn("__r", rn).join(F.broadcast(offsets), ["repeat", "__b"]).withColumn("__r", F.col("__r") + F.col("__o"))
+    reps = groups.withColumn("__h", md5_order(seed, *within, group)).withColumn("__b", F.substring("__h", 1, 3))
+    counts = reps.groupBy(*within, "__b").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*within)
+    offsets = counts.select(*within, "__b", (F.sum("__c").over(w.orderBy("__b")) - F.col("__c")).alias("__o"), F.sum("__c").over(w).alias("__n"))
+    rn = F.row_number().over(Window.partitionBy(*within, "__b").orderBy("__h", group)) - 1
+    at = reps.withColumn("__r", rn).join(offsets, [*within, "__b"]).withColumn("__r", F.col("__r") + F.col("__o"))
     small, extra = F.floor(F.col("__n") / k), F.col("__n") % k
     fold = F.when(F.col("__r") < extra * (small + 1), F.floor(F.col("__r") / (small + 1))).otherwise(extra + F.floor((F.col("__r") - extra * (small + 1)) / F.greatest(small, F.lit(1))))
-    return at.select(group, "repeat", fold.cast("int").alias("fold"))
+    return at.select(*groups.columns, fold.cast("int").alias("fold"))
 
 
 def check_groups(df: DataFrame, group: str) -> int:
@@ -147,3 +153,17 @@ def per_line_ranking(df: DataFrame, keys: list[str], item: str, y: str = "y", pr
 def compare_arms(df: DataFrame, keys: list[str], model: str, value: str, arms: list[str]) -> DataFrame:
     """One column per model arm."""
     return df.groupBy(*keys).agg(*(F.max(F.when(F.col(model) == a, F.col(value))).alias(a) for a in arms))
+
+
+def arm_deltas(results: DataFrame, keys: list[str], arms: list[str], value: str = "spearman") -> DataFrame:
+    """One column per arm and, for each arm after the first, its gain over the one before."""
+    wide = compare_arms(results, keys, "model", value, arms)
+    return wide.select("*", *((F.col(b) - F.col(a)).alias(f"delta_{b}") for a, b in zip(arms, arms[1:], strict=False)))
+
+
+def cohort_summary(results: DataFrame, cohort: str = "cohort", disease: str = "disease") -> DataFrame:
+    """Per cohort and model: diseases, mean Spearman, mean width of the interval, and how many lie above 0."""
+    return results.groupBy(cohort, "model").agg(
+        F.countDistinct(disease).alias("n_diseases"), F.avg("spearman").alias("mean_spearman"), F.avg(F.col("spearman_hi") - F.col("spearman_lo")).alias("mean_ci_width"),
+        F.count_if(F.col("spearman_lo") > 0).alias("n_above_zero"),
+    )

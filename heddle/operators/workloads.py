@@ -12,6 +12,7 @@ from heddle.operators import evaluate as E
 from heddle.operators import models as M
 from heddle.operators import panels as P
 from heddle.operators import permute as Q
+from heddle.operators.pooled import elastic_net_cv
 
 
 def disease_sizes(df: DataFrame, disease: str = "disease", cell: str = "cell", drug: str = "drug", least: int = 1) -> DataFrame:
@@ -50,16 +51,30 @@ def mean_arm(df: DataFrame, arm: str, within: list[str], y: str = "y", drug: str
         return E.residual(df, y, drug, fold, within, disease).withColumn("y_pred", F.col("base")).drop("base", "residual")
     if arm == "tissue_oracle":
         return E.tissue_oracle(df, y, cell, drug, disease, fold, within).withColumn(y, F.col("residual")).drop("base", "residual")
-    raise KeyError(f"unknown arm {arm!r}; known: {', '.join(MEAN_ARMS)}")
+    raise KeyError(f"unknown arm {arm!r}; known: {', '.join([*MEAN_ARMS, *ENET_ARMS])}")
 
 
-def ablation(df: DataFrame, arms: tuple[str, ...] = MEAN_ARMS, repeats: int = 2, folds: int = 5, seed: int = 0, by: list[str] | None = None) -> DataFrame:
-    """One row per group and arm: mean and interval of Spearman over repeats, RMSE and R2."""
+#: Arms with an elastic net, by the means that are taken off first.  The omics and pathway arms are ``enet_resid`` with
+#: another column of design vectors, so ``vectors`` says which column an arm reads.
+ENET_ARMS = {"enet_expr": "raw", "enet_resid": "drug", "enet_resid_disease": "disease_drug", "enet_resid_omics": "drug", "enet_pathwaypcs": "drug", "enet_pathway": "drug", "enet_pcs_pathway": "drug"}
+
+
+def enet_arm(df: DataFrame, arm: str, by: list[str], vector: str, repeats: int, folds: int, seed: int) -> DataFrame:
+    """Out-of-fold rows of one elastic net arm; units are ``by``."""
+    return elastic_net_cv(df, by, "cell", "y", vector, ENET_ARMS[arm], "drug", "disease", outer=folds, repeats=repeats, seed=seed)
+
+
+def ablation(df: DataFrame, arms: tuple[str, ...] = MEAN_ARMS, repeats: int = 2, folds: int = 5, seed: int = 0, by: list[str] | None = None, vectors: dict[str, str] | None = None) -> DataFrame:
+    """One row per group and arm: mean and interval of Spearman over repeats, RMSE and R2.
+
+    Elastic net arms read the design vector in the column that ``vectors`` names for them, else in ``x``.
+    """
     by = by or ["disease"]
     rows = df.join(E.folds(df, "cell", folds, repeats, seed), "cell")
     out = None
     for arm in arms:
-        met = E.regression_metrics(mean_arm(rows, arm, ["repeat"]).withColumn("y_pred", F.round("y_pred", 9)).withColumn("y", F.round("y", 9)), [*by, "repeat"])
+        found = enet_arm(df, arm, by, (vectors or {}).get(arm, "x"), repeats, folds, seed) if arm in ENET_ARMS else mean_arm(rows, arm, ["repeat"])
+        met = E.regression_metrics(found.withColumn("y_pred", F.round("y_pred", 9)).withColumn("y", F.round("y", 9)), [*by, "repeat"])
         half = 1.96 * F.coalesce(F.stddev_samp("spearman"), F.lit(0.0)) / F.sqrt(F.count("spearman"))
         one = met.groupBy(*by).agg(F.avg("spearman").alias("spearman"), (F.avg("spearman") - half).alias("spearman_lo"), (F.avg("spearman") + half).alias("spearman_hi"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"), F.max("n").alias("n_rows")).withColumn("model", F.lit(arm))
         out = one if out is None else out.unionByName(one)
