@@ -49,7 +49,7 @@ def _fold_sums(df: DataFrame, y: str, fold: str, within: list[str], keys: list[s
     return df.groupBy(*within, *keys, fold).agg(F.coalesce(F.sum(y), F.lit(0.0)).alias("__s"), F.count(y).alias("__n"))
 
 
-def _other_folds(s: Column, n: Column, fold: str, keys: list[str]) -> Column:
+def other_folds(s: Column, n: Column, fold: str, keys: list[str]) -> Column:
     """The mean over the same keys in other folds, as windows over a table of sums; null if there are no rows."""
     every, own = Window.partitionBy(*keys), Window.partitionBy(*keys, fold)
     return F.try_divide(F.sum(s).over(every) - F.sum(s).over(own), F.nullif(F.sum(n).over(every) - F.sum(n).over(own), F.lit(0)))
@@ -58,7 +58,7 @@ def _other_folds(s: Column, n: Column, fold: str, keys: list[str]) -> Column:
 def leave_fold_out(df: DataFrame, y: str, fold: str, keys: list[str], name: str, within: list[str] | None = None) -> DataFrame:
     """Adds the mean of y over rows with the same keys in other folds; null if there are none."""
     within = within or []
-    sums = _fold_sums(df, y, fold, within, keys).withColumn(name, _other_folds(F.col("__s"), F.col("__n"), fold, [*within, *keys]))
+    sums = _fold_sums(df, y, fold, within, keys).withColumn(name, other_folds(F.col("__s"), F.col("__n"), fold, [*within, *keys]))
     return df.join(sums.drop("__s", "__n"), [*within, *keys, fold])
 
 
@@ -69,7 +69,7 @@ def _ladder(df: DataFrame, y: str, fold: str, within: list[str], rungs: list[lis
     """
     keys = list(dict.fromkeys(k for r in rungs for k in r))
     sums = _fold_sums(df, y, fold, within, keys)
-    return sums.withColumn("base", F.coalesce(*(_other_folds(F.col("__s"), F.col("__n"), fold, [*within, *r]) for r in rungs)))
+    return sums.withColumn("base", F.coalesce(*(other_folds(F.col("__s"), F.col("__n"), fold, [*within, *r]) for r in rungs)))
 
 
 def drug_mean(df: DataFrame, y: str, drug: str, fold: str, within: list[str]) -> DataFrame:
@@ -91,9 +91,9 @@ def tissue_oracle(df: DataFrame, y: str, cell: str, drug: str, disease: str, fol
     Residuals add up from the same sums: those of (disease, drug, fold) less their count times the base.
     """
     sums = _fold_sums(df, y, fold, within, [disease, drug])
-    base = F.coalesce(*(_other_folds(F.col("__s"), F.col("__n"), fold, [*within, *r]) for r in ([drug], [])))
+    base = F.coalesce(*(other_folds(F.col("__s"), F.col("__n"), fold, [*within, *r]) for r in ([drug], [])))
     left = sums.withColumn("base", base).withColumn("__r", F.col("__s") - F.col("__n") * F.col("base"))
-    means = left.withColumn("y_pred", F.coalesce(_other_folds(F.col("__r"), F.col("__n"), fold, [*within, disease]), F.lit(0.0)))
+    means = left.withColumn("y_pred", F.coalesce(other_folds(F.col("__r"), F.col("__n"), fold, [*within, disease]), F.lit(0.0)))
     met = df.join(means.drop("__s", "__n", "__r"), [*within, disease, drug, fold])
     return met.withColumn("residual", F.col(y) - F.col("base"))
 

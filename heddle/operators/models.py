@@ -39,7 +39,7 @@ def pca(df: DataFrame, panel: list[str], cell: str, vector: str, k: int = 20) ->
     return df.groupBy(*panel).applyInPandas(run, f"{kinds}, component int, score double, explained double")
 
 
-def proximal(times: Callable[[np.ndarray], np.ndarray], c: np.ndarray, top: float, alpha: np.ndarray, l1: np.ndarray, steps: int = 5000) -> np.ndarray:
+def proximal(times: Callable[[np.ndarray], np.ndarray], c: np.ndarray, top: float, alpha: np.ndarray, l1: np.ndarray, steps: int = 2000) -> np.ndarray:
     """Min w'Cw / 2 - c'w + alpha l1 |w|_1 + alpha (1 - l1) / 2 |w|^2 for all grid points at once, a column each.
 
     Accelerated proximal gradients with restarts; ``times`` multiplies with C and ``top`` bounds its eigenvalues.
@@ -57,7 +57,7 @@ def proximal(times: Callable[[np.ndarray], np.ndarray], c: np.ndarray, top: floa
             new = np.sign(g) * np.maximum(np.abs(g) - rate * lasso, 0)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v = new + (t - 1) / t_new * (new - w)
-        done = np.abs(new - w).max(initial=0) < 1e-9
+        done = np.abs(new - w).max(initial=0) < 1e-7 * (1 + np.abs(new).max(initial=0))
         w, t = new, t_new
         if done:
             break

@@ -108,6 +108,29 @@ def enrichment(stats: DataFrame, sets: DataFrame, panel: list[str], feature: str
     return met.groupBy(*panel, name, "size", "es").agg(F.array_join(F.array_sort(F.collect_list(F.when(edge, F.col(feature).cast("string")))), "/").alias("leading_edge"))
 
 
+def enrichment_significance(stats: DataFrame, sets: DataFrame, panel: list[str], feature: str, stat: str, name: str, perms: int = 1000, seed: int = 0, exponent: float = 1.0, least: int = 5, most: int = 500) -> DataFrame:
+    """Enrichment with its normalised score, permutation p and adjusted p per panel.
+
+    A permutation renumbers each panel's features by hash, and the null set of size k is the features numbered 1 to k; so one
+    renumbering serves all sizes.  Scores are compared with null scores of their own sign and size: p is (1 + those at least as
+    far from 0) / (1 + all of them), the normalised score is the score over their mean distance.
+    """
+    from heddle.functions.stats import md5_order
+
+    real = enrichment(stats, sets, panel, feature, stat, name, exponent, least, most)
+    sizes = real.select(F.col("size").alias("__z")).distinct()
+    each = stats.where(F.col(stat).isNotNull()).select(*panel, feature, stat).withColumn("__perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
+    number = F.row_number().over(Window.partitionBy(*panel, "__perm").orderBy(md5_order(seed, "__perm", feature), feature))
+    mixed = each.withColumn("__f", number).drop(feature)
+    # at most ``most`` sizes, so at most most * most / 2 memberships
+    null_sets = sizes.select("__z", F.explode(F.sequence(F.lit(1).cast("int"), F.col("__z").cast("int"))).alias("__f"))
+    null = enrichment(mixed, null_sets, [*panel, "__perm"], "__f", stat, "__z", exponent, 1, most).select(*panel, F.col("__z").alias("size"), F.col("es").alias("__e"), (F.col("es") >= 0).alias("__up"))
+    met = real.withColumn("__up", F.col("es") >= 0).join(null, [*panel, "size", "__up"], "left")
+    far = F.count_if(F.round(F.abs("__e"), 9) >= F.round(F.abs("es"), 9))
+    scored = met.groupBy(*panel, name, "size", "es", "leading_edge").agg(F.try_divide(F.first("es"), F.avg(F.abs("__e"))).alias("nes"), ((1 + far) / (1 + F.count("__e"))).alias("p"))
+    return adjusted(scored, "p", panel, name)
+
+
 def single_sample_enrichment(expression: DataFrame, sets: DataFrame, cell: str, feature: str, value: str, name: str, exponent: float = 0.25, least: int = 5, most: int = 500) -> DataFrame:
     """Per cell and set, the sum over all ranks of hit share minus miss share.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from heddle.operators import evaluate as E
 from heddle.operators import models as M
 from heddle.operators import permute as Q
+from heddle.operators import pooled as PO
 from heddle.plans.fixture import AVG_RANK, METRIC, PANEL_MEANS, metric, panel_means, table, with_sql
 from heddle.plans.registry import register
 
@@ -266,3 +267,61 @@ def boosted(spark, sf_dir):
 @register("m14_pooled_rows", with_sql("SELECT cohort, cell, drug FROM metric WHERE disease = 'BUILDING' AND drug IN (SELECT drug FROM metric WHERE disease = 'BUILDING' GROUP BY 1 HAVING count(DISTINCT cell) >= 5)", METRIC))
 def pooled(spark, sf_dir):
     return M.pooled(metric(spark, sf_dir), "cell", "drug", "BUILDING").select("cohort", "cell", "drug")
+
+
+def _pooled_design(spark, sf_dir):
+    rows = metric(spark, sf_dir).where("sens_z is not null").groupBy("disease", "drug", "cell").agg(F.avg("sens_z").alias("y"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return PO.design(rows, vectors, ["disease"], "cell", "drug", "vector", 10)
+
+
+@register(
+    "m14_pooled_design",
+    with_sql(
+        """SELECT disease, drug, cell, dense_rank() OVER (PARTITION BY disease ORDER BY drug) AS hot, n_drugs, n_lines, 10 AS n_pcs, 10 + n_drugs AS width FROM (SELECT DISTINCT disease, drug, cell FROM metric WHERE sens_z IS NOT NULL AND cell IN (SELECT vec_id FROM embeddings))
+        JOIN (SELECT disease, count(DISTINCT drug) n_drugs, count(DISTINCT cell) n_lines FROM metric WHERE sens_z IS NOT NULL AND cell IN (SELECT vec_id FROM embeddings) GROUP BY 1) USING (disease)""",
+        METRIC,
+    ),
+)
+def pooled_design(spark, sf_dir):
+    hot = F.array_position(F.slice("x", F.col("n_pcs") + 1, F.col("n_drugs").cast("int")), F.lit(1.0))
+    return _pooled_design(spark, sf_dir).select("disease", "drug", "cell", hot.alias("hot"), "n_drugs", "n_lines", "n_pcs", F.size("x").alias("width"))
+
+
+@register("m05_m09_m10_residual_enet")
+def residual_enet(spark, sf_dir):
+    """Out-of-fold rows of the elastic net on the target that has the means of (disease, drug) taken off."""
+    rows = _pooled_design(spark, sf_dir).select("disease", "drug", "cell", "y", F.col("pcs").alias("x")).persist()
+    return PO.elastic_net_cv(rows, ["disease"], "cell", "y", "x", "disease_drug", "drug", "disease", outer=3, inner=2)
+
+
+@register("m30_enet_arms")
+def enet_arms(spark, sf_dir):
+    """The three elastic net arms on components, and one on the raw vectors."""
+    from heddle.operators import workloads as L
+
+    rows = _pooled_design(spark, sf_dir).select("disease", "drug", "cell", "y", F.col("pcs").alias("x")).persist()
+    return L.ablation(rows, ("enet_expr", "enet_resid", "enet_resid_disease"), repeats=2, folds=3)
+
+
+_RESULTS = "res AS (SELECT CASE WHEN length(disease) % 2 = 0 THEN 'both' ELSE 'a' END cohort, disease, model, repeat, rmse spearman, rmse - 0.2 * length(disease) / 9 spearman_lo, rmse + 0.1 spearman_hi FROM (SELECT disease, 'drugmean' model, 0 repeat, round(sqrt(avg(pow(y - y_pred, 2))), 6) rmse FROM pred GROUP BY disease UNION ALL SELECT disease, 'mean', 0, round(sqrt(avg(pow(y - g, 2))), 6) FROM (SELECT disease, y, {g} g FROM d) GROUP BY disease))".format(g=_lfo(""))
+
+
+def _results(spark, sf_dir):
+    """Result rows of two arms; their errors stand in for scores."""
+    error = F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("p"), 2))), 6)
+    a = _pred(spark, sf_dir).withColumn("p", F.col("y_pred")).groupBy("disease").agg(error.alias("spearman")).withColumn("model", F.lit("drugmean"))
+    b = E.leave_fold_out(_rows(spark, sf_dir), "y", "fold", [], "p", ["repeat"]).groupBy("disease").agg(error.alias("spearman")).withColumn("model", F.lit("mean"))
+    size = F.length("disease")
+    return a.unionByName(b).withColumns({"cohort": F.when(size % 2 == 0, "both").otherwise("a"), "spearman_lo": F.col("spearman") - 0.2 * size / 9, "spearman_hi": F.col("spearman") + 0.1})
+
+
+@register("m32_arm_deltas", with_sql("SELECT cohort, disease, round(max(spearman) FILTER (WHERE model = 'drugmean'), 5) drugmean, round(max(spearman) FILTER (WHERE model = 'mean'), 5) AS mean, round(max(spearman) FILTER (WHERE model = 'mean') - max(spearman) FILTER (WHERE model = 'drugmean'), 5) delta_mean FROM res GROUP BY ALL", _ROWS, _PRED, _RESULTS))
+def arm_deltas(spark, sf_dir):
+    out = E.arm_deltas(_results(spark, sf_dir), ["cohort", "disease"], ["drugmean", "mean"])
+    return out.select("cohort", "disease", *(F.round(c, 5).alias(c) for c in ("drugmean", "mean", "delta_mean")))
+
+
+@register("m32_cohort_summary", with_sql("SELECT cohort, model, count(DISTINCT disease) n_diseases, round(avg(spearman), 5) mean_spearman, round(avg(spearman_hi - spearman_lo), 5) mean_ci_width, count(*) FILTER (WHERE spearman_lo > 0) n_above_zero FROM res GROUP BY ALL", _ROWS, _PRED, _RESULTS))
+def cohort_summary(spark, sf_dir):
+    return E.cohort_summary(_results(spark, sf_dir)).withColumns({c: F.round(c, 5) for c in ("mean_spearman", "mean_ci_width")})

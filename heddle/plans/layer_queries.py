@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.stats import quartile_of_rank
 from heddle.operators import layers as L
+from heddle.operators import omics as O
 from heddle.operators import panels as P
 from heddle.plans.fixture import AVG_RANK, EXPRESSION, METRIC, PANEL_MEANS, RESPONSE, expression, metric, panel_means, response, table, with_sql
 from heddle.plans.registry import register
@@ -212,6 +213,100 @@ def enrichment_score(spark, sf_dir):
     return P.enrichment(stats, sets, ["disease", "drug"], "gene", "rho", "gs").select("disease", "drug", "gs", "size", R6("es").alias("es"))
 
 
+_NULL = """en AS (SELECT disease, drug, gs, max(size)::bigint size, CASE WHEN round(max(s), 9) >= -round(least(min(s), 0), 9) THEN max(s) ELSE min(s) END es FROM run GROUP BY ALL),
+pm AS (SELECT st.*, perm, row_number() OVER (PARTITION BY disease, drug, perm ORDER BY md5('0|' || perm || '|' || gene), gene) f FROM st, range(1, 21) t(perm)),
+pr AS (SELECT *, row_number() OVER (PARTITION BY disease, drug, perm ORDER BY rho DESC, f) r2 FROM pm),
+ph AS (SELECT *, (f <= z)::int hit FROM pr, (SELECT DISTINCT size z FROM en)),
+ps AS (SELECT *, sum(CASE WHEN hit = 1 THEN abs(rho) END) OVER w nr, sum(hit) OVER w size FROM ph WINDOW w AS (PARTITION BY disease, drug, perm, z)),
+pu AS (SELECT *, sum(CASE WHEN hit = 1 THEN abs(rho) / nr ELSE -1.0 / (n - size) END) OVER (PARTITION BY disease, drug, perm, z ORDER BY r2) s FROM ps),
+e0 AS (SELECT disease, drug, perm, z, CASE WHEN round(max(s), 9) >= -round(least(min(s), 0), 9) THEN max(s) ELSE min(s) END e FROM pu GROUP BY ALL),
+sg AS (SELECT en.disease, en.drug, gs, size, es, es / avg(abs(e)) nes, (1 + count(*) FILTER (WHERE round(abs(e), 9) >= round(abs(es), 9))) / (1 + count(e)) p FROM en LEFT JOIN e0 ON en.disease = e0.disease AND en.drug = e0.drug AND size = z AND (es >= 0) = (e >= 0) GROUP BY en.disease, en.drug, gs, size, es),
+ad AS (SELECT *, p * count(*) OVER (PARTITION BY disease, drug) / row_number() OVER (PARTITION BY disease, drug ORDER BY p, gs) raw FROM sg)"""
+
+
+@register(
+    "m16_m27_enrichment_significance",
+    with_sql("SELECT disease, drug, gs, size, round(es, 6) es, round(nes, 5) nes, round(p, 6) p, round(least(1, min(raw) OVER (PARTITION BY disease, drug ORDER BY p DESC, gs DESC ROWS UNBOUNDED PRECEDING)), 6) padj FROM ad", PANEL_MEANS, EXPRESSION, _SPEARMAN, _RUN, _NULL),
+)
+def enrichment_significance(spark, sf_dir):
+    sets = spark.range(64).select((F.col("id") % 8).alias("gs"), F.col("id").cast("int").alias("gene"))
+    stats = _rho(spark, sf_dir).withColumn("rho", F.round("rho", 9)).where("rho is not null")
+    out = P.enrichment_significance(stats, sets, ["disease", "drug"], "gene", "rho", "gs", perms=20)
+    return out.select("disease", "drug", "gs", "size", R6("es").alias("es"), F.round("nes", 5).alias("nes"), R6("p").alias("p"), R6("padj").alias("padj"))
+
+
+_FUSIONS = "SELECT cell, 'fus_' || f AS feature, coalesce(max(v), 0)::int AS value FROM (SELECT DISTINCT o_custkey cell FROM orders) CROSS JOIN (SELECT DISTINCT f FROM ev) LEFT JOIN ev USING (cell, f) GROUP BY ALL"
+_FUSION_EVENTS = "ev AS (SELECT DISTINCT o_custkey cell, o_orderpriority f, 1 v FROM orders WHERE upper(CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'no' END) = 'TRUE' AND (o_orderstatus = 'P' OR coalesce(try_cast(CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE (o_orderkey % 7)::varchar END AS double), 0) >= 3))"
+
+
+def _fusions(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("cell"), F.col("o_orderpriority").alias("name"), F.lit("none").alias("left"), F.col("o_orderstatus").alias("right"),
+        F.when(k % 2 == 0, "true").otherwise("no").alias("passed"), F.when(k % 5 == 0, "n/a").otherwise((k % 7).cast("string")).alias("count"),
+    )
+    return O.fusions(rows, "cell", "name", "left", "right", "passed", "count", ["P"])
+
+
+@register("l05_fusions", with_sql(_FUSIONS, _FUSION_EVENTS))
+def fusions(spark, sf_dir):
+    return _fusions(spark, sf_dir)
+
+
+def _mutations(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.select(F.col("o_custkey").alias("cell"), F.col("p_brand").alias("gene"), (F.col("l_quantity") > 45).alias("a"), F.when(F.col("l_discount") > 0.05, F.col("l_tax") > 0.07).alias("b"))
+    return O.mutations(rows, "cell", "gene", ["a", "b"], ["Brand#11", "Brand#13", "Brand#22"])
+
+
+_MUTATION_EVENTS = """mr AS (SELECT o_custkey cell, p_brand gene, coalesce(l_quantity > 45, false) OR coalesce(CASE WHEN l_discount > 0.05 THEN l_tax > 0.07 END, false) f FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+mu AS (SELECT c.cell, g.gene, coalesce(max(m.f::int), 0) AS value FROM (SELECT DISTINCT cell FROM mr) c CROSS JOIN (SELECT DISTINCT gene FROM mr WHERE f AND gene IN ('Brand#11', 'Brand#13', 'Brand#22')) g LEFT JOIN mr m ON m.cell = c.cell AND m.gene = g.gene AND m.f GROUP BY ALL)"""
+
+
+@register("l06_mutations", with_sql("SELECT cell, 'mut_' || gene AS feature, value::int AS value FROM mu", _MUTATION_EVENTS))
+def mutations(spark, sf_dir):
+    return _mutations(spark, sf_dir)
+
+
+def _methylation(spark, sf_dir):
+    wide = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("_"), F.col("p_partkey").cast("string")).alias("locus_id"), F.when(F.col("p_partkey") % 5 == 0, "NA").otherwise(F.col("p_size").cast("string")).alias("S1"), F.col("p_retailprice").cast("string").alias("S2"), F.col("p_size").cast("string").alias("S3"))
+    cells = spark.sql("SELECT * FROM VALUES ('S1', 1L), ('S2', 2L), ('S3', 2L), ('S4', 3L) AS t(sample, cell)")
+    return O.methylation(wide, "locus_id", ["S1", "S2", "S3"], cells, ["Brand#11", "Brand#1", "Brand#23"])
+
+
+@register("l07_methylation", "SELECT cell, 'meth_' || p_brand AS feature, round(v, 6) AS value FROM (SELECT 1 AS cell, p_brand, avg(CASE WHEN p_partkey % 5 <> 0 THEN p_size END) v FROM part GROUP BY ALL UNION ALL SELECT 2, p_brand, avg(p_retailprice) FROM part GROUP BY ALL) WHERE p_brand IN ('Brand#11', 'Brand#1', 'Brand#23')")
+def methylation(spark, sf_dir):
+    return _methylation(spark, sf_dir).withColumn("value", R6("value"))
+
+
+@register("l02_l03_l04_resolved_layers", "SELECT c_custkey // 2 AS cell, 'rppa_' || f AS feature, v AS value FROM (SELECT c_custkey, unnest(['bal', 'seg']) f, unnest([c_acctbal, NULL]) v FROM customer) WHERE c_custkey % 2 = 0 AND c_custkey % 7 <> 0")
+def resolved_layers(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    wide = c.select(k.alias("sample"), F.col("c_acctbal").cast("string").alias("bal"), F.col("c_mktsegment").alias("seg"))
+    ladder = c.select(k.alias("sample"), F.when(k % 7 != 0, F.floor(k / 2)).alias("cell"))
+    return O.numeric_layer(wide.where("sample % 2 = 0"), "sample", ["bal", "seg"], ladder, "rppa_")
+
+
+@register("l09_annotation", "SELECT p_partkey, p_brand FROM part")
+def annotation(spark, sf_dir):
+    return O.annotation(table(spark, sf_dir, "part").select("p_partkey", "p_brand"))
+
+
+@register(
+    "l10_layer_summary",
+    with_sql(
+        f"""SELECT layer, n_features, n_cells_total, n_cells_in_universe, kind FROM (SELECT 'mutations' layer, count(DISTINCT gene) n_features, count(DISTINCT cell) n_cells_total, count(DISTINCT cell) FILTER (WHERE cell IN (SELECT cell FROM u)) n_cells_in_universe, 'binary' kind FROM mu
+        UNION ALL SELECT 'fusions', count(DISTINCT feature), count(DISTINCT cell), count(DISTINCT cell) FILTER (WHERE cell IN (SELECT cell FROM u)), 'binary' FROM fu UNION ALL SELECT 'chromatin', count(DISTINCT gene), count(DISTINCT cell), count(DISTINCT cell) FILTER (WHERE cell IN (SELECT cell FROM u)), 'continuous' FROM expression)""",
+        _MUTATION_EVENTS, _FUSION_EVENTS, f"fu AS ({_FUSIONS})", EXPRESSION, "u AS (SELECT c_custkey cell FROM customer WHERE c_mktsegment <> 'BUILDING')",
+    ),
+)
+def layer_summary(spark, sf_dir):
+    universe = table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("cell"))
+    layers = {"mutations": _mutations(spark, sf_dir), "fusions": _fusions(spark, sf_dir), "chromatin": expression(spark, sf_dir).withColumnRenamed("gene", "feature")}
+    return O.summary(layers, universe)
+
+
 @register(
     "m15_single_sample_enrichment",
     with_sql(
