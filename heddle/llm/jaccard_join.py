@@ -76,9 +76,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, light: int
     copies = cut(copies.join(classes.select(F.col("first").alias("id")), "id", "left_anti"))
     single = by_ids(rows, copies, "id", "left_anti")
 
-    heavy = _heavy(single, n, num, den, light, max_heavy)
+    heavy, all_found = _heavy(single, n, num, den, light, max_heavy)
     prefixes = _prefixes(single, n, num, den, docs.sparkSession.sparkContext.broadcast(heavy))
-    ties = _candidates(prefixes, num, den, light, len(heavy[0]) >= max_heavy)
+    ties = _candidates(prefixes, num, den, light, not all_found)
     groups = components(ties).withColumnRenamed("component", "grp")
 
     members = cut(groups.join(classes.where("first is not null"), groups["id"] == classes["ck"]).select("grp", "ck", "n", "copies", F.col("first").alias("id")))
@@ -108,15 +108,16 @@ def _order(tokens: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np
     return tokens[order], rank[order]
 
 
-def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent columns, sorted, with their rank by count.
+def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy: int, passes: int = 3) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
+    """Frequent columns, sorted, with their rank by count, and whether these are all that rows have in front.
 
     The first columns of all rows are counted; frequent ones move to the end of the order, which brings other columns to
-    the front of the rows that had them, so these are counted again, until nothing frequent is found.
+    the front of the rows that had them, so these are counted again, until nothing frequent is found or after ``passes``;
+    what is left then is found by a join, at the cost of one more shuffle instead of one more pass over the texts each.
     """
     known: dict[int, int] = {}
     heavy = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    while True:
+    for _ in range(passes):
         sent = single.sparkSession.sparkContext.broadcast(heavy)
 
         def front(texts, sent=sent):
@@ -131,7 +132,9 @@ def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy:
 
         counted = map_columns(single.select("text"), front, "tokens array<long>", [pa.list_(pa.int64())], ["tokens"]).select(F.explode("tokens").alias("token")).groupBy("token").count()
         got = counted.where(F.col("count") > light).orderBy(F.desc("count"), "token").limit(max(1, max_heavy - len(known))).toPandas()
-        if not len(got) or len(known) >= max_heavy:
+        if not len(got):
+            return heavy, True
+        if len(known) >= max_heavy:
             break
         known |= dict(zip(got["token"].tolist(), got["count"].tolist(), strict=True))
         tokens, counts = np.fromiter(known, np.int64).view(np.uint64), np.fromiter(known.values(), np.int64)
@@ -139,7 +142,7 @@ def _heavy(single: DataFrame, n: int, num: int, den: int, light: int, max_heavy:
         ranks[np.lexsort((tokens, counts))] = np.arange(1, len(tokens) + 1)
         order = np.argsort(tokens)
         heavy = tokens[order], ranks[order]
-    return heavy
+    return heavy, False
 
 
 def _prefixes(single: DataFrame, n: int, num: int, den: int, sent) -> DataFrame:
