@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express over whole tables.
 
-Not expressible: the trained classifier (op1), wrapper inference (op2), byte-pair merging (op5), greedy tiling (op6) and
-token packing (op9); tests hold these against brute-force versions.
+Not expressible: trained classifiers (op1, op13), wrapper inference (op2), byte-pair merging (op5), greedy tiling (op6) and
+token packing and alignment (op9, op12); tests hold these against brute-force versions.
 """
 
 from __future__ import annotations
@@ -60,10 +60,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  sum(14 + {_CODED.format(c='role')} + length(role) - length(replace(role, ':', '')) + {_CODED.format(c='text')})::bigint AS formatted_chars FROM r GROUP BY conv_id"""
 
+_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)) AS e FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, list_dot_product(q.e, c.e)::bigint AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+ FROM p JOIN s ON p.anchor_id = s.anchor_id AND place <= 5 AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::int AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
 SQL: dict[str, str] = {
     "op3_license_scan": _licenses(),
     "op4_substring_dedup": _DEDUP,
     "op7_top_k": _TOP_K,
     "op8_jaccard_join": _JACCARD,
     "op10_chat_format": _CHAT,
+    "op11_hard_negatives": _NEGATIVES,
 }

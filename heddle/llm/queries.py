@@ -1,4 +1,4 @@
-"""The ten operators with production parameters over their whole tables, one query each."""
+"""The operators with production parameters over their whole tables, one query each."""
 
 from __future__ import annotations
 
@@ -99,4 +99,29 @@ def turn_log(rows: DataFrame) -> DataFrame:
     return rows.withColumn("message", F.monotonically_increasing_id()).select("conv_id", "message", "role", events).select("conv_id", F.col("message").alias("turn"), "role", "e.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_html_extraction, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_decontamination, op7_top_k, op8_jaccard_join, op9_packing, op10_chat_format)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is moved on by one, then anchors are the rows whose id is divisible by 50."""
+    from heddle.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the documents whose id's crc32 doesn't leave 2 in four, and held out on the others."""
+    from heddle.llm.langid import held_out, identify
+
+    return identify(table(spark, sf_dir, "documents"), held_out(F.col("doc_id")))
+
+
+_OPERATORS = (
+    op1_quality_classifier, op2_html_extraction, op3_license_scan, op4_substring_dedup, op5_token_counts, op6_decontamination, op7_top_k, op8_jaccard_join, op9_packing, op10_chat_format,
+    op11_hard_negatives, op12_alignment, op13_language_id,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
