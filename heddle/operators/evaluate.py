@@ -6,10 +6,15 @@ A model that predicts a mean of the training folds needs no fit per fold: the me
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.stats import average_rank, md5_order, safe_corr
+from heddle.operators import ordering
 
 
 def folds(df: DataFrame, group: str, k: int = 5, repeats: int = 1, seed: int = 0) -> DataFrame:
@@ -98,11 +103,17 @@ def tissue_oracle(df: DataFrame, y: str, cell: str, drug: str, disease: str, fol
     return met.withColumn("residual", F.col(y) - F.col("base"))
 
 
-def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str = "y_pred", least: int = 3) -> DataFrame:
-    """Spearman, Pearson, RMSE and R2 over finite pairs; null with fewer than ``least`` rows or without spread."""
+def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str = "y_pred", least: int = 3, spread: bool = False) -> DataFrame:
+    """Spearman, Pearson, RMSE and R2 over finite pairs; null with fewer than ``least`` rows or without spread.
+
+    ``spread`` ranks groups of any size over many tasks (pan-cancer units); without it, a task ranks each group.
+    """
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     pairs = df.where(ok(y) & ok(pred))
-    ranked = pairs.withColumn("__ry", average_rank(y, *keys)).withColumn("__rp", average_rank(pred, *keys))
+    if spread:
+        ranked = ordering.average_ranks(ordering.average_ranks(pairs, keys, y, "__ry"), keys, pred, "__rp")
+    else:
+        ranked = pairs.withColumn("__ry", average_rank(y, *keys)).withColumn("__rp", average_rank(pred, *keys))
     sse = F.sum(F.pow(F.col(y) - F.col(pred), 2))
     n = F.count("*")
     some = lambda c: F.when(n >= least, c)
@@ -123,31 +134,23 @@ def summarize(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def per_line_ranking(df: DataFrame, keys: list[str], item: str, y: str = "y", pred: str = "y_pred", k: int = 3, least: int = 3) -> DataFrame:
     """Per line: top-k hit rate, Kendall's tau-b, Spearman and NDCG@k with tied predictions sharing their gain.
 
-    Lower values rank first.  A line's items are compared in pairs, so lines must have a bounded number of items (drugs).
+    Lower values rank first, ties by item.  One shuffle makes an array of each line, whose items (drugs) must fit in one; batches
+    of lines are ranked and their inversions counted at once.  ``ordering.kendall_spread`` serves longer lines.
     """
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(pred).isNotNull() & F.col(y).isNotNull()).withColumn("__n", F.count("*").over(w)).where(F.col("__n") >= least)
-    kk = F.least(F.lit(k), F.col("__n"))
-    rows = (
-        rows.withColumn("__ty", F.row_number().over(w.orderBy(y, item))).withColumn("__tp", F.row_number().over(w.orderBy(pred, item)))
-        .withColumn("__gain", F.max(y).over(w) - F.col(y)).withColumn("__ry", average_rank(y, *keys)).withColumn("__rp", average_rank(pred, *keys))
-        .withColumn("__disc", F.when(F.col("__tp") <= kk, 1 / F.log2(F.col("__tp") + F.lit(1.0))).otherwise(0.0))
-        .withColumn("__ideal", F.when(F.col("__ty") <= kk, F.col("__gain") / F.log2(F.col("__ty") + F.lit(1.0))).otherwise(0.0))
-    )
-    ties = Window.partitionBy(*keys, pred)
-    rows = rows.withColumn("__dcg", F.avg("__gain").over(ties) * F.col("__disc"))
-    base = rows.groupBy(*keys).agg(
-        F.max("__n").alias("n_items"), (F.sum(((F.col("__ty") <= kk) & (F.col("__tp") <= kk)).cast("int")) / F.max(kk)).alias("topk_hit_rate"),
-        safe_corr("__ry", "__rp").alias("spearman"), F.try_divide(F.sum("__dcg"), F.nullif(F.sum("__ideal"), F.lit(0.0))).alias("ndcg"),
-        (F.stddev_pop(y) * F.stddev_pop(pred)).alias("__spread"),
-    )
-    two = rows.select(*keys, F.col(item).alias("__i"), F.col(y).alias("__y1"), F.col(pred).alias("__p1"))
-    other = rows.select(*keys, F.col(item).alias("__j"), F.col(y).alias("__y2"), F.col(pred).alias("__p2"))
-    pairs = two.join(other, keys).where("__i < __j").withColumn("__sy", F.signum(F.col("__y1") - F.col("__y2"))).withColumn("__sp", F.signum(F.col("__p1") - F.col("__p2")))
-    tau = pairs.groupBy(*keys).agg(F.try_divide(F.sum(F.col("__sy") * F.col("__sp")), F.nullif(F.sqrt(F.sum(F.abs("__sy")) * F.sum(F.abs("__sp"))), F.lit(0.0))).alias("kendall_tau"))
-    out = base.join(tau, keys, "left")
-    real = F.col("__spread") > 0
-    return out.select(*keys, "n_items", "topk_hit_rate", *(F.when(real, F.col(c)).alias(c) for c in ("kendall_tau", "spearman", "ndcg")))
+    rows = df.where(F.col(pred).isNotNull() & F.col(y).isNotNull())
+    listed = F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(y).cast("double").alias("y"), F.col(pred).cast("double").alias("p"))))
+    lines = rows.groupBy(*keys).agg(listed.alias("__r")).where(F.size("__r") >= least).select(*keys, F.col("__r.y").alias("__y"), F.col("__r.p").alias("__p"))
+    kinds = (pa.int32(), *[pa.float64()] * 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = batch.column(len(keys)), batch.column(len(keys) + 1)
+            line = np.repeat(np.arange(len(batch)), own.value_lengths().to_numpy(zero_copy_only=False))
+            found = ordering.ranking_metrics(line, own.flatten().to_numpy(zero_copy_only=False), other.flatten().to_numpy(zero_copy_only=False), len(batch), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(v, t, from_pandas=True) for v, t in zip(found.values(), kinds, strict=True))], names=[*keys, *found])
+
+    shape = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    return lines.mapInArrow(run, f"{shape}, {ordering.RANKING}")
 
 
 def compare_arms(df: DataFrame, keys: list[str], model: str, value: str, arms: list[str]) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.operators import boosting
+
 
 def pca_scores(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores and explained share of the standardized varying columns, from the n x n Gram matrix (columns >> rows)."""
@@ -39,21 +41,84 @@ def pca(df: DataFrame, panel: list[str], cell: str, vector: str, k: int = 20) ->
     return df.groupBy(*panel).applyInPandas(run, f"{kinds}, component int, score double, explained double")
 
 
-def proximal(times: Callable[[np.ndarray], np.ndarray], c: np.ndarray, top: float, alpha: np.ndarray, l1: np.ndarray, steps: int = 2000) -> np.ndarray:
+def feature_blocks(df: DataFrame, panel: list[str], cell: str, vector: str, size: int = 512) -> DataFrame:
+    """(panel, cell, block, values): the vectors cut into blocks of features."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(vector) - 1), F.lit(size))
+    return df.select(*panel, cell, vector, F.posexplode(starts).alias("block", "__at")).select(*panel, cell, "block", F.slice(vector, F.col("__at") + 1, size).alias("values"))
+
+
+def long_blocks(df: DataFrame, panel: list[str], cell: str, feature: str, value: str, blocks: int = 128) -> DataFrame:
+    """The same from (panel, cell, feature, value) rows: features are dealt to blocks by hash and stand in their order there.
+
+    Every cell of a panel must have every feature; a feature that some cell lacks fails where the block is stacked.
+    """
+    dealt = df.withColumn("block", F.pmod(F.xxhash64(feature), F.lit(blocks)).cast("int"))
+    return dealt.groupBy(*panel, cell, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct(feature, value))), lambda s: s[value].cast("double")).alias("values"))
+
+
+def pca_blocks(blocks: DataFrame, panel: list[str], cell: str, k: int = 20, salts: int = 8, rows: int = 256) -> DataFrame:
+    """M13 for panels whose cells x features matrix fits no task: (panel, cell, component, score, explained), as ``pca``.
+
+    Each block of features is standardized on its own, and gives its part of the cells x cells products of all features; parts
+    are added up in ``salts`` groups and then over these, in strips of ``rows`` rows, so that a task holds one block or one strip of
+    products of a few parts.  The eigenproblem of a panel has the size of its cells; only there all products meet.
+    """
+    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in panel)
+    own = blocks.schema[cell].dataType.simpleString()
+    strip = f"{kinds + ', ' if panel else ''}salt int, strip int, features long, products binary, cells array<{own}>"
+
+    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(cell, kind="stable")
+        x = np.stack(pdf["values"].to_list()).astype(float)
+        x -= x.mean(0)
+        sd = np.sqrt((x**2).mean(0))
+        live = sd > 1e-12 * np.maximum(1.0, np.abs(x).max(0, initial=0))
+        z = x[:, live] / sd[live]
+        return pd.DataFrame([[*key[: len(panel)], key[-1] % salts, at // rows, int(live.sum()), (z[at : at + rows] @ z.T).tobytes(), pdf[cell].to_list()] for at in range(0, len(z), rows)], columns=[*panel, "salt", "strip", "features", "products", "cells"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(pdf["products"].iloc[0]) // 8)
+        for part in pdf["products"]:
+            total += np.frombuffer(part)
+        salt = key[-2] if len(key) == len(panel) + 2 else 0
+        return pd.DataFrame([[*key[: len(panel)], salt, key[-1], int(pdf["features"].sum()), total.tobytes(), pdf["cells"].iloc[0]]], columns=[*panel, "salt", "strip", "features", "products", "cells"])
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("strip")
+        cells = list(pdf["cells"].iloc[0])
+        n, m = len(cells), int(pdf["features"].iloc[0])
+        gram = np.concatenate([np.frombuffer(p).reshape(-1, n) for p in pdf["products"]])
+        most = min(k, n - 1, m)
+        values, vectors = np.linalg.eigh(gram)
+        kept = np.argsort(values)[::-1][:most]
+        scores = vectors[:, kept] * np.sqrt(np.clip(values[kept], 0, None))
+        scores *= np.sign(scores[np.abs(scores).argmax(0), range(most)]) if most else 1
+        share = np.clip(values[kept], 0, None) / max(values.sum(), 1e-300)
+        return pd.DataFrame({**{p: [v] * (n * most) for p, v in zip(panel, key, strict=True)}, cell: np.repeat(np.array(cells, object), most), "component": np.tile(np.arange(most), n), "score": scores.ravel(), "explained": np.tile(share, n)})
+
+    parts = blocks.groupBy(*panel, "block").applyInPandas(products, strip)
+    parts = parts.groupBy(*panel, "salt", "strip").applyInPandas(add, strip)
+    whole = parts.groupBy(*panel, "strip").applyInPandas(add, strip)
+    return whole.groupBy(*panel).applyInPandas(solve, f"{kinds + ', ' if panel else ''}`{cell}` {own}, component int, score double, explained double")
+
+
+def proximal(times: Callable[[np.ndarray], np.ndarray], c: np.ndarray, top: float, alpha: np.ndarray, l1: np.ndarray, steps: int = 2000, start: np.ndarray | None = None) -> np.ndarray:
     """Min w'Cw / 2 - c'w + alpha l1 |w|_1 + alpha (1 - l1) / 2 |w|^2 for all grid points at once, a column each.
 
-    Accelerated proximal gradients with restarts; ``times`` multiplies with C and ``top`` bounds its eigenvalues.
+    Accelerated proximal gradients with restarts; ``times`` multiplies with C and ``top`` bounds its eigenvalues.  A c with
+    columns has a target for each grid point.
     """
     ridge, lasso = alpha * (1 - l1), alpha * l1
     rate = 1 / (top + ridge + 1e-12)
-    w = v = np.zeros((len(c), len(alpha)))
+    c = c[:, None] if c.ndim == 1 else c
+    w = v = np.zeros((len(c), len(alpha))) if start is None else start
     t = 1.0
     for _ in range(steps):
-        g = v - rate * (times(v) - c[:, None] + ridge * v)
+        g = v - rate * (times(v) - c + ridge * v)
         new = np.sign(g) * np.maximum(np.abs(g) - rate * lasso, 0)
         if ((v - new) * (new - w)).sum() > 0:
             t, v = 1.0, w  # overshot: start the acceleration anew
-            g = v - rate * (times(v) - c[:, None] + ridge * v)
+            g = v - rate * (times(v) - c + ridge * v)
             new = np.sign(g) * np.maximum(np.abs(g) - rate * lasso, 0)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v = new + (t - 1) / t_new * (new - w)
@@ -122,11 +187,13 @@ def mean_model(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarra
     return lambda v: np.full(len(v), y.mean())
 
 
-#: The grids that the inner folds choose from.
+#: What the inner folds choose from: grids, and for boosted trees a seeded random search.
 MODELS: dict[str, tuple[Callable, list[dict]]] = {
     "mean": (mean_model, [{}]),
     "enet": (elastic_net, [{"alpha": float(a), "l1": l1} for a in np.logspace(-2, 1, 7) for l1 in (0.2, 0.5, 0.9)]),
     "signature": (signature_model, [{"top": k} for k in (25, 50, 100, 200, 500)]),
+    "boosted": (boosting.boosted_model, boosting.draw_settings(10, 42)),
+    "boosted_small": (boosting.boosted_model, boosting.draw_settings(3, 42, rounds=15)),
 }
 
 

@@ -13,6 +13,7 @@ from heddle.operators import models as M
 from heddle.operators import panels as P
 from heddle.operators import permute as Q
 from heddle.operators.pooled import elastic_net_cv
+from heddle.session import hold
 
 
 def disease_sizes(df: DataFrame, disease: str = "disease", cell: str = "cell", drug: str = "drug", least: int = 1) -> DataFrame:
@@ -81,6 +82,48 @@ def ablation(df: DataFrame, arms: tuple[str, ...] = MEAN_ARMS, repeats: int = 2,
     return out
 
 
+def wide_designs(rows: DataFrame, by: list[str], cell: str, pcs: DataFrame, pathway: DataFrame, layers: dict[str, tuple[DataFrame, bool]] | None = None, k: int = 10) -> dict[str, DataFrame]:
+    """The design vectors ``x`` of the arms with pathways and layers, per (by, cell).
+
+    ``pcs`` has (by, cell, x), ``pathway`` (cell, x) with hundreds or thousands of features, ``layers`` name -> ((cell, name), binary).
+    Pathway features are filled and flagged as a layer; their components replace those of genes in ``enet_pathwaypcs``.
+    """
+    from heddle.operators.pooled import layer_vectors
+
+    own = hold(layer_vectors(rows, pathway.withColumnRenamed("x", "pathway"), by, cell, "pathway", False))
+    bare = own.select(*by, cell, F.slice("pathway", 1, F.size("pathway") - 1).alias("v"))
+    scores = M.pca_blocks(M.feature_blocks(bare, by, cell, "v"), by, cell, k)
+    components = scores.groupBy(*by, cell).agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "score"))), lambda s: s["score"]).alias("x"))
+    out = {"enet_resid": pcs, "enet_pathwaypcs": hold(components), "enet_pathway": own.withColumnRenamed("pathway", "x"), "enet_pcs_pathway": pcs.join(own, [*by, cell]).select(*by, cell, F.concat("x", "pathway").alias("x"))}
+    for name, (layer, binary) in (layers or {}).items():
+        more = hold(layer_vectors(rows, layer, by, cell, name, binary))
+        out[f"enet_resid_{name}"] = pcs.join(more, [*by, cell]).select(*by, cell, F.concat("x", name).alias("x"))
+    return out
+
+
+def wide_ablation(rows: DataFrame, designs: dict[str, DataFrame], by: list[str], repeats: int = 2, folds: int = 5, inner: int = 4, seed: int = 0, n_perm: int = 0, with_null: tuple[str, ...] = ("enet_pathway", "enet_pcs_pathway", "enet_resid_disease"), **fitting) -> DataFrame:
+    """One row per unit and arm, as ``ablation``, with ``n_features`` and, for the arms ``with_null``, the
+    significance against ``n_perm`` replicates: shuffled responses, or for ``enet_resid_disease`` vectors dealt anew within diseases."""
+    from heddle.operators import wide as W
+
+    out = None
+    for arm, vectors in designs.items():
+        perms = n_perm if arm in with_null else 0
+        target = ENET_ARMS.get(arm, "drug")
+        found = hold(W.wide_net_cv(rows, vectors, by, "cell", "y", "x", target, "drug", "disease", folds, inner, repeats, seed, n_perm=perms, null="vectors" if arm == "enet_resid_disease" else "y", **fitting).where("ok"))
+        real = found.where("perm = 0").withColumn("y_pred", F.round("y_pred", 9)).withColumn("y", F.round("y", 9))
+        met = E.regression_metrics(real, [*by, "repeat"])
+        half = 1.96 * F.coalesce(F.stddev_samp("spearman"), F.lit(0.0)) / F.sqrt(F.count("spearman"))
+        one = met.groupBy(*by).agg(F.avg("spearman").alias("spearman"), (F.avg("spearman") - half).alias("spearman_lo"), (F.avg("spearman") + half).alias("spearman_hi"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"), F.max("n").alias("n_rows"))
+        on = [b for b in by if b in vectors.columns]
+        size = vectors.groupBy(*on).agg(F.max(F.size("x")).alias("n_features"))
+        one = (one.join(size, on) if on else one.join(F.broadcast(size))).withColumn("model", F.lit(arm))
+        if perms:
+            one = one.join(W.arm_significance(found, by).drop("real"), by, "left")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 def signature_scan(design: DataFrame, panel: list[str], cell: str, y: str, vector: str, n_perm: int = 20, outer: int = 5, inner: int = 4, seed: int = 0, model: str = "signature") -> DataFrame:
     """M20 (c), M21: per panel the out-of-fold Spearman of the model and its significance against shuffled values.
 

@@ -10,6 +10,7 @@ from heddle.operators import permute as Q
 from heddle.operators import pooled as PO
 from heddle.plans.fixture import AVG_RANK, METRIC, PANEL_MEANS, metric, panel_means, table, with_sql
 from heddle.plans.registry import register
+from heddle.session import hold
 
 R6 = lambda c: F.round(c, 6)
 
@@ -67,7 +68,7 @@ def _pred(spark, sf_dir, repeats: int = 2):
 
 @register("m03_regression_metrics", with_sql("SELECT repeat::int AS repeat, disease, n, round(spearman, 6) spearman, round(pearson, 6) pearson, round(rmse, 6) rmse, round(r2, 6) r2 FROM met", _ROWS, _PRED, _METRICS))
 def metrics(spark, sf_dir):
-    out = E.regression_metrics(_pred(spark, sf_dir), ["repeat", "disease"])
+    out = E.regression_metrics(_pred(spark, sf_dir), ["repeat", "disease"], spread=True)
     return out.select("repeat", "disease", "n", *(R6(c).alias(c) for c in ("spearman", "pearson", "rmse", "r2")))
 
 
@@ -291,7 +292,7 @@ def pooled_design(spark, sf_dir):
 @register("m05_m09_m10_residual_enet")
 def residual_enet(spark, sf_dir):
     """Out-of-fold rows of the elastic net on the target that has the means of (disease, drug) taken off."""
-    rows = _pooled_design(spark, sf_dir).select("disease", "drug", "cell", "y", F.col("pcs").alias("x")).persist()
+    rows = _pooled_design(spark, sf_dir).select("disease", "drug", "cell", "y", F.col("pcs").alias("x"))
     return PO.elastic_net_cv(rows, ["disease"], "cell", "y", "x", "disease_drug", "drug", "disease", outer=3, inner=2)
 
 
@@ -300,10 +301,102 @@ def enet_arms(spark, sf_dir):
     """The three elastic net arms on components, and one on the raw vectors."""
     from heddle.operators import workloads as L
 
-    rows = _pooled_design(spark, sf_dir).select("disease", "drug", "cell", "y", F.col("pcs").alias("x")).persist()
+    rows = hold(_pooled_design(spark, sf_dir).select("disease", "drug", "cell", "y", F.col("pcs").alias("x")))
     return L.ablation(rows, ("enet_expr", "enet_resid", "enet_resid_disease"), repeats=2, folds=3)
 
 
+def _wide_inputs(spark, sf_dir):
+    """Rows (disease, drug, cell, y), components (disease, cell, x), 2,016 pathway features, and two layers.
+
+    A pathway is the product of two of a cell's 64 components; layers are what users did: kinds of events, and their mean values.
+    """
+    pooled_rows = hold(_pooled_design(spark, sf_dir).select("disease", "drug", "cell", "y", "pcs"))
+    pcs = hold(pooled_rows.groupBy("disease", "cell").agg(F.first("pcs").alias("x")))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: F.transform(F.slice("v", i + 1, 64 - i), lambda x: x * F.element_at("v", i))))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    events = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cell"))
+    kinds = ("click", "error", "purchase", "signup", "view")
+    does = events.agg(F.array(*(F.max((F.col("event_type") == k).cast("double")) for k in kinds)).alias("does"))
+    values = events.agg(F.array(*(F.avg(F.when(F.col("event_type") == k, F.col("value"))) for k in kinds)).alias("value"))
+    return pooled_rows.drop("pcs"), pcs, vectors.select("cell", pairs.alias("x")), {"does": (does, True), "value": (values, False)}
+
+
+@register("m30_wide_arms")
+def wide_arms(spark, sf_dir):
+    """All arms with pathways and layers, per disease: 2,016 pathway features against some hundred cells."""
+    from heddle.operators import workloads as L
+
+    rows, pcs, pathway, layers = _wide_inputs(spark, sf_dir)
+    return L.wide_ablation(rows, L.wide_designs(rows, ["disease"], "cell", pcs, pathway, layers), ["disease"], 1, 3, 2)
+
+
+@register("m20_m21_arm_nulls")
+def arm_nulls(spark, sf_dir):
+    """The arms on components with 100 replicates each: shuffled responses, and for the tissue-free arm vectors dealt anew within diseases.
+
+    One unit holds all diseases, as the beyond-tissue null needs.
+    """
+    from heddle.operators import workloads as L
+
+    rows, pcs, _, _ = _wide_inputs(spark, sf_dir)
+    vectors = hold(pcs.select("cell", "x"))
+    every = rows.withColumn("unit", F.lit("all"))
+    return L.wide_ablation(every, {"enet_resid": vectors, "enet_resid_disease": vectors}, ["unit"], 1, 3, 2, n_perm=100, with_null=("enet_resid", "enet_resid_disease"))
+
+
+@register("m18_boosted_cv")
+def boosted_cv(spark, sf_dir):
+    """Boosted trees in nested cross-validation, settings by random search, on every (disease, drug) panel."""
+    return M.nested_cv(_design(spark, sf_dir), ["disease", "drug"], "cell", "y", "vector", "boosted_small", outer=3, inner=2)
+
+
+@register("m18_boosted_forest")
+def boosted_forest(spark, sf_dir):
+    """One forest over all panels' rows, from histograms that tasks add up; (disease, drug, cell, y, y_pred)."""
+    from heddle.operators import boosting as B
+
+    rows = hold(_design(spark, sf_dir).withColumn("row", F.concat_ws("|", "disease", "drug", "cell")))
+    forest = B.fit(rows, "vector", "y", "row", B.Settings(rounds=8, depth=3, rate=0.1, subsample=0.8, colsample=0.7, min_child_weight=5))
+    return B.predict(rows, "vector", forest).select("disease", "drug", "cell", "y", "y_pred")
+
+
+@register("m13_pca_blocks")
+def pca_blocks(spark, sf_dir):
+    """Components of all cells as one unit over 2,016 pathway features in blocks."""
+    _, _, pathway, _ = _wide_inputs(spark, sf_dir)
+    return M.pca_blocks(M.feature_blocks(pathway, [], "cell", "x", 256), [], "cell", 10)
+
+
+_TAU = """c AS (SELECT c_nationkey g, c_acctbal y, c_custkey % 37 p FROM customer),
+t AS (SELECT a.g, sum(sign(a.y - b.y) * sign(a.p - b.p)) net, sum(abs(sign(a.y - b.y))) ny, sum(abs(sign(a.p - b.p))) np FROM c a JOIN c b USING (g) GROUP BY 1)"""
+
+
+@register("m12_kendall_spread", with_sql("SELECT g AS c_nationkey, (SELECT count(*) FROM c WHERE c.g = t.g) n, round(net / nullif(sqrt(ny * np), 0), 9) kendall_tau FROM t", _TAU))
+def kendall_spread(spark, sf_dir):
+    from heddle.operators import ordering as O
+
+    out = O.kendall_spread(table(spark, sf_dir, "customer").withColumn("p", F.col("c_custkey") % 37), ["c_nationkey"], "c_acctbal", "p")
+    return out.select("c_nationkey", "n", F.round("kendall_tau", 9).alias("kendall_tau"))
+
+
+@register("a18_exact_quantiles", " UNION ALL ".join(f"SELECT {p}::double AS prob, round(quantile_cont(l_extendedprice, {p}), 6) quantile FROM lineitem" for p in (0.05, 0.5, 0.95)))
+def exact_quantiles(spark, sf_dir):
+    """Of one group of all rows."""
+    from heddle.operators import ordering as O
+
+    out = O.exact_quantiles(table(spark, sf_dir, "lineitem"), [], "l_extendedprice", [0.05, 0.5, 0.95], 10_000)
+    return out.select("prob", F.round("quantile", 6).alias("quantile"))
+
+
+@register("w02_ranks_of_one_group", "SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity * 100 + l_partkey % 100) + (count(*) OVER (PARTITION BY l_quantity * 100 + l_partkey % 100) - 1) / 2.0 AS r FROM lineitem")
+def ranks_of_one_group(spark, sf_dir):
+    """Average ranks of all rows as one group, with ties, cut into ranges."""
+    from heddle.operators import ordering as O
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 100 + F.col("l_partkey") % 100).alias("v"))
+    return O.average_ranks(rows, [], "v", "r", 1000).select("l_orderkey", "l_linenumber", "r")
+
+
 _RESULTS = "res AS (SELECT CASE WHEN length(disease) % 2 = 0 THEN 'both' ELSE 'a' END cohort, disease, model, repeat, rmse spearman, rmse - 0.2 * length(disease) / 9 spearman_lo, rmse + 0.1 spearman_hi FROM (SELECT disease, 'drugmean' model, 0 repeat, round(sqrt(avg(pow(y - y_pred, 2))), 6) rmse FROM pred GROUP BY disease UNION ALL SELECT disease, 'mean', 0, round(sqrt(avg(pow(y - g, 2))), 6) FROM (SELECT disease, y, {g} g FROM d) GROUP BY disease))".format(g=_lfo(""))
 
 

@@ -235,6 +235,16 @@ def enrichment_significance(spark, sf_dir):
     return out.select("disease", "drug", "gs", "size", R6("es").alias("es"), F.round("nes", 5).alias("nes"), R6("p").alias("p"), R6("padj").alias("padj"))
 
 
+@register("m16_multilevel")
+def multilevel(spark, sf_dir):
+    """Enrichment p-values by multilevel splitting, for every (disease, drug) panel."""
+    from heddle.operators import splitting as S
+
+    sets = spark.range(64).select((F.col("id") % 8).alias("gs"), F.col("id").cast("int").alias("gene"))
+    stats = _rho(spark, sf_dir).withColumn("rho", F.round("rho", 9)).where("rho is not null")
+    return S.multilevel(stats, sets, ["disease", "drug"], "gene", "rho", "gs", chains=101)
+
+
 _FUSIONS = "SELECT cell, 'fus_' || f AS feature, coalesce(max(v), 0)::int AS value FROM (SELECT DISTINCT o_custkey cell FROM orders) CROSS JOIN (SELECT DISTINCT f FROM ev) LEFT JOIN ev USING (cell, f) GROUP BY ALL"
 _FUSION_EVENTS = "ev AS (SELECT DISTINCT o_custkey cell, o_orderpriority f, 1 v FROM orders WHERE upper(CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'no' END) = 'TRUE' AND (o_orderstatus = 'P' OR coalesce(try_cast(CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' ELSE (o_orderkey % 7)::varchar END AS double), 0) >= 3))"
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "heddle", cores: int | str | None = None, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -28,3 +30,20 @@ def ship_path(spark: SparkSession) -> SparkSession:
     """Lets Python workers find this package by the driver's path, where it isn't installed for them."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names.  Only a session in one process may go without: it gets a temporary folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not where and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="heddle-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """The rows written once, for plans that read them several times: they survive lost executors, and no memory is kept."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
