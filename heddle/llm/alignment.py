@@ -101,7 +101,7 @@ class Aligner:
 
     def encode_a(self, text: str) -> list[int]:
         try:
-            return self.fast.encode_ordinary(text)
+            return self.fast.encode(text, disallowed_special=())
         except ValueError:
             tool = _own_library(self.spec_path)
             return tool.encode(text, add_special_tokens=False).ids

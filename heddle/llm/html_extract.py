@@ -7,11 +7,17 @@
    Where they agree, the wrapper stays; a mismatch turns into an optional part, or into a repeated one if it repeats its
    neighbour; texts become slots, which remember whether all pages that have them had the same text there, the texts of
    a repeated group taken together.
-3. A page's main text stands in its best zone: article, main, content or the rest, without parts that are menus, headers,
-   footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by their element, role, class or id.
-4. In the rest, names say nothing, and the wrapper decides: each page is aligned with its host's wrapper again, and a slot that
-   has one and the same text on most of the host's pages, where other slots differ, is part of the form (a menu, a notice);
-   headings stay.  List items that are nothing but a link, and rows of links, are menus as well.
+3. A page's main text stands in its outermost zones: all of ``main`` with the articles in it, else articles.  Without these it
+   is what stands before and in the parts that are named content, else the whole page; a part named content beside a main or
+   article that has less text is main text as well.  Parts that are menus, headers, footers, sidebars, notices, adverts,
+   forms, scripts, styles or reader comments by their element, role, class or id are left out.
+4. Where names say nothing, the wrapper decides, in all zones alike: each page is aligned with its host's wrapper again, and a slot that
+   has one and the same text on most of the host's pages, where other slots differ, may be part of the form (a menu, a notice, a
+   share bar).  Equal text alone doesn't decide: it goes only with the largest part around it in which no text differs, if that is
+   a ``div`` or ``section`` (for links: or a list) and stands before the first or after the last text that differs, or is mostly
+   links.  Headings, paragraphs and other running text beside text that differs stay, and so does all that is undecided, as on the only
+   page of a host.  Outside named zones a list item that is nothing but a link, or a row of links, is a menu if it is
+   fixed or if no other text stands before it.
 
 A wrapper has a bound.  Below ``DEPTH`` levels, or inside a part that is not the article, elements are no longer told apart
 (their texts are, so nothing is lost); a level of over ``WIDTH`` parts becomes ``(a? b? c?)+`` over its elements' names, but
@@ -57,9 +63,12 @@ OUT_WORDS = frozenset(
 #: Headings, and elements of running text.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RUNNING = HEADINGS | frozenset("blockquote dd dt figure li p pre".split())
+BOXES, LISTS = frozenset("center div section".split()), frozenset("dl menu ol table ul".split())
 IN_WORDS = frozenset("article content entry main post story".split())
+#: Words after a name that only say where or how its part is laid out.
+LAYOUT = frozenset("area bar block bottom box container inner item items left links list middle outer right text top widget wrap wrapper".split())
 #: Zones by rank: article, main, content; the rest is last.
-REST = 3
+REST, NAMED = 3, 2
 
 _ATTRS = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
 _TOKEN = re.compile(
@@ -77,10 +86,10 @@ TEXT = "#"
 class Node:
     """An element, or a text leaf (label ``#``); ``rank`` is its zone, ``out`` says that it isn't part of the article."""
 
-    __slots__ = ("anchors", "depth", "kids", "label", "links", "out", "parts", "rank", "tag", "titles", "within")
+    __slots__ = ("anchors", "depth", "kids", "label", "links", "out", "parts", "rank", "tag", "titles", "up", "within")
 
     def __init__(self, tag: str, label: str, up: Node | None = None):
-        self.tag, self.label, self.kids, self.parts, self.links, self.anchors = tag, label, [], [], 0, 0
+        self.tag, self.label, self.kids, self.parts, self.links, self.anchors, self.up = tag, label, [], [], 0, 0, up
         self.depth, self.rank, self.out, self.within, self.titles = (up.depth + 1, up.rank, up.out, up.within, up.titles) if up else (0, REST, False, False, False)
 
     @property
@@ -95,8 +104,8 @@ def _label(tag: str, attrs: str) -> str:
     marks: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
         marks.setdefault(m[1].lower(), " ".join(sorted((m[2] or m[3] or m[4] or "").lower().split())))
-    # digits in ids and classes number things; they aren't part of the form
-    parts = [f"{k}={re.sub(r'[0-9]+', '9', marks[k])}" for k in ("class", "id", "role") if marks.get(k)]
+    # digits in ids and long numbers in classes number things; they aren't part of the form, but ``box1`` and ``box2`` may be
+    parts = [f"{k}={re.sub(r'[0-9]{2,}' if k == 'class' else r'[0-9]+', '9', marks[k])}" for k in ("class", "id", "role") if marks.get(k)]
     return f"{tag} {'|'.join(parts)}" if parts else tag
 
 
@@ -106,6 +115,15 @@ def _ends(token: str) -> set[str]:
     return {token, parts[0], parts[-1]} if parts else {token}
 
 
+def _named_out(token: str, key: str) -> bool:
+    """Whether a class or id names, inside an article or main part, something else: by itself, by its last word (classes
+    only: ids are often made of an article's words), or by a first word that only words of layout follow."""
+    parts = _PART.findall(token)
+    if token in OUT_WORDS or len(parts) > 1 and parts[0] in OUT_WORDS and LAYOUT.issuperset(parts[1:]):
+        return True
+    return key == "class" and bool(parts) and parts[-1] in OUT_WORDS
+
+
 @lru_cache(maxsize=20_000)
 def outside(label: str, within: bool = False) -> bool:
     """Whether a part of this form is something else than the article.
@@ -128,11 +146,20 @@ def outside(label: str, within: bool = False) -> bool:
         elif within and (tag in RUNNING or tag in INLINE):
             if (OUT_WORDS & {*value.split()}) - {"header"}:
                 return True
-        elif any(OUT_WORDS & _ends(token) for token in value.split()):
+        elif any(_named_out(token, key) if within else OUT_WORDS & _ends(token) for token in value.split()):
             return True
     return False
 
 
+@lru_cache(maxsize=20_000)
+def titled(label: str) -> bool:
+    """Whether a part within an article is a header, whose headings are the article's."""
+    tag, _, marks = label.partition(" ")
+    tokens = [t for v in re.findall(r"class=([^|]*)", marks) for t in v.split()]
+    named = [t for t in tokens if _named_out(t, "class")]
+    return tag == "header" or tag not in OUT_TAGS and bool(named) and all(_PART.findall(t)[-1] == "header" for t in named)
+
+
 @lru_cache(maxsize=20_000)
 def zone(label: str) -> int:
     """Rank of the zone that an element of this form opens."""
@@ -154,7 +181,7 @@ def _child(up: Node, tag: str, label: str) -> Node:
     if up.depth >= DEPTH and rank == up.rank and out == up.out:
         return up
     node = Node(tag, label, up)
-    node.titles = not up.titles and tag == "header" and up.rank == 0
+    node.titles = not up.titles and out and up.within and titled(label)
     node.rank, node.out, node.within = rank, out, up.within or rank < 2
     return node
 
@@ -434,29 +461,81 @@ class Wrapper:
         return walk(self.root, [root])
 
     def text(self, html: str) -> str:
-        root, best = parse(html), REST
-        chosen: dict[int, str] = {}
-        for leaf, slot, up in self.leaves(root):
-            if leaf.out or leaf.rank > best or not (text := leaf.text):
-                continue
-            if leaf.rank == REST and (_menu(leaf, up) or id(slot) in self.fixed and up.tag not in HEADINGS):
-                continue
-            best = leaf.rank
-            chosen[id(leaf)] = text
-        out, todo = [], [root]
+        root = parse(html)
+        slots = {id(leaf): slot for leaf, slot, _ in self.leaves(root)}
+        page, todo = [], [root]
         while todo:
             node = todo.pop()
-            if node.rank == best and id(node) in chosen:
-                out.append(chosen[id(node)])
+            if node.label == TEXT and not node.out and (text := node.text):
+                page.append((node, text, id(slots.get(id(node))) in self.fixed))
             todo += reversed(node.kids)
+        chosen = _zones(page)
+        form = _form(chosen) if any(fixed for _, _, fixed in chosen) else set()
+        out: list[str] = []
+        for leaf, text, fixed in chosen:
+            if id(leaf) in form or leaf.rank == REST and _links(leaf, text) and (fixed or not out):
+                continue
+            out.append(text)
         return " ".join(out)
 
 
-def _menu(leaf: Node, up: Node) -> bool:
-    """Whether a text outside named zones is a list item that is one link, or a row of links."""
-    if not leaf.links or leaf.links < len(_GAPS.sub("", leaf.text)):
+def _zones(page: list[tuple[Node, str, bool]]) -> list[tuple[Node, str, bool]]:
+    """The texts of a page's outermost zones, in page order."""
+    strong = [row for row in page if row[0].rank < NAMED]
+    named = [row for row in page if row[0].rank == NAMED]
+    if strong:
+        around = {id(_top(row[0])) for row in strong}
+        beside = [row for row in named if id(_top(row[0])) not in around]
+        size = lambda rows: sum(len(text) for _, text, _ in rows)
+        more = {id(row[0]) for row in beside} if size(beside) > size(strong) else set()
+        return [row for row in page if row[0].rank < NAMED or id(row[0]) in more]
+    if named:
+        first = next(k for k, row in enumerate(page) if row[0].rank == NAMED)
+        return page[:first] + named
+    return page
+
+
+def _top(leaf: Node) -> Node | None:
+    """The outermost part named content around a text."""
+    found, node = None, leaf
+    while node is not None:
+        found = node if node.rank == NAMED else found
+        node = node.up
+    return found
+
+
+def _form(rows: list[tuple[Node, str, bool]]) -> set[int]:
+    """The fixed texts that are part of the form by their place: ids of their leaves."""
+    differ = [k for k, (_, _, fixed) in enumerate(rows) if not fixed]
+    if not differ:
+        return set()
+    alive: set[int] = set()  # parts with a text that differs
+    for k in differ:
+        node = rows[k][0].up
+        while node is not None and id(node) not in alive:
+            alive.add(id(node))
+            node = node.up
+    parts: dict[int, list] = {}
+    for k, (leaf, text, fixed) in enumerate(rows):
+        node = leaf
+        while fixed and node.up is not None and id(node.up) not in alive and node.up.tag not in ("", "html", "body", "article", "main"):
+            node = node.up
+        if fixed and node is not leaf:
+            parts.setdefault(id(node), [node.tag, []])[1].append((k, leaf, len(_GAPS.sub("", text))))
+    out = set()
+    for tag, texts in parts.values():
+        linked = 2 * sum(min(leaf.links, size) for _, leaf, size in texts) >= sum(size for _, _, size in texts) > 0
+        edge = texts[-1][0] < differ[0] or texts[0][0] > differ[-1]
+        if tag in BOXES and (edge or linked) or tag in LISTS and linked:
+            out |= {id(leaf) for _, leaf, _ in texts if leaf.up.tag not in HEADINGS or linked}
+    return out
+
+
+def _links(leaf: Node, text: str) -> bool:
+    """Whether a text is a list item that is one link, or a row of links."""
+    if not leaf.links or leaf.links < len(_GAPS.sub("", text)):
         return False
-    return up.tag in ("li", "dt", "dd") or up.tag not in RUNNING and leaf.anchors > 0
+    return leaf.up.tag in ("li", "dt", "dd") or leaf.up.tag not in RUNNING and leaf.anchors > 0
 
 
 @lru_cache(maxsize=512)

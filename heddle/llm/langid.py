@@ -14,8 +14,8 @@ vectors is 1 less their cosine.
 Defined results: a null text and one without a letter are ``und`` with score 0, never learned from; without learning rows every
 text is ``und``; a null language is not learned; a text of any length is read whole, in pieces; ties go to the language that
 sorts first; repeated rows count each; only the id, text and language columns are read, the latter only of learning rows;
-an empty table gives an empty result.  The score is the nearest centroid's cosine share against the best other language,
-``1 / (1 + exp(-sharpness * (own - other)))``, so between 0 and 1.
+an empty table gives an empty result.  The score is ``1 / (1 + exp(-sharpness * (own - other)))`` of the nearest centroid's cosine
+and that of the best other language (0 if there is none), so between 0 and 1.
 """
 
 from __future__ import annotations

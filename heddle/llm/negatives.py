@@ -269,7 +269,7 @@ def build(rows: DataFrame, shard_rows: int = 8192, max_pivots: int = 512) -> Ind
     """The index of (id, label, v); None for an empty table."""
     spark = rows.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    count, most, width, largest = rows.agg(F.count("*"), F.max(square), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.greatest(x, -(x + 1)))))).first()
+    count, most, width, largest = rows.agg(F.count("*"), F.max(square), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.greatest(x, F.bitwise_not(x)))))).first()
     if not count:
         return None
     width = max(1, width)

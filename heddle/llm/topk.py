@@ -19,7 +19,8 @@ high score.  Trees live in that space; scores are integers, computed exactly.
 Ties go to the smaller id: only what is farther than the k-th best, beyond rounding, is cut off.
 
 Defined results: vectors that are null or hold nulls or non-finite components take no part; a shorter vector counts as
-padded with zeros; components are floor(scale * x) and must stay below 2**26 in size, so that sums are exact;
+padded with zeros; components are floor(scale * x), sums are exact, and components so large that a score may not fit a long
+raise an error;
 candidates with the query's id are its own row; repeated candidate rows are candidates each, and a repeated query id is
 asked once, with its smallest vector; an empty table gives an empty result; only the id and vector columns are read.
 """
@@ -218,8 +219,11 @@ def routes(whole: DataFrame, k: int, shard_rows: int, max_pivots: int = 4096) ->
     """Candidates (shard, id, v) and queries (shard, id, v, floor) of a table (id, v, q); a query is in each shard that it must see."""
     spark = whole.sparkSession
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    rows, most, width = whole.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
+    size = F.array_max(F.transform("v", lambda x: F.greatest(x, F.bitwise_not(x))))  # has no overflow at the least long
+    rows, most, width, largest = whole.agg(F.count("*"), F.max(square), F.max(F.size("v")), F.max(size)).first()
     width = width or 0
+    if (int(largest or 0) + 1) ** 2 * max(1, width) >= 1 << 63:
+        raise ValueError(f"components up to {largest} in {width} dimensions: scores may not fit a long")
     # at most max_pivots pivots, and at most 2 million of their components
     wanted = int(max(16, min(max_pivots, 4 * (rows or 0) ** 0.5, 2_000_000 // max(1, width))))
     chosen = whole.orderBy(F.xxhash64("id", "v"), "id").limit(wanted).select("id", "v").collect()
