@@ -48,11 +48,11 @@ def documents(cells: DataFrame, broad: DataFrame, mech: DataFrame, cell: str, na
     """(cell, document): nested struct per cell.  Arms are collected per disease, which bounds them by their top-N,
     and only then joined with the cells; ``line`` has (cell, drug, line_sens, ic50) for the cell's own values."""
     own = line.select(cell, drug, nan_to_null(F.col("line_sens")).alias("line_sens"), nan_to_null(F.col("ic50")).alias("ic50"))
-    arms = cells.select(cell, disease).join(F.broadcast(broad), disease).join(own, [cell, drug], "left")
+    arms = cells.select(cell, disease).join(broad, disease).join(own, [cell, drug], "left")
     first = arms.groupBy(cell).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(drug).alias("drug"), F.round("disease_sens", 3).alias("disease_sens"), F.round("line_sens", 3).alias("line_sens"), F.round("ic50", 3).alias("ic50_uM"), "n_lines"))).alias("broad_spectrum"))
     second = mech.groupBy(disease).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(drug).alias("drug"), F.round("perm_p", 4).alias("perm_p"), F.round("perm_z", 2).alias("perm_z"), F.round("rho", 3).alias("rho")))).alias("mechanism"))
     n = cells.groupBy(disease).agg(F.count("*").alias("n_disease_lines"))
-    out = cells.join(first, cell, "left").join(F.broadcast(second), disease, "left").join(F.broadcast(n), disease)
+    out = cells.join(first, cell, "left").join(second, disease, "left").join(n, disease)
     mixed = F.col(disease).startswith("SITE_") | (F.upper(disease) == "UNABLE TO CLASSIFY")
     empty = lambda c: F.coalesce(F.col(c), F.array())
     return out.select(

@@ -258,6 +258,23 @@ def nested_cv(df: DataFrame, panel: list[str], group: str, y: str, vector: str,
     return tasks.groupBy(*panel, "repeat").applyInPandas(run, f"{kinds}, repeat int, id string, y double, y_pred double, fold int, ok boolean, error string")
 
 
+def optimism(df: DataFrame, panel: list[str], group: str, y: str, vector: str, name: str, outer: int = 5, inner: int = 4, repeats: int = 1, seed: int = 0, ident: str | None = None) -> DataFrame:
+    """What tuning on all rows feigns: (panel, flat, nested, optimism) of Spearman, RMSE and R2, mean over repeats.
+
+    ``flat`` chose its parameters with the held-out rows in sight, ``nested`` did not; optimism is by how much flat looks better.
+    """
+    from heddle.operators.evaluate import regression_metrics
+
+    def measured(flat: bool) -> DataFrame:
+        done = nested_cv(df, panel, group, y, vector, name, outer, inner, repeats, seed, flat, ident).where("ok").withColumn("y_pred", F.round("y_pred", 9))
+        met = regression_metrics(done, [*panel, "repeat"])
+        kind = "flat" if flat else "nested"
+        return met.groupBy(*panel).agg(*(F.avg(m).alias(f"{kind}_{m}") for m in ("spearman", "rmse", "r2")))
+
+    both = measured(True).join(measured(False), panel)
+    return both.select("*", (F.col("flat_spearman") - F.col("nested_spearman")).alias("optimism_spearman"), (F.col("nested_rmse") - F.col("flat_rmse")).alias("optimism_rmse"), (F.col("flat_r2") - F.col("nested_r2")).alias("optimism_r2"))
+
+
 def spark_elastic_net(alpha: float, l1: float, sd_y: float) -> tuple[float, float]:
     """Spark's (regParam, elasticNetParam) for the penalty above; Spark scales the label by its deviation first."""
     reg = alpha * l1 + alpha * (1 - l1) * sd_y

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions.stats import keep_first
 from heddle.functions.text import to_float
 from heddle.operators import layers as L
+from heddle.sources import tables
 
 #: The layers in the order in which they are built, and how their gaps are filled.
 LAYERS = {
@@ -73,3 +74,53 @@ def summary(layers: dict[str, DataFrame], universe: DataFrame, kinds: dict[str,
         one = layer.agg(F.countDistinct("feature").alias("n_features")).crossJoin(counts).select(F.lit(name).alias("layer"), "n_features", "n_cells_total", "n_cells_in_universe", F.lit(kinds[name]).alias("kind"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: The cleaner of each layer; all give (cell, feature, value).
+CLEANERS = {
+    "mutations": mutations, "fusions": fusions, "methylation": methylation, "metabolomics": numeric_layer, "rppa": numeric_layer,
+    "mirna": numeric_layer, "chromatin": numeric_layer, "cn_summary": numeric_layer,
+}
+
+
+def kind_of(layer: DataFrame) -> str:
+    """Whole numbers are presence, so their gaps are zeros; other values get their feature's mean."""
+    return "binary" if layer.schema["value"].dataType.typeName() in ("byte", "short", "integer", "long", "boolean") else "continuous"
+
+
+def clean(sources: dict[str, dict]) -> dict[str, DataFrame]:
+    """Each named layer by its registered cleaner, with that cleaner's arguments."""
+    unknown = [n for n in sources if n not in CLEANERS]
+    if unknown:
+        raise KeyError(f"unknown layers {unknown}; known: {', '.join(CLEANERS)}")
+    return {n: CLEANERS[n](**sources[n]) for n in CLEANERS if n in sources}
+
+
+def build(layers: dict[str, DataFrame], samples: DataFrame, path: str, slices: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Writes all layers and their slices by disease, and returns (coverage, summary), which it writes as well.
+
+    ::
+
+        path/all/<layer>                       (cell, feature, value)
+        path/by_disease/<layer>/disease_slug=  the rows of the disease's cells
+        path/coverage, path/layer_summary      delimited text
+
+    A layer is cleaned and written once; slices, coverage and summary read what was written.
+    """
+    spark = samples.sparkSession
+    stored = {}
+    for name, layer in layers.items():
+        layer.write.mode("overwrite").parquet(f"{path}/all/{name}")
+        stored[name] = spark.read.parquet(f"{path}/all/{name}")
+        if slices:
+            own = stored[name].join(samples.select("cell", "disease"), "cell")
+            tables.write_partitioned(own, f"{path}/by_disease/{name}", "disease")
+    has = None
+    for name, layer in stored.items():
+        one = layer.select("cell").distinct().withColumn("layer", F.lit(name))
+        has = one if has is None else has.unionByName(one)
+    coverage = L.coverage(samples, has, "disease", "cell", "layer", list(stored))
+    found = summary(stored, samples, {n: kind_of(layer) for n, layer in stored.items()})
+    tables.write_text(coverage, f"{path}/coverage")
+    tables.write_text(found, f"{path}/layer_summary")
+    return coverage, found

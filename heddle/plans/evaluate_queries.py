@@ -255,6 +255,12 @@ def flat_tuning(spark, sf_dir):
     return M.nested_cv(_design(spark, sf_dir), ["disease", "drug"], "cell", "y", "vector", "signature", outer=5, inner=4, flat=True)
 
 
+@register("m26_optimism_audit")
+def optimism_audit(spark, sf_dir):
+    """Flat against nested tuning of the signature model, per (disease, drug) panel."""
+    return M.optimism(hold(_design(spark, sf_dir)), ["disease", "drug"], "cell", "y", "vector", "signature", outer=5, inner=4)
+
+
 @register("m13_pca")
 def pca(spark, sf_dir):
     return M.pca(_design(spark, sf_dir), ["disease", "drug"], "cell", "vector", 5)

@@ -289,13 +289,14 @@ def methylation(spark, sf_dir):
     return _methylation(spark, sf_dir).withColumn("value", R6("value"))
 
 
-@register("l02_l03_l04_resolved_layers", "SELECT c_custkey // 2 AS cell, 'rppa_' || f AS feature, v AS value FROM (SELECT c_custkey, unnest(['bal', 'seg']) f, unnest([c_acctbal, NULL]) v FROM customer) WHERE c_custkey % 2 = 0 AND c_custkey % 7 <> 0")
+@register("l02_l03_l04_resolved_layers", "SELECT cell, 'rppa_' || f AS feature, CASE WHEN f = 'bal' THEN v END AS value FROM (SELECT c_custkey // 2 AS cell, arg_min(c_acctbal, c_custkey) v FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1), (VALUES ('bal'), ('seg')) t(f)")
 def resolved_layers(spark, sf_dir):
+    """Two samples resolve to one cell: the first counts."""
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer")
     wide = c.select(k.alias("sample"), F.col("c_acctbal").cast("string").alias("bal"), F.col("c_mktsegment").alias("seg"))
     ladder = c.select(k.alias("sample"), F.when(k % 7 != 0, F.floor(k / 2)).alias("cell"))
-    return O.numeric_layer(wide.where("sample % 2 = 0"), "sample", ["bal", "seg"], ladder, "rppa_")
+    return O.numeric_layer(wide, "sample", ["bal", "seg"], ladder, "rppa_")
 
 
 @register("l09_annotation", "SELECT p_partkey, p_brand FROM part")
@@ -317,6 +318,22 @@ def layer_summary(spark, sf_dir):
     return O.summary(layers, universe)
 
 
+_COVERED = "SELECT {d} disease, count(*) n_cells, count(*) FILTER (WHERE cell IN (SELECT cell FROM mu)) mutations, count(*) FILTER (WHERE cell IN (SELECT cell FROM fu)) fusions, count(*) FILTER (WHERE cell IN (SELECT cell FROM expression)) chromatin FROM cs GROUP BY 1"
+
+
+@register("l10_a20_layer_driver", with_sql(_COVERED.format(d="disease"), _MUTATION_EVENTS, _FUSION_EVENTS, f"fu AS ({_FUSIONS})", EXPRESSION, "cs AS (SELECT c_custkey cell, c_mktsegment disease FROM customer)"))
+def layer_driver(spark, sf_dir):
+    """Layers written with their slices by disease; the coverage that the driver reports."""
+    import uuid
+
+    from heddle.session import shared_folder
+
+    samples = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("disease"))
+    layers = {"mutations": _mutations(spark, sf_dir), "fusions": _fusions(spark, sf_dir), "chromatin": expression(spark, sf_dir).withColumnRenamed("gene", "feature")}
+    coverage, _ = O.build(layers, samples, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    return coverage.select("disease", "n_cells", "mutations", "fusions", "chromatin")
+
+
 @register(
     "m15_single_sample_enrichment",
     with_sql(

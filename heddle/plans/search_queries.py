@@ -119,6 +119,15 @@ def best_match(spark, sf_dir):
     return V.best_match(a, a, "label", "vec_id", "vector", pairs).select("a", "b", R6("similarity").alias("similarity"))
 
 
+@register(
+    "v10_best_match_all",
+    with_sql("SELECT r.a, r.b, round((r.m + c.m) / 2, 6) similarity FROM (SELECT a, b, avg(m) m FROM (SELECT a, b, i, max(s) m FROM sims GROUP BY ALL) GROUP BY ALL) r JOIN (SELECT a, b, avg(m) m FROM (SELECT a, b, j, max(s) m FROM sims GROUP BY ALL) GROUP BY ALL) c ON r.a = c.a AND r.b = c.b", _ATLAS, "sims AS (SELECT x.label a, y.label b, x.vec_id i, y.vec_id j, greatest(-1.0, least(1.0, list_dot_product(x.v, y.v))) s FROM atlas x JOIN atlas y ON x.label < y.label)"),
+)
+def best_match_all(spark, sf_dir):
+    """Every pair of labels, from blocks."""
+    return V.best_match_all(_atlas(spark, sf_dir), "label", "vec_id", "vector", 64).select("a", "b", R6("similarity").alias("similarity"))
+
+
 @register(
     "j13_v12_nes_correlation",
     with_sql(f"SELECT a, b, count(*) shared, CASE WHEN count(*) >= 2 AND NOT isnan(corr(rx, ry)) THEN round(corr(rx, ry), 6) END rho FROM (SELECT a, b, {AVG_RANK.format(p='a, b', v='x')} rx, {AVG_RANK.format(p='a, b', v='y')} ry FROM (SELECT p.result a, q.result b, p.nes x, q.nes y FROM k p JOIN k q ON p.pathway = q.pathway AND p.result < q.result)) GROUP BY ALL", _GSEA, _KEPT, "k AS (SELECT * FROM kept WHERE rk <= 20)"),

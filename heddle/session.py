@@ -8,6 +8,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "heddle", cores: int | str | None = None, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -47,3 +48,8 @@ def hold(df: DataFrame) -> DataFrame:
     """The rows written once, for plans that read them several times: they survive lost executors, and no memory is kept."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """With a broadcast hint if it has at most so many rows, which is checked; else as it is, for Spark to join by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

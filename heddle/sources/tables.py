@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,13 +12,13 @@ from pyspark.sql.types import StructType
 from heddle.functions.text import blank_to_null, file_safe, name_prefix, slug, split_genes, to_float, to_int
 
 
-def read_table(spark: SparkSession, path: str, sep: str | None = None, schema: StructType | str | None = None) -> DataFrame:
-    """By the path's ending: spreadsheets (where a reader is installed), tab or comma separated text, Parquet, JSON."""
+def read_table(spark: SparkSession, path: str, sep: str | None = None, schema: StructType | str | None = None, sheet: str | None = None) -> DataFrame:
+    """By the path's ending: spreadsheets (the first sheet or a named one), tab or comma separated text, Parquet, JSON."""
     low = path.lower().removesuffix(".gz")
-    if low.endswith((".xlsx", ".xls")):
-        import pandas as pd
+    if low.endswith((".xlsx", ".xlsm")):
+        from heddle.sources.workbook import read_workbook
 
-        return spark.createDataFrame(pd.read_excel(path))  # a driver-side format
+        return read_workbook(spark, path, sheet)
     if low.endswith(".parquet"):
         return spark.read.parquet(path)
     if low.endswith((".json", ".jsonl")):
@@ -73,8 +74,8 @@ def parse_text_table(spark: SparkSession, text: str) -> DataFrame:
     if not lines:
         return spark.createDataFrame([], "description string, nes double, padj double")
     sep = "\t" if lines[0].count("\t") >= lines[0].count(",") else ","
-    names = [c.strip().strip('"') for c in lines[0].split(sep)]
-    schema = ", ".join(f"`{n}` string" for n in names)
+    names = [c.strip() for c in next(csv.reader([lines[0]], delimiter=sep))]  # a quoted name may hold the separator
+    schema = ", ".join("`{}` string".format(n.replace("`", "``")) for n in names)
     raw = spark.createDataFrame([(line,) for line in lines[1:]], "line string")
     return gsea_rows(raw.select(F.from_csv("line", F.lit(schema), {"sep": sep}).alias("r")).select("r.*"))
 
@@ -139,7 +140,10 @@ def write_records(df: DataFrame, path: str) -> None:
 
 
 def write_documents(df: DataFrame, path: str, key: str, document: str) -> None:
-    """One compact JSON document per key, in a folder per key, and a sorted index of the keys."""
+    """One compact JSON document per key, in a folder per key, and a sorted index of the keys.
+
+    ``document_sink`` writes a file per key and publishes all of them in one commit, where driver and executors share the folder.
+    """
     text = df.select(F.col(key).cast("string").alias("key"), F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
     text.write.mode("overwrite").partitionBy("key").text(f"{path}/documents")
     text.select("key").orderBy("key").write.mode("overwrite").json(f"{path}/index")
