@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.stats import average_rank, md5_order, safe_corr
 from heddle.operators import ordering
+from heddle.session import hold
 
 
 def folds(df: DataFrame, group: str, k: int = 5, repeats: int = 1, seed: int = 0) -> DataFrame:
@@ -111,6 +112,7 @@ def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str =
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     pairs = df.where(ok(y) & ok(pred))
     if spread:
+        pairs = hold(pairs)
         ranked = ordering.average_ranks(ordering.average_ranks(pairs, keys, y, "__ry"), keys, pred, "__rp")
     else:
         ranked = pairs.withColumn("__ry", average_rank(y, *keys)).withColumn("__rp", average_rank(pred, *keys))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.session import hold
+
 _SAMPLES = 64
 
 
@@ -31,7 +33,7 @@ class Ranges:
 
     def __init__(self, df: DataFrame, keys: list[str], value: str, rows: int = 200_000, most_ranges: int = 20_000):
         self.keys, self.value = keys, value
-        counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+        counts = hold(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c")))  # read for sizes, sample, offsets and ranks
         sizes = counts.groupBy(*keys).agg(F.count("*").alias("__m"))
         total = sizes.agg(F.sum("__m")).first()[0] or 0
         held = max(rows, 1, -(-total // most_ranges))
@@ -210,6 +212,34 @@ def _weighted_inversions(v: np.ndarray, c: np.ndarray) -> float:
     return total
 
 
+def line_ranks(line: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Ranks from 1 inside each line, ties averaged; NaN is the largest value and equal to itself, as in Spark."""
+    odd = np.isnan(v)
+    plain = np.where(odd, 0.0, v)
+    order = np.lexsort((plain, odd, line))
+    cut = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (line, odd, plain)], axis=0)) if len(order) else np.zeros(0, bool)
+    start = np.flatnonzero(cut)
+    size = np.diff(np.append(start, len(order)))
+    first = np.searchsorted(line[order], line[order])
+    out = np.empty(len(v))
+    out[order] = np.repeat(start + (size - 1) / 2.0, size) - first + 1
+    return out
+
+
+def line_spearman(line: np.ndarray, a: np.ndarray, b: np.ndarray, has_a: np.ndarray, has_b: np.ndarray, lines: int) -> np.ndarray:
+    """Rank correlation per line of the rows that have both; ranks are among all that have the value.  NaN without spread."""
+    ra, rb = np.zeros(len(a)), np.zeros(len(b))
+    ra[has_a], rb[has_b] = line_ranks(line[has_a], a[has_a]), line_ranks(line[has_b], b[has_b])
+    both = has_a & has_b
+    at, x, y = line[both], ra[both], rb[both]
+    n = np.bincount(at, minlength=lines)
+    total = lambda v: np.bincount(at, weights=v, minlength=lines)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x, y = x - (total(x) / n)[at], y - (total(y) / n)[at]
+        spread = total(x * x) * total(y * y)
+        return np.where(spread > 0, total(x * y) / np.sqrt(spread), np.nan)
+
+
 RANKING = "n_items int, topk_hit_rate double, kendall_tau double, spearman double, ndcg double"
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.functions.stats import average_rank, benjamini_hochberg
+from heddle.functions.stats import benjamini_hochberg
+from heddle.operators import ordering
 
 
 def cohort_filter(df: DataFrame, cohort: str, column: str = "cohort") -> DataFrame:
@@ -69,13 +74,23 @@ def shards(df: DataFrame, group: str, item: str, size: int) -> DataFrame:
 def spearman_features(expression: DataFrame, response: DataFrame, panel: list[str], cell: str, feature: str, value: str, y: str, sign: float = -1.0) -> DataFrame:
     """Rank correlation of every feature with ``sign * y`` in each panel; null without spread.
 
-    The response ranks are made before the join, the feature ranks after it; both joins are on the cell.
+    One shuffle makes an array of each (panel, feature), as long as the panel has cells; batches of arrays are ranked at once.
     """
-    met = response.join(expression, cell)
-    ranked = met.withColumn("__rx", average_rank(value, *panel, feature)).withColumn("__s", sign * F.col(y)).withColumn("__ry", average_rank("__s", *panel, feature))
-    from heddle.functions.stats import safe_corr
+    met = response.select(*panel, cell, F.col(y).cast("double").alias("__y")).join(expression.select(cell, feature, F.col(value).cast("double").alias("__v")), cell)
+    lists = met.groupBy(*panel, feature).agg(F.collect_list(F.struct("__v", "__y")).alias("__r")).select(*panel, feature, F.col("__r.__v").alias("__v"), F.col("__r.__y").alias("__y"))
+    keys = [*panel, feature]
+    kinds = ", ".join(f"`{k}` {lists.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, t = batch.column(len(keys)), batch.column(len(keys) + 1)
+            n = x.value_lengths().to_numpy(zero_copy_only=False)
+            line = np.repeat(np.arange(len(batch)), n)
+            (a, has_a), (b, has_b) = ((c.flatten().to_numpy(zero_copy_only=False), c.flatten().is_valid().to_numpy(zero_copy_only=False)) for c in (x, t))
+            rho = ordering.line_spearman(line, a, sign * b, has_a, has_b, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(n, pa.int64()), pa.array(rho, pa.float64(), from_pandas=True)], names=[*keys, "n", "rho"])
 
-    return ranked.groupBy(*panel, feature).agg(F.count("*").alias("n"), safe_corr("__rx", "__ry").alias("rho"))
+    return lists.mapInArrow(run, f"{kinds}, n long, rho double")
 
 
 def ranked_list(rho: DataFrame, panel: list[str], feature: str) -> DataFrame:
@@ -88,24 +103,53 @@ def enrichment(stats: DataFrame, sets: DataFrame, panel: list[str], feature: str
 
     Down the ranked list a hit adds ``|stat|^exponent`` over its sum, a miss subtracts 1 / misses; the score is the sum
     furthest from 0.  Hits only change the sum at their own place, so just these rows are formed, with the misses
-    before them in closed form: rows grow with set memberships, not with panels x sets x features.
+    before them in closed form: rows grow with set memberships, not with panels x sets x features.  The hits of a panel and set
+    are one sorted array, no longer than the panel's list, and batches of these are summed at once.
     """
     w = Window.partitionBy(*panel)
     ranked = stats.withColumn("__r", F.row_number().over(w.orderBy(F.desc(stat), F.asc(feature)))).withColumn("__n", F.count("*").over(w))
-    hits = ranked.join(sets.select(F.col(name), F.col(feature)).distinct(), feature).withColumn("__w", F.pow(F.abs(stat), exponent))
-    g = Window.partitionBy(*panel, name)
-    run = g.orderBy("__r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hits = hits.withColumn("__k", F.row_number().over(g.orderBy("__r"))).withColumn("size", F.count("*").over(g)).where((F.col("size") >= least) & (F.col("size") <= most))
-    share = F.when(F.sum("__w").over(g) > 0, F.sum("__w").over(run) / F.sum("__w").over(g)).otherwise(F.col("__k") / F.col("size"))
-    miss = F.when(F.col("__n") > F.col("size"), (F.col("__r") - F.col("__k")) / (F.col("__n") - F.col("size"))).otherwise(0.0)
-    own = F.when(F.sum("__w").over(g) > 0, F.col("__w") / F.sum("__w").over(g)).otherwise(1 / F.col("size"))
-    steps = hits.withColumn("__top", share - miss).withColumn("__low", share - own - miss)  # just after and just before a hit
-    ends = steps.groupBy(*panel, name, "size").agg(F.max("__top").alias("top"), F.min("__low").alias("low"), F.min_by("__r", F.struct(-F.col("__top"), F.col("__r"))).alias("__at_top"), F.min_by("__r", F.struct("__low", -F.col("__r"))).alias("__at_low"))
-    up = F.round("top", 9) >= -F.round("low", 9)  # equal depths both ways count as up, whatever the last bits
-    ends = ends.withColumn("es", F.when(up, F.col("top")).otherwise(F.col("low"))).withColumn("__up", up)
-    met = hits.select(*panel, name, feature, "__r").join(ends, [*panel, name])
-    edge = F.when(F.col("__up"), F.col("__r") <= F.col("__at_top")).otherwise(F.col("__r") >= F.col("__at_low"))
-    return met.groupBy(*panel, name, "size", "es").agg(F.array_join(F.array_sort(F.collect_list(F.when(edge, F.col(feature).cast("string")))), "/").alias("leading_edge"))
+    hits = ranked.join(sets.select(F.col(name), F.col(feature)).distinct(), feature)
+    entry = F.struct(F.col("__r").alias("r"), F.pow(F.abs(stat), exponent).cast("double").alias("w"), F.col(feature).cast("string").alias("f"))
+    gathered = hits.groupBy(*panel, name).agg(F.count("*").cast("long").alias("size"), F.max("__n").cast("long").alias("__n"), F.array_sort(F.collect_list(entry)).alias("__h"))
+    lists = gathered.where((F.col("size") >= least) & (F.col("size") <= most))
+    keys = [*panel, name, "size"]
+    kinds = ", ".join(f"`{k}` {lists.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = {c: batch.column(batch.schema.get_field_index(c)) for c in (*keys, "__n", "r", "w", "f")}
+            size = own["size"].to_numpy()
+            r, weight, f = own["r"].flatten().to_numpy(), own["w"].flatten().to_numpy(), own["f"].flatten().to_pylist()
+            scores, edges = running_sums(size, own["__n"].to_numpy(), r, weight)
+            ends = np.cumsum(size)
+            told = ["/".join(sorted(x for x, e in zip(f[i:j], edges[i:j], strict=True) if e)) for i, j in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(own[k] for k in keys), pa.array(scores), pa.array(told, pa.string())], names=[*keys, "es", "leading_edge"])
+
+    return lists.select(*keys, "__n", F.col("__h.r").alias("r"), F.col("__h.w").alias("w"), F.col("__h.f").alias("f")).mapInArrow(run, f"{kinds}, es double, leading_edge string")
+
+
+def running_sums(size: np.ndarray, n: np.ndarray, r: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of sets whose hits stand one after another, with ranks from 1 of n, and which hits are in the leading edge."""
+    start = np.cumsum(size) - size
+    at = np.repeat(np.arange(len(size)), size)
+    k = np.arange(len(r)) - start[at] + 1
+    total = np.add.reduceat(weight, start)[at]
+    own = np.divide(weight, total, out=1.0 / size[at], where=total > 0)
+    run = np.cumsum(own)
+    share = run - (run[start] - own[start])[at]
+    misses = (n - size)[at]
+    miss = np.divide((r - k).astype(float), misses, out=np.zeros(len(r)), where=misses > 0)
+    top, low = share - miss, share - own - miss  # just after and just before a hit
+    most, least = np.maximum.reduceat(top, start), np.minimum.reduceat(low, start)
+    up = np.round(most, 9) >= -np.round(least, 9)  # equal depths both ways count as up, whatever the last bits
+    first = np.full(len(size), len(r))
+    np.minimum.at(first, at[top == most[at]], np.flatnonzero(top == most[at]))
+    last = np.full(len(size), -1)
+    np.maximum.at(last, at[low == least[at]], np.flatnonzero(low == least[at]))
+    place = np.arange(len(r))
+    return np.where(up, most, least), np.where(up[at], place <= first[at], place >= last[at])
 
 
 def enrichment_significance(stats: DataFrame, sets: DataFrame, panel: list[str], feature: str, stat: str, name: str, perms: int = 1000, seed: int = 0, exponent: float = 1.0, least: int = 5, most: int = 500) -> DataFrame:

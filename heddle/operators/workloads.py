@@ -5,6 +5,10 @@ Each unit of work is a group of one distributed plan, so a sweep needs no shard
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +199,38 @@ def embed_names(names: DataFrame, cache: DataFrame, name: str, vector: str) -> D
     return names.join(cache.dropDuplicates([name]).select(name, vector), name, "left")
 
 
+def letter_encoder(width: int = 8) -> Callable[[list[str]], np.ndarray]:
+    """An encoder that needs no model: how many of a name's characters have each code modulo ``width``."""
+
+    def encode(names: list[str]) -> np.ndarray:
+        return np.array([np.bincount([ord(c) % width for c in n], minlength=width) for n in names], float).reshape(len(names), width)
+
+    return encode
+
+
+def embed(names: DataFrame, cache: DataFrame, name: str, vector: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The names with their vectors, by exact key from the cache, else from the encoder; and the rows the cache lacks.
+
+    ``encoder`` makes the model.  Tasks call it when they meet their first unknown name, so a run that the cache can answer loads none;
+    each unknown name is encoded once, in batches.  Null and blank names have no vector.
+    """
+    own = names.select(name).where(F.col(name).isNotNull() & (F.trim(name) != "")).distinct()
+    missing = own.join(cache.select(name), name, "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for part in batches:
+            for at in range(0, len(part), batch):
+                some = part.column(0).slice(at, batch)
+                if len(some):
+                    model = model or encoder()
+                    yield pa.RecordBatch.from_arrays([some, pa.array([v.tolist() for v in model(some.to_pylist())], pa.list_(pa.float64()))], names=[name, vector])
+
+    fresh = hold(missing.mapInArrow(run, f"`{name}` string, `{vector}` array<double>"))
+    every = cache.dropDuplicates([name]).select(name, F.col(vector).cast("array<double>").alias(vector)).unionByName(fresh)
+    return names.join(every, name, "left"), fresh
+
+
 def gene_sets(df: DataFrame, name: str, gene: str) -> DataFrame:
     """Distinct (set, gene) pairs without blanks."""
     return df.select(F.trim(name).alias(name), F.trim(gene).alias(gene)).where((F.col(name) != "") & (F.col(gene) != "")).distinct()

@@ -21,7 +21,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.when(F.col("l_linestatus") == "O", "A").otherwise("B").alias("cohort"), F.col("o_custkey").alias("cell"), F.col("c_name").alias("cell_name"), F.col("p_brand").alias("drug"), F.col("p_name").alias("drug_name"),
             F.col("p_type").alias("target"), F.col("c_mktsegment").alias("disease"), F.col("l_extendedprice").alias("auc"), F.col("l_quantity").alias("qty"),
-            F.concat_ws("|", *(F.lpad(F.col(c).cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("ord"),
+            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"),
         )
     )
 

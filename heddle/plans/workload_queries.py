@@ -184,3 +184,16 @@ def embed_names(spark, sf_dir):
     names = L.gene_sets(p, "p_brand", "p_name")
     cache = p.where("p_partkey % 5 = 0").select("p_brand", F.array(F.lit(1.0)).alias("vector"))
     return L.embed_names(names, cache, "p_brand", "vector").select("p_brand", F.col("vector").isNotNull().alias("known"))
+
+
+@register(
+    "v04_embed_missing",
+    "WITH n AS (SELECT p_name, min(p_partkey) k FROM part GROUP BY 1) SELECT p_name, k % 2 = 0 AS cached, CASE WHEN k % 2 = 0 THEN [1.0, 0, 0, 0, 0, 0, 0, 0] ELSE list_transform(range(8), lambda b: len(list_filter(string_split(p_name, ''), lambda c: ascii(c) % 8 = b))::double) END::varchar AS vector FROM n",
+)
+def embed_missing(spark, sf_dir):
+    """Half of the names are in the cache; the encoder gives the others."""
+    n = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    unit = F.array(*(F.lit(1.0 if b == 0 else 0.0) for b in range(8)))
+    out, _ = L.embed(n.select("p_name"), n.where("k % 2 = 0").select("p_name", unit.alias("v")), "p_name", "v", L.letter_encoder)
+    shown = F.concat(F.lit("["), F.array_join(F.transform("v", lambda x: x.cast("string")), ", "), F.lit("]"))
+    return out.join(n, "p_name").select("p_name", (F.col("k") % 2 == 0).alias("cached"), shown.alias("vector"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -40,7 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not where and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="heddle-checkpoint-"))
+        if not where:
+            where = tempfile.mkdtemp(prefix="heddle-checkpoint-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
+        context.setCheckpointDir(where)
     return context.getCheckpointDir()
 
 

@@ -108,3 +108,19 @@ def test_spread_metrics_equal_the_window(spark):
     df = spark.createDataFrame([(k % 2, float(rng.normal()), float(rng.integers(0, 9))) for k in range(500)], "repeat int, y double, y_pred double")
     a, b = (sorted(map(tuple, E.regression_metrics(df, ["repeat"], spread=s).collect())) for s in (False, True))
     assert np.allclose(np.array(a), np.array(b))
+
+
+def test_features_with_gaps_equal_the_window(spark):
+    from heddle.functions.stats import safe_corr
+    from heddle.operators.panels import spearman_features
+
+    rng = np.random.default_rng(9)
+    odd = [None, float("nan"), float("inf"), 1.0, 1.0, 2.0]
+    expression = [(c, g, odd[int(rng.integers(0, 6))] if rng.random() < 0.4 else float(rng.normal())) for c in range(40) for g in range(5) if rng.random() < 0.9] + [(c, 9, 3.0) for c in range(40)]
+    response = [(p, c, None if rng.random() < 0.1 else float(rng.integers(0, 7))) for p in "ab" for c in range(40) if rng.random() < 0.8]
+    e, r = spark.createDataFrame(expression, "cell int, gene int, value double"), spark.createDataFrame(response, "panel string, cell int, y double")
+    got = {(x["panel"], x["gene"]): (x["n"], x["rho"]) for x in spearman_features(e, r, ["panel"], "cell", "gene", "value", "y").collect()}
+    met = r.join(e, "cell").withColumn("a", average_rank("value", "panel", "gene")).withColumn("s", -F.col("y")).withColumn("b", average_rank("s", "panel", "gene"))
+    want = {(x["panel"], x["gene"]): (x["n"], x["rho"]) for x in met.groupBy("panel", "gene").agg(F.count("*").alias("n"), safe_corr("a", "b").alias("rho")).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == n and (got[k][1] is None if v is None else abs(got[k][1] - v) < 1e-9) for k, (n, v) in want.items())
+    assert got["a", 9][1] is None

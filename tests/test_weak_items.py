@@ -207,3 +207,36 @@ def test_best_match_of_all_pairs(spark):
             s = np.clip(sets[a] @ sets[b].T, -1, 1)
             assert abs(value - (s.max(1).mean() + s.max(0).mean()) / 2) < 1e-12
         assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
+def test_encoder_runs_for_unknown_names_alone(spark, tmp_path):
+    from heddle.operators import workloads as L
+
+    folder = str(tmp_path)
+
+    def encoder():
+        import os
+        import uuid
+
+        def encode(names):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write("\n".join(names))
+            return np.array([[float(len(n)), 1.0] for n in names])
+
+        return encode
+
+    cache = spark.createDataFrame([("a", [9.0, 9.0])], "name string, v array<double>")
+    names = spark.createDataFrame([("a",), ("bb",), ("bb",), (None,), (" ",), ("ccc",)], "name string")
+    out, fresh = L.embed(names, cache, "name", "v", encoder)
+    assert sorted((str(r["name"]), r["v"]) for r in out.collect()) == [(" ", None), ("None", None), ("a", [9.0, 9.0]), ("bb", [2.0, 1.0]), ("bb", [2.0, 1.0]), ("ccc", [3.0, 1.0])]
+    asked = sorted(n for p in tmp_path.iterdir() for n in p.read_text().split("\n"))
+    assert asked == ["bb", "ccc"]
+    known = cache.unionByName(fresh)
+    assert L.embed(names, known, "name", "v", encoder)[1].count() == 0 and len(list(tmp_path.iterdir())) == len({p.name for p in tmp_path.iterdir()})
+    assert sorted(n for p in tmp_path.iterdir() for n in p.read_text().split("\n")) == asked
+
+
+def test_quota_is_off(spark):
+    V.quota()
+    with pytest.raises(NotImplementedError):
+        V.quota(True)
