@@ -15,7 +15,7 @@ joined.
 Defined results: a null text is empty and judged by the same models; a null source is a site of its own; repeated rows
 are scored each; of several label rows of one id the worse verdicts count, and of several documents of one labelled id the
 smallest text is learned from; without labels, or with labels of one kind, the model in question has no say (probability 1 of quality,
-0 of toxicity) and documents are kept; empty tables give an empty result.
+about 6e-06 of toxicity) and documents are kept; empty tables give an empty result.
 """
 
 from __future__ import annotations
