@@ -327,6 +327,28 @@ def _wide_inputs(spark, sf_dir):
     return pooled_rows.drop("pcs"), pcs, vectors.select("cell", pairs.alias("x")), {"does": (does, True), "value": (values, False)}
 
 
+_LAYERS = """rw AS (SELECT disease, cell, count(*) n FROM (SELECT DISTINCT disease, drug, cell FROM metric WHERE sens_z IS NOT NULL AND cell IN (SELECT vec_id FROM embeddings)) GROUP BY ALL),
+kinds(k, t) AS (VALUES (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')),
+ly AS (SELECT user_id AS cell, k, max((event_type = t)::int)::double AS does, avg(CASE WHEN event_type = t THEN value END) AS v FROM events, kinds GROUP BY ALL),
+mn AS (SELECT disease, k, sum(n * v) / sum(CASE WHEN v IS NOT NULL THEN n END) AS m FROM rw JOIN ly USING (cell) GROUP BY ALL)"""
+
+
+@register(
+    "m28_layer_vectors",
+    with_sql("SELECT rw.disease, rw.cell, kinds.k::int AS k, round(coalesce(does, 0), 6) AS does, round(coalesce(v, m, 0), 6) AS value, CASE WHEN ly.cell IS NULL THEN 1.0 ELSE 0.0 END AS missing FROM rw CROSS JOIN kinds LEFT JOIN ly ON ly.cell = rw.cell AND ly.k = kinds.k LEFT JOIN mn ON mn.disease = rw.disease AND mn.k = kinds.k", METRIC, _LAYERS),
+)
+def layer_vectors(spark, sf_dir):
+    """A binary and a continuous layer per disease and cell, gaps filled by rows, one line per feature."""
+    rows, _, _, layers = _wide_inputs(spark, sf_dir)
+    out = None
+    for name, (layer, binary) in layers.items():
+        v = PO.layer_vectors(rows, layer, ["disease"], "cell", name, binary)
+        flag = F.element_at(name, -1).alias("missing")
+        one = v.select("disease", "cell", flag, F.posexplode(F.slice(name, 1, F.size(name) - 1)).alias("k", name))
+        out = one if out is None else out.join(one.drop("missing"), ["disease", "cell", "k"])
+    return out.select("disease", "cell", "k", R6("does").alias("does"), R6("value").alias("value"), "missing")
+
+
 @register("m30_wide_arms")
 def wide_arms(spark, sf_dir):
     """All arms with pathways and layers, per disease: 2,016 pathway features against some hundred cells."""
