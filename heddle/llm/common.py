@@ -187,17 +187,61 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def components(edges: DataFrame, salts: int = 8) -> DataFrame:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest, id) of every id that isn't the smallest of its component in these edges."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[root[below]], ids[below]
+
+
+def _contracted(edges: DataFrame, parts: int, held: int) -> DataFrame:
+    """``edges(u, v)`` in ``parts`` partitions, each ``held`` edges of a partition replaced by the stars of their components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v, count = [], [], 0
+
+        def stars() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(np.concatenate(u), np.concatenate(v))], names=["u", "v"])
+
+        for batch in batches:
+            u.append(batch.column(0).to_numpy(zero_copy_only=False))
+            v.append(batch.column(1).to_numpy(zero_copy_only=False))
+            count += len(batch)
+            if count >= held:
+                yield stars()
+                u, v, count = [], [], 0
+        if count:
+            yield stars()
+
+    return edges.coalesce(parts).mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, salts: int = 8, held: int = 200_000) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as ``(id, component)``; component is the smallest id.
 
-    Alternates two star contractions: every node's larger neighbours are linked to its smallest neighbour, then
-    its smaller ones are.  Each is one aggregation; a node that touches a third of the edges only ever has its
-    minimum aggregated, before the shuffle as well, and its neighbours are never gathered; they meet the minimum in
-    ``salts`` parts.  The edges turn into stars around the smallest ids in about log(n) rounds.
+    Each round contracts the edges where they lie: a task replaces at most ``held`` of them at a time by stars, so there
+    are as many tasks as the edges ask for, and a graph of one such share is done.  Then two star contractions alternate
+    over the whole graph: every node's larger neighbours are linked to its smallest neighbour, then its smaller ones are.
+    Each is one aggregation; a node that touches a third of the edges only ever has its minimum aggregated, before the
+    shuffle as well, and its neighbours are never gathered; they meet the minimum in ``salts`` parts.  The edges turn into
+    stars around the smallest ids in at most about log(n) rounds.
     """
     e = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    before = _stamp(e)
     while True:
+        parts = max(1, -(-e.count() // held))
+        e = cut(_contracted(e, parts, held))
+        if parts == 1:
+            break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         # large star: each neighbour above u hangs on the minimum around u
@@ -207,10 +251,10 @@ def components(edges: DataFrame, salts: int = 8) -> DataFrame:
         least = big.groupBy("v").agg(F.min("u").alias("m"))
         small = big.join(least, "v")
         new = cut(small.select(F.col("m").alias("u"), F.col("u").alias("v")).union(small.select(F.col("m").alias("u"), "v")).where("u <> v").distinct())
-        e, after = new, _stamp(new)
-        if before == after:
+        done = _stamp(e.distinct()) == _stamp(new)
+        e = new
+        if done:
             break
-        before = after
     heads = e.select("u").distinct()
     return e.select(F.col("v").alias("id"), F.col("u").alias("component")).union(heads.select("u", "u"))
 

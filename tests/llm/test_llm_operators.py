@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -192,6 +193,19 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 150)) and got[200] == got[201] == 200 and len(got) == 93
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # in one share of edges or in many: a chain, a star, random links, repeated edges, negative ids, nulls
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(-300, 0)] + [(900, k) for k in range(901, 1100)] * 2 + [(rng.randrange(2000, 3000), rng.randrange(2000, 3000)) for _ in range(600)] + [(None, 3), (4, None)]
+    root: dict[int, int] = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            mine, other = root.get(a, a), root.get(b, b)
+            for x in {a, b} | {x for x, r in root.items() if r in (mine, other)}:
+                root[x] = min(mine, other)
+    table = spark.createDataFrame(edges, "a long, b long")
+    for held in (7, 150, 200_000):
+        rows = [tuple(r) for r in components(table, held=held).collect()]
+        assert sorted(rows) == sorted(root.items()), held
 
 
 def test_token_counts(spark, docs, nothing):
