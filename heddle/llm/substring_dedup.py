@@ -15,7 +15,8 @@ starts in a document with a smaller id; windows are judged on the input.
    suffix links to the state of exactly ``size`` words, the smallest document with that window.
 4. A name with over ``hot`` different segments (a common passage in thousands of contexts) would make a shard without
    bound.  Its windows are keyed by the whole window instead, where a smallest id is an aggregate.
-5. The covered windows of each document are collected by id, and the words under them are dropped.
+5. The covered windows of each document are collected by id, and the words under them are dropped.  Only texts that may
+   have any (``common.likely``) are shuffled for that, as only those with wanted segments are for step 3.
 
 The whole corpus is its own reference, which has no size bound; so shards are not broadcast to all tasks, as one would
 with a fixed reference set, but each meets only what can match in it.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import Rolling, by_ids, hash_texts, map_columns, meet, settle, signed, sliding, stored
+from heddle.llm.common import Rolling, by_ids, hash_texts, likely, map_columns, meet, settle, signed, sliding, stored
 
 
 class Segments:
@@ -235,9 +236,13 @@ def remove(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: st
     settle(docs.sparkSession)
     covered = coverage(docs, size, id_col=id_col, text_col=text_col, **options)
     # a document's list is at most as long as the document
-    lists = covered.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("key", "mask")).alias("__covered"))
-    met = docs.select("*" if keep_text else id_col, *([] if keep_text else [text_col])).withColumn("__at", F.col(id_col).cast("long"))
+    lists = stored(covered.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("key", "mask")).alias("__covered")))
+    # only documents that may have a list move to meet it; the others are done where they lie
+    listed = likely(lists, "__id")(F.col(id_col))
+    docs_in = docs if keep_text else docs.select(id_col, text_col)
+    met = docs_in.where(listed).withColumn("__at", F.col(id_col).cast("long"))
     met = met.join(lists, F.col("__at") == F.col("__id"), "left").drop("__id", "__at")
+    others = docs_in.where(~listed)
 
     def left(text: bytes | None, marks) -> tuple[list[bytes], int, bool]:
         words = text.split() if text else []
@@ -271,7 +276,8 @@ def remove(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: st
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, removed, sha = [], [], []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            texts, covered_by = batch.column(1).to_pylist(), batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(batch)
+            for text, marks in zip(texts, covered_by, strict=True):
                 words, total, _ = left(text, marks)
                 n.append(total)
                 removed.append(total - len(words))
@@ -279,7 +285,8 @@ def remove(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], names=[id_col, "n_words", "n_removed", "kept_sha256"])
 
     if not keep_text:
-        return met.select(id_col, F.col(text_col).cast("string").cast("binary").alias("text"), "__covered").mapInArrow(digest, f"`{id_col}` {schema}, n_words long, n_removed long, kept_sha256 string")
+        text, result = F.col(text_col).cast("string").cast("binary").alias("text"), f"`{id_col}` {schema}, n_words long, n_removed long, kept_sha256 string"
+        return met.select(id_col, text, "__covered").mapInArrow(digest, result).union(others.select(id_col, text).mapInArrow(digest, result))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,4 +297,4 @@ def remove(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: st
                 texts.append(b" ".join(words).decode() if touched and len(words) < total else text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names], names=names)
 
-    return met.mapInArrow(rewrite, docs.schema)
+    return met.mapInArrow(rewrite, docs.schema).union(others)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -111,6 +112,57 @@ def test_substring_dedup_of_one_window_at_several_places(spark, keep_text):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    context, gateway = spark._jsparkSession.sparkContext(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("keep_text", [False, True])
+def test_substring_dedup_moves_only_texts_with_marks(spark, keep_text):
+    """Two of 400 long texts share a passage: joins by shuffle move these two, not the corpus."""
+    from heddle.llm.substring_dedup import remove
+
+    rng = random.Random(0)
+    some = lambda n: ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(n)]
+    passage = some(60)
+    texts = [(i - 200, " ".join([*some(100), *(passage if i in (7, 390) else []), *some(100)])) for i in range(400)]
+    texts.append((None, texts[7][1]))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute_dedup(texts)
+    assert [i for i, _, gone, _ in want if gone] == [190]
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before, start = spark.conf.get(conf), shuffled(spark)
+    spark.conf.set(conf, "-1")
+    try:
+        got = remove(df, keep_text=keep_text, small=0).collect()
+    finally:
+        spark.conf.set(conf, before)
+    moved, size = shuffled(spark) - start, sum(len(t) for _, t in texts)
+    if keep_text:
+        assert sorted((str(r.doc_id), hashlib.sha256(r.text.encode()).hexdigest()) for r in got) == sorted((str(i), sha) for i, _, _, sha in want)
+    else:
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert moved < size / 2
+
+
+@pytest.mark.parametrize("most", [26, 10, 6])
+def test_likely(spark, most):
+    """No id of the table fails, whatever the size of the set; with enough slots nearly all others do."""
+    from heddle.llm.common import likely
+
+    ids = spark.range(-3000, 3000, 7).unionByName(spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "id long"))
+    others = spark.range(10_000, 20_000)
+    for table in (ids, ids.where("false")):
+        test = likely(table, "id", most)
+        assert table.where(~test("id")).count() == 0
+        wrong = others.where(test(F.col("id"))).count()
+        assert wrong <= (500 if table is ids and most == 26 else 0 if table is not ids else 10_000)
+        assert spark.createDataFrame([(None,)], "id long").where(test("id").isNull()).count() == 0
+
+
 def test_words_that_collide_modulo_powers_of_two(spark):
     """Two documents that differ in one structured word of 1,024 letters share no window and no shingle with it."""
     from heddle.llm.jaccard_join import join
