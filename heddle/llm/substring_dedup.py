@@ -6,9 +6,9 @@ starts in a document with a smaller id; windows are judged on the input.
 1. Every window names one of its ``size // 2``-word runs, the one whose hash is lowest.  Equal windows name equal runs,
    so windows can be gathered by that name.  Neighbouring windows with one name are a segment: about one row for
    thirteen words.
-2. Names that only one document has are dropped; exactly equal segments of several documents become one row with
-   the smallest id.  All later copies of such a segment are covered as a whole.  Equal means equal names and equal hashes,
-   62 bits each, of which the hash spans all words.
+2. Names that only one document has are dropped, most of them where they lie (``common.having``); exactly equal segments
+   of several documents become one row with the smallest id.  All later copies of such a segment are covered as a whole.
+   Equal means equal names and equal hashes, 62 bits each, of which the hash spans all words.
 3. Reference shards: the different segments of the remaining names, dealt by name, so that everything that can match
    meets in one shard.  A shard is at most ``shard_words`` words, or one name.  Its suffix automaton carries the smallest
    id of each state; streaming the segments through it gives, for every position, the longest match, and by following
@@ -16,7 +16,7 @@ starts in a document with a smaller id; windows are judged on the input.
 4. A name with over ``hot`` different segments (a common passage in thousands of contexts) would make a shard without
    bound.  Its windows are keyed by the whole window instead, where a smallest id is an aggregate.
 5. The covered windows of each document are collected by id, and the words under them are dropped.  Only texts that may
-   have any (``common.likely``) are shuffled for that, as only those with wanted segments are for step 3.
+   have any (``common.likely``) are shuffled for that; for step 3 no whole text is, only segments.
 
 The whole corpus is its own reference, which has no size bound; so shards are not broadcast to all tasks, as one would
 with a fixed reference set, but each meets only what can match in it.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import Rolling, by_ids, hash_texts, likely, map_columns, meet, settle, signed, sliding, stored
+from heddle.llm.common import Rolling, by_ids, hash_texts, having, in_slots, likely, map_columns, meet, settle, signed, sliding, slot_bits, stored
 
 
 class Segments:
@@ -157,10 +157,10 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
     three = ("name long, key long, id long", [pa.int64()] * 3, ["name", "key", "id"])
     found = map_columns(rows, cut_up, *three)
     shared = stored(found.groupBy("name").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("name"))
-    few = shared.count() <= small
-    uses = stored(found.join(F.broadcast(shared) if few else shared, "name", "left_semi").distinct())
+    # most segments have a name of their own; these don't move again
+    uses = stored(having(found, shared, "name", small, most=28).distinct())
     firsts = stored(uses.groupBy("name", "key").agg(F.min("id").alias("id"), F.count("*").alias("uses")))
-    sizes = firsts.groupBy("name").count()
+    sizes = stored(firsts.groupBy("name").count().where("count > 1"))
     busy = stored(sizes.where(F.col("count") > hot).select("name"))
     is_busy = lambda df, how: df.join(busy, "name", how)
 
@@ -169,27 +169,36 @@ def coverage(docs: DataFrame, size: int = 50, hot: int = 1000, shard_words: int
     later = meet(uses, copied, ["name", "key"], "uses").where("id > lo").select("id", "key", F.lit(None).cast("binary").alias("mask"))
 
     # different segments of one name, through the automata; a name with one segment has nothing else to match
-    several = sizes.where((F.col("count") > 1) & (F.col("count") <= hot)).select("name")
-    wanted = stored(firsts.join(several, "name", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys")))
+    several = sizes.where(F.col("count") <= hot).select("name")
+    wanted = stored(having(firsts, several, "name", small).select("name", "key", "id"))
+    filled, low = slot_bits(wanted.select(F.col("key").bitwiseXOR(F.col("id"))), 28)
 
-    def texts_of(ids, texts, keys):
+    def texts_of(ids, texts):
         out = []
-        for i, text, part, want in zip(ids, texts, all_segments(texts, size), keys, strict=True):
-            words, want = text.split(), set(want)
-            for k in range(len(part.name)) if part else ():
-                if int(part.hash[k]) in want:
-                    want.discard(int(part.hash[k]))
+        for i, text, part in zip(ids, texts, all_segments(texts, size), strict=True):
+            at = np.flatnonzero(in_slots(filled.value, (part.hash ^ i) & low)).tolist() if part else []
+            words, done = text.split() if at else [], set()
+            for k in at:
+                if part.hash[k] not in done:
+                    done.add(part.hash[k])
                     out.append((int(part.name[k]), int(part.hash[k]), i, b" ".join(words[part.start[k] : part.end[k] + size - 1])))
         return list(zip(*out, strict=True)) if out else None
 
-    shards = map_columns(by_ids(rows, wanted, "id", "inner", small // 2, "keys"), texts_of, "name long, key long, id long, text binary", [*[pa.int64()] * 3, pa.binary()], ["name", "key", "id", "text"])
-    dealt = shards.repartition("name").sortWithinPartitions("name", "id", "key").select("name", "key", "id", "text")
+    # segments are cut where the texts lie; a few too many, so each wanted one has a row without text that goes before it
+    segments = map_columns(rows.where(likely(wanted, "id")("id")), texts_of, "name long, key long, id long, text binary", [*[pa.int64()] * 3, pa.binary()], ["name", "key", "id", "text"])
+    shards = wanted.withColumn("text", F.lit(None).cast("binary")).unionByName(segments)
+    dealt = shards.repartition("name").sortWithinPartitions("name", "id", "key", F.col("text").asc_nulls_first()).select("name", "key", "id", "text")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, name, words = [], None, 0
+        held, name, words, due = [], None, 0, None
         done: list[tuple] = []
         for batch in batches:
             for own, key, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None:
+                    due = own, key, i
+                    continue
+                if due != (own, key, i):
+                    continue
                 if own != name and words >= shard_words:
                     done += _shard(held, size)
                     held, words = [], 0
