@@ -314,6 +314,12 @@ def enet_arms(spark, sf_dir):
     return L.ablation(rows, ("enet_expr", "enet_resid", "enet_resid_disease"), repeats=2, folds=3)
 
 
+def _pathway(vectors):
+    """(cell, x): the products of two of a cell's 64 components, 2,016 features."""
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: F.transform(F.slice("v", i + 1, 64 - i), lambda x: x * F.element_at("v", i))))
+    return vectors.select("cell", pairs.alias("x"))
+
+
 def _wide_inputs(spark, sf_dir):
     """Rows (disease, drug, cell, y), components (disease, cell, x), 2,016 pathway features, and two layers.
 
@@ -321,13 +327,11 @@ def _wide_inputs(spark, sf_dir):
     """
     pooled_rows = hold(_pooled_design(spark, sf_dir).select("disease", "drug", "cell", "y", "pcs"))
     pcs = hold(pooled_rows.groupBy("disease", "cell").agg(F.first("pcs").alias("x")))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(63)), lambda i: F.transform(F.slice("v", i + 1, 64 - i), lambda x: x * F.element_at("v", i))))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     events = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cell"))
     kinds = ("click", "error", "purchase", "signup", "view")
     does = events.agg(F.array(*(F.max((F.col("event_type") == k).cast("double")) for k in kinds)).alias("does"))
     values = events.agg(F.array(*(F.avg(F.when(F.col("event_type") == k, F.col("value"))) for k in kinds)).alias("value"))
-    return pooled_rows.drop("pcs"), pcs, vectors.select("cell", pairs.alias("x")), {"does": (does, True), "value": (values, False)}
+    return pooled_rows.drop("pcs"), pcs, _pathway(_vectors(spark, sf_dir, "v")), {"does": (does, True), "value": (values, False)}
 
 
 _LAYERS = """rw AS (SELECT disease, cell, count(*) n FROM (SELECT DISTINCT disease, drug, cell FROM metric WHERE sens_z IS NOT NULL AND cell IN (SELECT vec_id FROM embeddings)) GROUP BY ALL),
@@ -393,9 +397,8 @@ def boosted_forest(spark, sf_dir):
 
 @register("m13_pca_blocks")
 def pca_blocks(spark, sf_dir):
-    """Components of all cells as one unit over 2,016 pathway features in blocks."""
-    _, _, pathway, _ = _wide_inputs(spark, sf_dir)
-    return M.pca_blocks(M.feature_blocks(pathway, [], "cell", "x", 256), [], "cell", 10)
+    """Components of all cells as one unit over 2,016 pathway features: in blocks, or from strips of the features' products."""
+    return M.pca_any(_pathway(_vectors(spark, sf_dir, "v").repartition(32)), [], "cell", "x", 10, 256)
 
 
 _TAU = """c AS (SELECT c_nationkey g, c_acctbal y, c_custkey % 37 p FROM customer),
