@@ -205,6 +205,49 @@ def signature_model(x: np.ndarray, y: np.ndarray, top: int) -> Callable[[np.ndar
     return lambda v: (score(v) - s.mean()) * slope + y.mean()
 
 
+def signature_path(x: np.ndarray, y: np.ndarray, tops: list[int], at: np.ndarray, rx: np.ndarray | None = None) -> np.ndarray:
+    """Predictions for the rows ``at`` of the signature models with these numbers of features, a column each: one ranking serves all.
+
+    ``rx`` are the centred ranks of x, which do not depend on y.
+    """
+    rx = ranks(x) - (len(y) + 1) / 2 if rx is None else rx
+    ry = ranks(-y[:, None])[:, 0] - (len(y) + 1) / 2
+    scale = np.sqrt((rx**2).sum(0) * (ry**2).sum())
+    rho = np.divide(ry @ rx, scale, out=np.zeros(x.shape[1]), where=scale > 0)
+    best = np.lexsort((np.arange(len(rho)), -np.abs(rho)))[: max(tops)]
+    mean, sd = x[:, best].mean(0), x[:, best].std(0)
+    sd = np.where(sd > 0, sd, 1)
+    z, v, weight = (x[:, best] - mean) / sd, (at[:, best] - mean) / sd, rho[best]
+    found = {}
+    for m in {min(t, len(best)) for t in tops}:
+        s = z[:, :m] @ weight[:m]
+        slope = ((s - s.mean()) * (y - y.mean())).sum() / max(((s - s.mean()) ** 2).sum(), 1e-300) if s.std() > 0 else 0.0
+        found[m] = (v[:, :m] @ weight[:m] - s.mean()) * slope + y.mean()
+    return np.column_stack([found[min(t, len(best))] for t in tops])
+
+
+def signature_out_of_fold(x: np.ndarray, ys: np.ndarray, groups: np.ndarray, outer: int, inner: int, seed: int) -> np.ndarray:
+    """M05 for the signature model: out-of-fold predictions of several targets, the columns of ``ys``.
+
+    Folds are the same for all, so features are ranked once for each of them.
+    """
+    tops = [g["top"] for g in MODELS["signature"][1]]
+    fold, out = deal(groups, outer, seed), np.zeros(ys.shape)
+    centred = lambda part: ranks(part) - (len(part) + 1) / 2
+    for f in np.unique(fold):
+        tr, te = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        part, loss = deal(groups[tr], inner, seed), np.zeros((ys.shape[1], len(tops)))
+        for i in np.unique(part):
+            fit, own = tr[part != i], tr[part == i]
+            rx = centred(x[fit])
+            for k in range(ys.shape[1]):
+                loss[k] += ((signature_path(x[fit], ys[fit, k], tops, x[own], rx) - ys[own, k, None]) ** 2).sum(0)
+        rx = centred(x[tr])
+        for k in range(ys.shape[1]):
+            out[te, k] = signature_path(x[tr], ys[tr, k], [tops[int(np.argmin(loss[k]))]], x[te], rx)[:, 0]
+    return out
+
+
 def mean_model(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """M07."""
     return lambda v: np.full(len(v), y.mean())
@@ -247,10 +290,24 @@ def tune(name: str, x: np.ndarray, y: np.ndarray, groups: np.ndarray, inner: int
         alpha, l1 = np.array([g["alpha"] for g in grid]), np.array([g["l1"] for g in grid])
         paths = ((elastic_path(x[fold != f], y[fold != f], alpha, l1), fold == f) for f in np.unique(fold))
         return grid[int(np.argmin(sum(((b[None, :] + x[own] @ w - y[own, None]) ** 2).sum(0) for (b, w), own in paths)))]
+    if name == "signature":
+        paths = ((signature_path(x[fold != f], y[fold != f], [g["top"] for g in grid], x[fold == f]), y[fold == f]) for f in np.unique(fold))
+        return grid[int(np.argmin(sum(((p - t[:, None]) ** 2).sum(0) for p, t in paths)))]
     loss = [sum(((model(x[fold != f], y[fold != f], **g)(x[fold == f]) - y[fold == f]) ** 2).sum() for f in np.unique(fold)) for g in grid]
     return grid[int(np.argmin(loss))]
 
 
+def out_of_fold(name: str, x: np.ndarray, t: np.ndarray, g: np.ndarray, outer: int, inner: int, seed: int, flat_seed: int, flat: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's fold and its prediction from the other folds."""
+    fold, out = deal(g, outer, seed), np.zeros(len(t))
+    all_in = tune(name, x, t, g, inner, flat_seed) if flat else None
+    for f in np.unique(fold):
+        tr, te = fold != f, fold == f
+        params = all_in or tune(name, x[tr], t[tr], g[tr], inner, seed)
+        out[te] = make(name)[0](x[tr], t[tr], **params)(x[te])
+    return fold, out
+
+
 def nested_cv(df: DataFrame, panel: list[str], group: str, y: str, vector: str, name: str, outer: int = 5, inner: int = 4, repeats: int = 1, seed: int = 0, flat: bool = False, ident: str | None = None) -> DataFrame:
     """Out-of-fold predictions of each (panel, repeat); tuning inside the training folds.
 
@@ -268,12 +325,7 @@ def nested_cv(df: DataFrame, panel: list[str], group: str, y: str, vector: str,
         try:
             pdf = pdf.sort_values([group, ident], kind="stable")
             x, t, g = np.array(pdf[vector].tolist(), float), pdf[y].to_numpy(float), pdf[group].to_numpy()
-            fold, out = deal(g, outer, seed + repeat), np.zeros(len(t))
-            all_in = tune(name, x, t, g, inner, seed) if flat else None
-            for f in np.unique(fold):
-                tr, te = fold != f, fold == f
-                params = all_in or tune(name, x[tr], t[tr], g[tr], inner, seed + repeat)
-                out[te] = make(name)[0](x[tr], t[tr], **params)(x[te])
+            fold, out = out_of_fold(name, x, t, g, outer, inner, seed + repeat, seed, flat)
             return pd.DataFrame({k: [v] * len(t) for k, v in base.items()} | {"id": pdf[ident].astype(str).to_numpy(), "y": t, "y_pred": out, "fold": fold, "ok": True, "error": None})
         except (ValueError, np.linalg.LinAlgError) as e:
             return pd.DataFrame([base | {"id": None, "y": None, "y_pred": None, "fold": None, "ok": False, "error": str(e)}])
