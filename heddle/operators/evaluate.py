@@ -65,13 +65,15 @@ def leave_fold_out(df: DataFrame, y: str, fold: str, keys: list[str], name: str,
     """Adds the mean of y over rows with the same keys in other folds; null if there are none."""
     within = within or []
     sums = _fold_sums(df, y, fold, within, keys).withColumn(name, other_folds(F.col("__s"), F.col("__n"), fold, [*within, *keys]))
-    return df.join(sums.drop("__s", "__n"), [*within, *keys, fold])
+    means = sums.drop("__s", "__n")
+    return df.join(means if keys else F.broadcast(means), [*within, *keys, fold])
 
 
 def _ladder(df: DataFrame, y: str, fold: str, within: list[str], rungs: list[list[str]]) -> DataFrame:
     """One row per (within, all keys, fold) with ``base``: the mean over other folds of the first rung that has rows.
 
-    All rungs come from one table of sums of the finest keys, so the rows themselves are read once for it.
+    All rungs come from one table of sums of the finest keys, so the rows themselves are read once for it.  It has a row per label and
+    fold, whatever the number of rows, and is broadcast, so that rows are not shuffled to meet it.
     """
     keys = list(dict.fromkeys(k for r in rungs for k in r))
     sums = _fold_sums(df, y, fold, within, keys)
@@ -81,14 +83,14 @@ def _ladder(df: DataFrame, y: str, fold: str, within: list[str], rungs: list[lis
 def drug_mean(df: DataFrame, y: str, drug: str, fold: str, within: list[str]) -> DataFrame:
     """The drug's mean over the other folds, else the mean of all other rows."""
     means = _ladder(df, y, fold, within, [[drug], []]).withColumnRenamed("base", "y_pred")
-    return df.join(means.drop("__s", "__n"), [*within, drug, fold])
+    return df.join(F.broadcast(means.drop("__s", "__n")), [*within, drug, fold])
 
 
 def residual(df: DataFrame, y: str, drug: str, fold: str, within: list[str], disease: str | None = None) -> DataFrame:
     """Y less the mean over other folds, of the drug, or of (disease, drug) with drug and global as fallbacks."""
     rungs = [[disease, drug]] if disease else []
     means = _ladder(df, y, fold, within, [*rungs, [drug], []]).drop("__s", "__n")
-    return df.join(means, [*within, *([disease] if disease else []), drug, fold]).withColumn("residual", F.col(y) - F.col("base"))
+    return df.join(F.broadcast(means), [*within, *([disease] if disease else []), drug, fold]).withColumn("residual", F.col(y) - F.col("base"))
 
 
 def tissue_oracle(df: DataFrame, y: str, cell: str, drug: str, disease: str, fold: str, within: list[str]) -> DataFrame:
@@ -100,7 +102,7 @@ def tissue_oracle(df: DataFrame, y: str, cell: str, drug: str, disease: str, fol
     base = F.coalesce(*(other_folds(F.col("__s"), F.col("__n"), fold, [*within, *r]) for r in ([drug], [])))
     left = sums.withColumn("base", base).withColumn("__r", F.col("__s") - F.col("__n") * F.col("base"))
     means = left.withColumn("y_pred", F.coalesce(other_folds(F.col("__r"), F.col("__n"), fold, [*within, disease]), F.lit(0.0)))
-    met = df.join(means.drop("__s", "__n", "__r"), [*within, disease, drug, fold])
+    met = df.join(F.broadcast(means.drop("__s", "__n", "__r")), [*within, disease, drug, fold])
     return met.withColumn("residual", F.col(y) - F.col("base"))
 
 
@@ -110,7 +112,7 @@ def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", pred: str =
     ``spread`` ranks groups of any size over many tasks (pan-cancer units); without it, a task ranks each group.
     """
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    pairs = df.where(ok(y) & ok(pred))
+    pairs = df.where(ok(y) & ok(pred)).select(*dict.fromkeys([*keys, y, pred]))
     if spread:
         pairs = hold(pairs)
         ranked = ordering.average_ranks(ordering.average_ranks(pairs, keys, y, "__ry"), keys, pred, "__rp")
